@@ -103,6 +103,12 @@ def mix(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source", "hash", "copies")
 
 
+def copies_by_document(docs: DataFrame) -> DataFrame:
+    """cut_id, cut_source, copies: a row per document id and source that the mix takes at least once."""
+    taken = mix(docs).filter(F.col("copies") > 0)
+    return taken.groupBy(F.col("doc_id").alias("cut_id"), F.col("source").alias("cut_source")).agg(F.max("copies").alias("copies"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
