@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space of every contract here: space and \x09-\x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Spark's setting that drops shuffle files when a query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that a Python batch holds before it is worked on.
 BATCH_BYTES = 4 << 20
 
@@ -40,11 +42,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     Cuts lineage in a way that survives lost executors, and gives the reader
-    exact sizes and column pruning.
+    exact sizes and column pruning. The shuffle files of the write are dropped
+    when it ends.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    held = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, held)
     return spark.read.schema(df.schema).parquet(path)
 
 
