@@ -97,24 +97,29 @@ def references(counts: DataFrame) -> DataFrame:
     shares = per_word.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("ns"))  # at most one entry per listed word
     ref = totals.filter(F.col("words") >= MIN_REFERENCE_WORDS).join(shares, "lang", "left")
     ns = F.coalesce("ns", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>")))
-    return ref.select(F.col("lang").alias("ref_lang"), F.array(*(F.col(c) / F.col("chars") for c in CLASSES)).alias("ref_classes"), F.transform_values(ns, lambda _, n: n / F.col("words")).alias("ref_common"))
+    return ref.select(F.col("lang").alias("ref_lang"), F.array(*(_share(F.col(c), F.col("chars")) for c in CLASSES)).alias("ref_classes"), F.transform_values(ns, lambda _, n: n / F.col("words")).alias("ref_common"))
+
+
+def _share(n: Column, total: Column) -> Column:
+    """n / total; 0 of nothing."""
+    return F.coalesce(F.try_divide(n, total), F.lit(0.0))
 
 
 def _term(p: Column, q: Column) -> Column:
     """What one category adds to twice the Jensen-Shannon divergence, in bits."""
-    half = lambda x, y: F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)
+    half = lambda x, y: F.when(x > 0, x * F.log2(F.try_divide(2 * x, x + y))).otherwise(0.0)
     return half(p, q) + half(q, p)
 
 
 def distances(joined: DataFrame) -> tuple[Column, Column]:
     """Jensen-Shannon distances of the class and of the common-word distribution; null without a reference."""
-    classes = sum((_term(F.get("classes", F.lit(k)) / F.col("word_chars"), F.get("ref_classes", F.lit(k))) for k in range(len(CLASSES))), F.lit(0.0))
+    classes = sum((_term(_share(F.get("classes", F.lit(k)), F.col("word_chars")), F.get("ref_classes", F.lit(k))) for k in range(len(CLASSES))), F.lit(0.0))
     listed = F.aggregate(F.map_values("ref_common"), F.lit(0.0), lambda a, q: a + q)
     share = lambda w: F.coalesce(F.try_element_at("ref_common", w), F.lit(0.0))
     zero = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
 
     def add(a: Column, c: Column) -> Column:
-        pair = F.struct((c["n"] / F.col("n_words")).alias("p"), share(c["word"]).alias("q"))
+        pair = F.struct(_share(c["n"], F.col("n_words")).alias("p"), share(c["word"]).alias("q"))
         return let(pair, lambda x: F.struct((a["d"] + _term(x["p"], x["q"])).alias("d"), (a["p"] + x["p"]).alias("p"), (a["q"] + x["q"]).alias("q")))
 
     seen = F.aggregate("common", zero, add)
