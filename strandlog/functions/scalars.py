@@ -104,7 +104,7 @@ def parse_duration(text: Column) -> Column:
 
 
 def parse_list(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def parse_bool(text: Column) -> Column:

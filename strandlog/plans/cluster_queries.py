@@ -13,7 +13,10 @@ from strandlog.sources import fixtures as X
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 LOG = ["topic", "partition"]
-PART = F.col("partition").cast("long").alias("partition")
+
+
+def part():
+    return F.col("partition").cast("long").alias("partition")
 
 
 def query(sql: str | None = None):
@@ -43,7 +46,7 @@ def placed(spark, d):
 
 @query(with_(PLACED, "SELECT topic, partition::BIGINT AS partition, leader::BIGINT AS leader, concat_ws(',', leader, second, third) AS replicas, 2::BIGINT AS quorum FROM pl"))
 def compute_assignments(spark, d):
-    return placed(spark, d).select("topic", PART, F.col("leader").cast("long").alias("leader"), F.concat_ws(",", F.col("replicas").cast("array<string>")).alias("replicas"), F.col("quorum").cast("long").alias("quorum"))
+    return placed(spark, d).select("topic", part(), F.col("leader").cast("long").alias("leader"), F.concat_ws(",", F.col("replicas").cast("array<string>")).alias("replicas"), F.col("quorum").cast("long").alias("quorum"))
 
 
 @query(with_(PLACED, "SELECT leader::BIGINT AS broker, count(*) AS led FROM pl GROUP BY leader"))
@@ -60,7 +63,7 @@ def partitions_hosted_by(spark, d):
 @query(with_(PLACED, "SELECT topic, partition::BIGINT AS partition, leader::BIGINT AS leader, 'broker-' || leader || ':9092' AS endpoint FROM pl"))
 def metadata(spark, d):
     brokers = spark.createDataFrame([(b, f"broker-{b}:9092") for b in range(3)], "leader int, endpoint string")
-    return placed(spark, d).join(F.broadcast(brokers), "leader").select("topic", PART, F.col("leader").cast("long").alias("leader"), "endpoint")
+    return placed(spark, d).join(F.broadcast(brokers), "leader").select("topic", part(), F.col("leader").cast("long").alias("leader"), "endpoint")
 
 
 @query(with_(TOPICS, "SELECT topic, partitions::BIGINT AS partitions FROM t WHERE topic IN ('nation_1', 'nation_2', 'no-such')"))
@@ -81,13 +84,13 @@ LOOKUPS = f"{PLACED}, lk AS (SELECT topic, unnest(range(9)) AS partition FROM (S
 @query(with_(LOOKUPS, "SELECT lk.topic, lk.partition::BIGINT AS partition, CASE WHEN leader IS NULL THEN 'NOT_FOUND' ELSE 'broker-' || leader END AS route FROM lk LEFT JOIN pl ON pl.topic = lk.topic AND pl.partition = lk.partition"))
 def route_leader(spark, d):
     out = lookups(spark, d).join(placed(spark, d), LOG, "left")
-    return out.select("topic", PART, F.coalesce(F.concat(F.lit("broker-"), F.col("leader").cast("string")), F.lit("NOT_FOUND")).alias("route"))
+    return out.select("topic", part(), F.coalesce(F.concat(F.lit("broker-"), F.col("leader").cast("string")), F.lit("NOT_FOUND")).alias("route"))
 
 
 @query(with_(LOOKUPS, "SELECT lk.topic, lk.partition::BIGINT AS partition, CASE WHEN leader IS NULL THEN 'NOT_FOUND' WHEN leader <> 1 THEN 'NOT_LEADER' ELSE 'OK' END AS status FROM lk LEFT JOIN pl ON pl.topic = lk.topic AND pl.partition = lk.partition"))
 def resolve_partition(spark, d):
     out = lookups(spark, d).join(placed(spark, d), LOG, "left")
-    return out.select("topic", PART, F.when(F.col("leader").isNull(), "NOT_FOUND").when(F.col("leader") != 1, "NOT_LEADER").otherwise("OK").alias("status"))
+    return out.select("topic", part(), F.when(F.col("leader").isNull(), "NOT_FOUND").when(F.col("leader") != 1, "NOT_LEADER").otherwise("OK").alias("status"))
 
 
 @query(with_(TOPICS, "SELECT topic FROM t WHERE topic NOT IN (SELECT replace(lower(n_name), ' ', '-') FROM nation WHERE n_nationkey % 3 = 0)"))
@@ -143,7 +146,7 @@ def auto_create_topics(spark, d):
 @query(with_(PROGRESS, "SELECT partition::BIGINT AS partition, least(log_end, (SELECT min(leo) FROM fo WHERE fo.partition = st.partition AND in_sync)) AS high_water, 1 + (SELECT count(*) FROM fo WHERE fo.partition = st.partition AND in_sync) AS isr FROM st"))
 def high_water_mark(spark, d):
     state = X.log_state(X.records(spark, d))
-    return cluster.high_water_mark(state, cluster.latest_followers(X.progress(spark, d))).select(PART, F.coalesce("high_water", "log_end").alias("high_water"), F.col("isr").cast("long").alias("isr"))
+    return cluster.high_water_mark(state, cluster.latest_followers(X.progress(spark, d))).select(part(), F.coalesce("high_water", "log_end").alias("high_water"), F.col("isr").cast("long").alias("isr"))
 
 
 HWM = f"""{PROGRESS}, ru AS (SELECT *, max(log_end) OVER (PARTITION BY partition, broker ORDER BY seq) AS leo FROM pg),
@@ -166,7 +169,7 @@ def isr_timeline(spark, d):
 @query(with_(PROGRESS, "SELECT partition::BIGINT AS partition, (1 + (SELECT count(*) FROM fo WHERE fo.partition = st.partition AND in_sync))::BIGINT AS isr, 1 + (SELECT count(*) FROM fo WHERE fo.partition = st.partition AND in_sync) >= 2 AS admissible FROM st"))
 def quorum_admissible(spark, d):
     h = cluster.high_water_mark(X.log_state(X.records(spark, d)), cluster.latest_followers(X.progress(spark, d)))
-    return h.select(PART, F.col("isr").cast("long").alias("isr"), (F.col("isr") >= 2).alias("admissible"))
+    return h.select(part(), F.col("isr").cast("long").alias("isr"), (F.col("isr") >= 2).alias("admissible"))
 
 
 @query(with_(PROGRESS, "SELECT seq, coalesce(epoch < max(epoch) OVER (PARTITION BY partition ORDER BY seq), FALSE) AS stale FROM pg"))
@@ -177,7 +180,7 @@ def epoch_fence(spark, d):
 @query(with_(PROGRESS, "SELECT fo.partition::BIGINT AS partition, broker::BIGINT AS broker, greatest(0, st.log_end - leo) AS lag FROM fo JOIN st USING (partition)"))
 def follower_lag(spark, d):
     f = cluster.latest_followers(X.progress(spark, d)).join(X.log_state(X.records(spark, d)), LOG)
-    return f.select(PART, F.col("broker").cast("long").alias("broker"), F.greatest(F.lit(0), F.col("log_end") - F.col("leo")).alias("lag"))
+    return f.select(part(), F.col("broker").cast("long").alias("broker"), F.greatest(F.lit(0), F.col("log_end") - F.col("leo")).alias("lag"))
 
 
 @query(with_(PROGRESS, "SELECT fo.partition::BIGINT AS partition, max(greatest(0, st.log_end - leo)) AS lag FROM fo JOIN st USING (partition) GROUP BY fo.partition"))
@@ -212,7 +215,7 @@ def replicate_pending(spark, d):
     """What a follower still lacks: source records at and beyond its own end."""
     f = cluster.latest_followers(X.progress(spark, d)).select(*LOG, "broker", "leo")
     rows = X.records(spark, d).join(F.broadcast(f), LOG).filter("offset >= leo")  # a row per replica
-    return rows.groupBy(PART, F.col("broker").cast("long").alias("broker")).agg(F.count("*").alias("pending"), F.min("offset").alias("next_offset"))
+    return rows.groupBy(part(), F.col("broker").cast("long").alias("broker")).agg(F.count("*").alias("pending"), F.min("offset").alias("next_offset"))
 
 
 @query(with_(RECORDS, "SELECT seq, CASE WHEN seq % 500 = 0 THEN 'MISSING' WHEN seq % 300 = 0 THEN 'DIFFERS' ELSE 'EXTRA' END AS kind FROM r WHERE seq % 500 = 0 OR seq % 300 = 0"))
@@ -230,12 +233,12 @@ def group_topics(spark):
 
 @query(with_(MEMBERS, ", x AS (SELECT gp.*, k, partitions // k AS q, partitions % k AS m FROM gp JOIN (SELECT DISTINCT group_id, k FROM mr) USING (group_id)), y AS (SELECT *, CASE WHEN partition < m * (q + 1) THEN partition // (q + 1) ELSE m + (partition - m * (q + 1)) // greatest(q, 1) END AS rank FROM x) SELECT y.group_id, topic, partition::BIGINT AS partition, member_id FROM y JOIN mr ON mr.group_id = y.group_id AND mr.rank = y.rank"))
 def assign_range(spark, d):
-    return cluster.assign_range(X.members(spark, d), group_topics(spark)).select("group_id", "topic", PART, "member_id")
+    return cluster.assign_range(X.members(spark, d), group_topics(spark)).select("group_id", "topic", part(), "member_id")
 
 
 @query(with_(MEMBERS, ", y AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY topic, partition) - 1 AS place FROM gp) SELECT y.group_id, topic, partition::BIGINT AS partition, member_id FROM y JOIN mr ON mr.group_id = y.group_id AND mr.rank = place % k"))
 def assign_round_robin(spark, d):
-    return cluster.assign_round_robin(X.members(spark, d), group_topics(spark)).select("group_id", "topic", PART, "member_id")
+    return cluster.assign_round_robin(X.members(spark, d), group_topics(spark)).select("group_id", "topic", part(), "member_id")
 
 
 @query(with_(MEMBERS, "SELECT group_id, member_id FROM mb WHERE 400000 - heartbeat_ms > 30000"))
@@ -250,7 +253,7 @@ def describe_groups(spark, d):
 
 @query(with_(COMMITS, "SELECT group_id, partition::BIGINT AS partition, position, commit_time_ms FROM co"))
 def committed_offsets(spark, d):
-    return cluster.committed(X.commits(spark, d)).select("group_id", PART, "position", "commit_time_ms")
+    return cluster.committed(X.commits(spark, d)).select("group_id", part(), "position", "commit_time_ms")
 
 
 OWNERS = "ow AS (SELECT 'group-' || g AS group_id, 'member-' || (p % 3) AS member_id, p AS partition FROM range(6) AS a(g), range(5) AS b(p))"
@@ -277,7 +280,7 @@ def consumer_lag(spark, d):
     state = X.log_state(X.records(spark, d))
     asked = j.select("group_id").distinct().withColumn("topic", F.lit("events")).join(state, "topic")
     out = asked.join(cluster.committed(j), ["group_id", *LOG], "left")
-    return out.select("group_id", PART, (F.col("log_end") - F.coalesce("position", "log_start")).alias("lag"))
+    return out.select("group_id", part(), (F.col("log_end") - F.coalesce("position", "log_start")).alias("lag"))
 
 
 @query(with_(f"{COMMITS}, {STATE}", "SELECT g.group_id, st.partition::BIGINT AS partition, CASE WHEN position IS NULL THEN log_end WHEN position < log_start OR position > log_end THEN log_start ELSE position END AS position FROM (SELECT DISTINCT group_id FROM cm) g CROSS JOIN st LEFT JOIN co ON co.group_id = g.group_id AND co.partition = st.partition"))
@@ -287,7 +290,7 @@ def start_positions(spark, d):
     state = X.log_state(X.records(spark, d))
     out = j.select("group_id").distinct().withColumn("topic", F.lit("events")).join(state, "topic").join(cluster.committed(j), ["group_id", *LOG], "left")
     at = F.when(F.col("position").isNull(), F.col("log_end")).when(~F.col("position").between(F.col("log_start"), F.col("log_end")), F.col("log_start")).otherwise(F.col("position"))
-    return out.select("group_id", PART, at.alias("position"))
+    return out.select("group_id", part(), at.alias("position"))
 
 
 @query(with_(PROGRESS, "SELECT broker::BIGINT AS broker FROM (SELECT DISTINCT broker FROM fo WHERE in_sync UNION SELECT 0)"))
@@ -300,14 +303,14 @@ def live_brokers(spark, d):
 def replica_set_diff(spark, d):
     old = cluster.assignments(topics(spark, d), 3, 3).select("topic", "partition", F.explode("replicas").alias("removed"))
     new = cluster.assignments(topics(spark, d), 3, 2).select("topic", "partition", F.explode("replicas").alias("removed"))
-    return old.exceptAll(new).select("topic", PART, F.col("removed").cast("long").alias("removed"))
+    return old.exceptAll(new).select("topic", part(), F.col("removed").cast("long").alias("removed"))
 
 
 @query(with_(STATE, ", b AS (SELECT unnest(range(3)) AS broker), x AS (SELECT broker, partition, row_number() OVER (PARTITION BY partition ORDER BY broker) AS k, log_end - broker AS leo FROM b CROSS JOIN st WHERE (partition + broker) % 3 <> 0) SELECT partition::BIGINT AS partition, broker::BIGINT AS broker, leo FROM x WHERE k = 1"))
 def partition_view(spark, d):
     """Each partition as the first broker that hosts it reports it."""
     s = X.log_state(X.records(spark, d)).select(*LOG, "log_end", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("broker")).filter("(partition + broker) % 3 <> 0")
-    return s.groupBy(*LOG).agg(F.min("broker").alias("b"), F.min_by(F.col("log_end") - F.col("broker"), "broker").alias("leo")).select(PART, F.col("b").cast("long").alias("broker"), "leo")
+    return s.groupBy(*LOG).agg(F.min("broker").alias("b"), F.min_by(F.col("log_end") - F.col("broker"), "broker").alias("leo")).select(part(), F.col("b").cast("long").alias("broker"), "leo")
 
 
 @query(with_(STATE, "SELECT 'events' AS topic, count(*) AS partitions, sum(log_end - log_start)::BIGINT AS records, (SELECT sum(size) FROM r)::BIGINT AS bytes FROM st"))
