@@ -29,8 +29,10 @@ from strandlog.llm.common import bounded, doc_bytes, table
 
 #: Pieces that a worker remembers; past that it starts anew, so memory is bounded.
 CACHE_PIECES = 700_000
-#: A piece of Latin letters, then ASCII symbols without an apostrophe: the tokenizer always splits it there.
-SIMPLE = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+#: ASCII symbols without the apostrophe, and the UTF-8 bytes of a-z and Latin-1 letters: the tokenizer
+#: always splits a piece of such letters from the symbols after them.
+SYMBOLS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+LATIN = bytes([*range(97, 123), *range(0x80, 0xC0), 0xC3])
 #: Characters of a piece that is still encoded by one library call.
 LEAF_CHARS = 2048
 #: First half-width, in characters, of the window around a join.
@@ -84,14 +86,12 @@ class PieceEncoder:
         if self.words is not None:
             # Marks that compose with ASCII letters have these lead bytes; without them A-Z can be lowered first.
             texts = [t if b"\xcc" in t or b"\xcd" in t or b"<|" in t else t.lower() for t in texts]
-        get, split = self.cache.get, [t.split() for t in texts]
-        found = [[get(w) for w in words] for words in split]
-        missing = list(dict.fromkeys(w for words, parts in zip(split, found) if None in parts for w, p in zip(words, parts) if p is None))
-        if missing:
-            self._learn(missing)
-            get = self.cache.get
-            found = [[get(w) for w in words] if None in parts else parts for words, parts in zip(split, found)]
-        return [b"".join(parts) for parts in found]
+        split = [t.split() for t in texts]
+        new = set().union(*split).difference(self.cache)
+        if new:
+            self._learn(list(new))
+        packed = self.cache.__getitem__
+        return [b"".join(map(packed, words)) for words in split]
 
     def _learn(self, pieces: list[bytes]) -> None:
         """Encode pieces that are new to this worker and remember them."""
@@ -118,11 +118,11 @@ class PieceEncoder:
 
         if len(self.words) > self.cache_pieces:
             self.words = {}
-        words, rest, simple, symbols = self.words, [], [], set()
+        words, rest, simple = self.words, [], []
         for p in pieces:
-            m = SIMPLE.fullmatch(p) if len(p) <= self.leaf else None
-            if m:
-                simple.append((p, *m.groups()))
+            w = p.rstrip(SYMBOLS)
+            if w and len(p) <= self.leaf and (w.isalpha() or not w.translate(None, LATIN) and b"\xc3\x97" not in w and b"\xc3\xb7" not in w) and w == w.lower():
+                simple.append((p, w, p[len(w) :]))
             else:
                 rest.append(p)
         if self.ends is None:
