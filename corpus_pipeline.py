@@ -17,16 +17,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the quality rules reject; an id goes if any of its rows is rejected."""
-    bad = quality_rules.judge(docs).filter(~F.col("kept")).select(F.coalesce("doc_id", F.lit(-1)).alias("bad_id")).distinct()
-    return docs.join(bad, F.coalesce("doc_id", F.lit(-1)) == F.col("bad_id"), "left_anti").select(*COLUMNS)
+    """Drop what the quality rules reject; rows of one id are judged each by its own text."""
+    return quality_rules.reject(docs.select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each near-duplicate group (null ids: all of an all-null group)."""
-    found = simhash.near_duplicates(docs)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select(*COLUMNS)
+    """Keep one document of each near-duplicate group, the one of the smallest doc_id."""
+    return simhash.keep_one(docs.select(*COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

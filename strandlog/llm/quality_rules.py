@@ -65,6 +65,11 @@ def repeated_words(words: Column) -> Column:
     return F.coalesce(once, F.lit(0)).cast("long")
 
 
+def text_key(text: Column) -> Column:
+    """A 64-bit hash that tells texts of one doc_id apart."""
+    return F.xxhash64(text)
+
+
 def features(docs: DataFrame) -> DataFrame:
     """One narrow row per document: base counts, class counts and counts of common words."""
     text = F.coalesce("text", F.lit(""))
@@ -76,6 +81,7 @@ def features(docs: DataFrame) -> DataFrame:
     out = docs.select(
         "doc_id",
         "lang",
+        text_key(F.col("text")).alias("text_key"),
         let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"), histogram(w).alias("common"))).alias("w"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _count(text, r"\p{Lu}").cast("long").alias("upper"),
@@ -83,9 +89,9 @@ def features(docs: DataFrame) -> DataFrame:
         # Without its letters a text is short; what else is counted is counted there.
         let(rest, lambda r: F.struct(F.length(r).alias("all"), F.length(F.regexp_replace(r, r"[\x20\x09-\x0D]+", "")).alias("words"), _count(r, "#*$%&|<>").alias("symbols"), _count(r, r"\p{N}").alias("digits"))).alias("r"),
     )
-    out = out.select("doc_id", "lang", "w.*", "n_dup_lines", "upper", (F.col("chars") - F.col("r.all")).alias("letters"), F.col("r.words").cast("long").alias("rest"), F.col("r.symbols").cast("long").alias("n_symbols"), F.col("r.digits").cast("long").alias("digit")).withColumn("word_chars", F.col("letters") + F.col("rest"))
+    out = out.select("doc_id", "lang", "text_key", "w.*", "n_dup_lines", "upper", (F.col("chars") - F.col("r.all")).alias("letters"), F.col("r.words").cast("long").alias("rest"), F.col("r.symbols").cast("long").alias("n_symbols"), F.col("r.digits").cast("long").alias("digit")).withColumn("word_chars", F.col("letters") + F.col("rest"))
     classes = F.array(F.col("letters") - F.col("upper"), "upper", "digit", "n_symbols", F.col("rest") - F.col("digit") - F.col("n_symbols"))
-    return out.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", classes.alias("classes"), "common")
+    return out.select("doc_id", "lang", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", classes.alias("classes"), "common")
 
 
 def references(counts: DataFrame) -> DataFrame:
@@ -144,6 +150,13 @@ def judge(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", ~(F.col("base_failed") | odd_class | odd_words)).drop("ref_lang", "ref_classes", "ref_common", "classes", "common")
 
 
+def reject(docs: DataFrame) -> DataFrame:
+    """The documents that the rules keep. A verdict rests on text and language, so it goes by doc_id and both."""
+    bad = judge(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("bad_id"), F.col("lang").alias("bad_lang"), "text_key").distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("bad_id")) & docs["lang"].eqNullSafe(F.col("bad_lang")) & (text_key(docs["text"]) == bad["text_key"])
+    return docs.join(bad, same, "left_anti")
+
+
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

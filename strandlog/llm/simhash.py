@@ -23,7 +23,8 @@ Defined results: texts of fewer than four words are one shingle, texts without
 words (null, empty) have fingerprint zero and link like any other; rows of
 equal doc_id are one vertex each and share the component of their fingerprint;
 a null doc_id never names a component unless all of its rows are null. Other
-columns are ignored; an empty table gives no rows.
+columns are ignored; an empty table gives no rows. ``keep_one`` leaves exactly
+one row of each group, whatever ids repeat or are null.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from strandlog.llm.common import bounded, doc_bytes, materialize, table
 
@@ -89,6 +91,20 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
     return doc_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, fp long")
 
 
+def with_fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
+    """All columns of the rows, and fp."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in bounded(batches):
+            fps = np.array([fingerprint(t or b"", size) for t in b.column("text").cast(pa.binary()).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*b.schema.names, "fp"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("fp", LongType())]))
+
+
 def code(bits: int) -> list[int]:
     """A syndrome for each bit position: its number, then pseudo-random bits beyond six."""
     out = []
@@ -258,20 +274,43 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 2) -> DataFrame:
-    """doc_id, fp, component_id for every row: the smallest doc_id reachable over links of up to 2 * radius bits."""
+    """doc_id, fp, component_id, group_fp for every row: the smallest doc_id (and the smallest
+    fingerprint, by which groups can be told apart) reachable over links of up to 2 * radius bits."""
     prints = materialize(fingerprints(docs, size), "simhash-fp")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
     edges = materialize(links(distinct, radius), "simhash-links")
-    member = distinct
+    member = distinct.withColumn("group_fp", F.col("fp"))
     if edges.limit(1).count():
         labels = materialize(components(edges), "simhash-labels")
         named = distinct.join(labels, F.col("fp") == F.col("node")).select("fp", "label", "rep")
         least = named.groupBy("label").agg(F.min("rep").alias("least")).withColumnRenamed("label", "of")
-        linked = named.join(least, F.col("label") == F.col("of")).select(F.col("fp").alias("linked_fp"), "least")
-        member = distinct.join(linked, F.col("fp") == F.col("linked_fp"), "left").select("fp", F.coalesce("least", "rep").alias("rep"))
+        linked = named.join(least, F.col("label") == F.col("of")).select(F.col("fp").alias("linked_fp"), "least", "label")
+        member = distinct.join(linked, F.col("fp") == F.col("linked_fp"), "left").select("fp", F.coalesce("least", "rep").alias("rep"), F.coalesce("label", "fp").alias("group_fp"))
         member = materialize(member, "simhash-member")
-    member = member.select(F.col("fp").alias("member_fp"), F.col("rep").alias("component_id"))
-    return prints.join(member, F.col("fp") == F.col("member_fp")).select("doc_id", "fp", "component_id")
+    member = member.select(F.col("fp").alias("member_fp"), F.col("rep").alias("component_id"), "group_fp")
+    return prints.join(member, F.col("fp") == F.col("member_fp")).select("doc_id", "fp", "component_id", "group_fp")
+
+
+def keep_one(docs: DataFrame, size: int = 4, radius: int = 2) -> DataFrame:
+    """One row of each near-duplicate group: that of the smallest doc_id, a null one last.
+
+    A doc_id of a single row decides by itself. Rows whose id repeats (or is
+    null more than once) are told apart by their fingerprint; of several that
+    could stay for a group, the smallest row does.
+    """
+    found = materialize(near_duplicates(docs, size, radius), "simhash-found")
+    moved = ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = found.groupBy(F.col("doc_id").alias("odd_id")).agg(F.count("*").alias("n"), F.max(moved).alias("moved"))
+    odd = materialize(ids.filter((F.col("n") > 1) | F.col("moved")), "simhash-odd")
+    same = docs["doc_id"].eqNullSafe(F.col("odd_id"))
+    kept = docs.join(odd.select("odd_id"), same, "left_anti")
+    again = odd.filter("n > 1").select("odd_id")
+    if not again.limit(1).count():
+        return kept
+    groups = found.select(F.col("fp").alias("of_fp"), "component_id", "group_fp").distinct()
+    rows = with_fingerprints(docs.join(again, same, "left_semi"), size)
+    first = rows.join(groups, F.col("fp") == F.col("of_fp")).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return kept.unionByName(first.groupBy("group_fp").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
 
 
 def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -293,3 +293,28 @@ def test_pipeline_stages(spark, sf, odd_docs, no_docs):
     kept = p.near_duplicates(spark, odd_docs, sf)
     assert kept.filter("doc_id IN (3, 7)").count() == 0
     assert kept.filter("doc_id = 2").count() == 1
+
+
+def test_pipeline_stages_with_repeated_ids(spark, sf):
+    """Rows that share an id (or have none) are judged one by one, and each group keeps exactly one row."""
+    import corpus_pipeline as p
+
+    fox = "The quick fox of the hill and the river is in a valley to see it for that was on the way"
+    hen = "A brown hen by the old barn sat with nine eggs as the cold rain fell on every roof of our town"
+    owl = "Some grey owl flew over wide fields at night while all mice hid under hay near that broken mill"
+    rows = [(1, fox), (1, fox), (5, fox), (5, hen), (None, hen), (None, owl), (None, owl), (None, "short one"), (7, "short"), (7, owl + " again")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    clean = p.quality(spark, docs, sf)
+    assert sorted((r.doc_id or 0, r.text) for r in clean.collect()) == sorted((i or 0, t) for i, t in rows if len(t.split()) >= 10)
+    groups = {}
+    for i, t in rows:
+        f = brute_fingerprint(t)
+        linked = [g for g in groups if any((f ^ x).bit_count() <= 4 for x in g)]
+        merged = sorted((m for g in linked for m in groups.pop(g)), key=str) + [(i, t)]
+        groups[frozenset(brute_fingerprint(t) for _, t in merged)] = merged
+    kept = [(r.doc_id, r.text) for r in p.near_duplicates(spark, docs, sf).collect()]
+    assert len(kept) == len(groups)
+    for group in groups.values():
+        least = min((i for i, _ in group if i is not None), default=None)
+        assert sum(k in group for k in kept) == 1
+        assert any(k in group and k[0] == least for k in kept)
