@@ -34,6 +34,8 @@ MAGIC = b"TOKSHRD1"
 #: Documents, and bytes of text of each, that the dictionary may be trained on.
 DICT_SAMPLE_DOCS, DICT_SAMPLE_TEXT = 1500, 20_000
 DICT_BYTES = 64 << 10
+#: Bytes of text of a shard, about: with more text there are more shards, as a task builds a shard in memory.
+SHARD_TEXT = 256 << 20
 LEVEL = 3
 
 
@@ -135,7 +137,7 @@ class ShardReader:
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards: int | None = None) -> dict:
     """Encode and store every document; returns the manifest, one entry per shard."""
     spark = docs.sparkSession
-    n = docs.count()
+    n, size = docs.select(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     near = docs.filter(unit_hash(F.col("doc_id")) < F.lit(DICT_SAMPLE_DOCS / max(1, n)))
     sample = [bytes(r.text) for r in doc_bytes(near.filter(F.octet_length("text") <= DICT_SAMPLE_TEXT)).limit(2 * DICT_SAMPLE_DOCS).collect()]
     enc = encoder(tokenizer)
@@ -156,7 +158,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards:
             write_file(path, f"shard-{shard:05d}", out.data())
             yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(out.index)], "n_ids": [out.ids]}, schema=pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_TEXT))
     order = ["doc_id", "tie", "text"]
     ranged = doc_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("tie", F.xxhash64("text")).repartitionByRange(shards, F.asc_nulls_first("doc_id"), "tie")
     done = ranged.sortWithinPartitions(F.asc_nulls_first("doc_id"), *order[1:]).select("doc_id", "text").mapInArrow(run, "shard long, n_docs long, n_ids long")
