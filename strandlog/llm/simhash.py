@@ -13,8 +13,10 @@ fingerprint knows which of its variants belong to a syndrome, and one copy of
 it per syndrome stands for all of them there; the receiving task flips the bits
 again, and sorts and deduplicates the variants. With the 6-bit Hamming code
 each copy stands for 33 variants. A task takes variants in slices of a bounded
-number; past ``TASK_FINGERPRINTS`` fingerprints the code gets more bits, so
-that a task's share stops growing.
+number, by their leading bits: in sorted fingerprints those of one mask are a
+range, so all slices together make every variant once. Past
+``TASK_FINGERPRINTS`` fingerprints the code gets as many bits as bring a task's
+expected share below that number.
 
 Links are reduced to connected components by alternating large-star and
 small-star steps over checkpointed tables.
@@ -29,8 +31,8 @@ one row of each group, whatever ids repeat or are null.
 
 from __future__ import annotations
 
+import functools
 import itertools
-import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +42,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 from strandlog.llm.common import bounded, doc_bytes, materialize, table
 
 BITS, SEED = 64, 42
-#: Fingerprints of one syndrome's task, and variants that it sorts at once.
-TASK_FINGERPRINTS, SLICE_VARIANTS = 1 << 25, 1 << 22
+#: Fingerprints of one syndrome's task, variants that it sorts at once, and links that it holds unmerged.
+TASK_FINGERPRINTS, SLICE_VARIANTS, HELD_LINKS = 1 << 25, 1 << 22, 1 << 22
+#: Fingerprints that a sending task packs at once, and copies of them that it sorts by syndrome.
+SEND_FINGERPRINTS, SEND_COPIES = 1 << 18, 1 << 22
 
 
 def fingerprint(text: bytes, size: int) -> int:
@@ -115,6 +119,7 @@ def code(bits: int) -> list[int]:
     return out
 
 
+@functools.lru_cache(maxsize=4)
 def masks_by_syndrome(radius: int, bits: int) -> dict[int, list[int]]:
     """Every set of up to ``radius`` flips, grouped by what it adds to the syndrome."""
     columns, out = code(bits), {}
@@ -128,13 +133,25 @@ def masks_by_syndrome(radius: int, bits: int) -> dict[int, list[int]]:
     return out
 
 
+def code_bits(n: int, radius: int) -> int:
+    """Bits of the code, six at least, at which a task expects no more than ``TASK_FINGERPRINTS`` of n fingerprints."""
+    bits = 6
+    while n * len(masks_by_syndrome(radius, bits)) > TASK_FINGERPRINTS << bits:
+        bits += 1
+    return bits
+
+
 def syndromes(x, bits: int):
-    """The syndrome of each fingerprint (numpy, uint64)."""
+    """The syndrome of each fingerprint (numpy, uint64), byte by byte through tables."""
     import numpy as np
 
-    out = np.zeros(len(x), dtype=np.int64)
-    for i, c in enumerate(code(bits)):
-        out ^= np.where(x >> np.uint64(i) & np.uint64(1), c, 0)
+    out = np.zeros(len(x), dtype=np.uint8 if bits <= 8 else np.int64)
+    planes, columns = x.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), code(bits)
+    for k in range(8):
+        lookup = np.zeros(256, dtype=out.dtype)
+        for i in range(8):
+            lookup[1 << i : 2 << i] = lookup[: 1 << i] ^ out.dtype.type(columns[8 * k + i])
+        out ^= lookup[planes[:, k]]
     return out
 
 
@@ -160,6 +177,31 @@ def forest(a, b):
     return nodes[label[away]], nodes[away]
 
 
+def slices(parts: list, limit: int) -> Iterator:
+    """Ranges (low, high) of each part's sorted fingerprints for each of its masks, a list per slice.
+
+    A slice holds the variants that begin with the same bits, as many bits as
+    it takes for no more than ``limit`` variants (or a single value).
+    """
+    import numpy as np
+
+    todo = [(0, 0)]
+    while todo:
+        n, lead = todo.pop()
+        cut = []
+        for x, masks in parts:
+            if n:
+                first = (np.uint64(lead) ^ (masks >> np.uint64(BITS - n))) << np.uint64(BITS - n)
+                cut.append((np.searchsorted(x, first), np.searchsorted(x, first | np.uint64((1 << BITS - n) - 1), side="right")))
+            else:
+                cut.append((np.zeros(len(masks), dtype=np.int64), np.full(len(masks), len(x))))
+        total = sum(int((high - low).sum()) for low, high in cut)
+        if total > limit and n < BITS:
+            todo += [(n + 1, 2 * lead + 1), (n + 1, 2 * lead)]
+        elif total:
+            yield cut
+
+
 def colliding(x, syndrome: int, radius: int, bits: int, slice_variants: int = SLICE_VARIANTS):
     """Links among fingerprints ``x`` whose variants of this syndrome collide, as a forest."""
     import numpy as np
@@ -168,25 +210,16 @@ def colliding(x, syndrome: int, radius: int, bits: int, slice_variants: int = SL
     x = np.unique(x)
     own = syndromes(x, bits)
     parts = [(x[own == s], groups[int(s) ^ syndrome]) for s in np.unique(own) if int(s) ^ syndrome in groups]
-    total = sum(len(p) * len(m) for p, m in parts)
-    slices = max(1, math.ceil(total / slice_variants))
-    left, right = [], []
-    for k in range(slices):
-        variants, owners = [], []
-        for p, m in parts:
-            for at in range(0, len(p), max(1, slice_variants // len(m))):
-                q = p[at : at + max(1, slice_variants // len(m))]
-                v = (q[:, None] ^ m[None, :]).ravel()
-                if slices == 1:
-                    variants.append(v)
-                    owners.append(np.repeat(q, len(m)))
-                else:
-                    inside = (v * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(slices) == k
-                    variants.append(v[inside])
-                    owners.append(np.repeat(q, len(m))[inside])
-        v, o = np.concatenate(variants or [x[:0]]), np.concatenate(owners or [x[:0]])
+    del x, own
+    left, right, held = [], [], 0
+    for cut in slices(parts, slice_variants):
+        owners = [p[i:j] for (p, masks), (low, high) in zip(parts, cut) for i, j in zip(low.tolist(), high.tolist())]
+        flips = np.concatenate([masks for _, masks in parts])
+        o = np.concatenate(owners)
+        v = o ^ np.repeat(flips, [len(q) for q in owners])
         ordered = np.sort(v)
         again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        del ordered
         if not len(again):
             continue
         # Only variants seen twice matter from here on; a bit table drops most of the others.
@@ -207,15 +240,19 @@ def colliding(x, syndrome: int, radius: int, bits: int, slice_variants: int = SL
         a, b = forest(first[keep], o[keep])
         left.append(a)
         right.append(b)
+        held += len(a)
+        if held > HELD_LINKS:
+            a, b = forest(np.concatenate(left), np.concatenate(right))
+            left, right, held = [a], [b], 0
     if not left:
-        return x[:0], x[:0]
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
     return forest(np.concatenate(left), np.concatenate(right))
 
 
 def links(distinct: DataFrame, radius: int = 2, count: int | None = None) -> DataFrame:
     """u, v: links between distinct fingerprints (column fp) that keep all components within 2 * radius bits."""
     n = distinct.count() if count is None else count
-    bits = 6 + max(0, math.ceil(math.log2(max(1, n) / TASK_FINGERPRINTS)))
+    bits = code_bits(n, radius)
 
     def emit(batches: Iterator) -> Iterator:
         import numpy as np
@@ -224,18 +261,28 @@ def links(distinct: DataFrame, radius: int = 2, count: int | None = None) -> Dat
         groups = np.array(sorted(masks_by_syndrome(radius, bits)), dtype=np.int64)
         held: list = []
 
+        def packed(to: list, fps: list):
+            return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(fps, pa.binary())], names=["syndrome", "fps"])
+
         def out():
             x = np.unique(np.concatenate(held))
-            own = syndromes(x, bits)
-            for s in np.unique((np.unique(own)[:, None] ^ groups[None, :]).ravel()):
-                part = x[np.isin(own ^ s, groups)] if bits > 6 else x
-                yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["syndrome", "fps"])
+            if len(groups) == 1 << bits:  # every fingerprint has variants of every syndrome
+                for s in range(1 << bits):
+                    yield packed([s], [x.tobytes()])
+                return
+            own, step = syndromes(x, bits).astype(np.int64), max(1, SEND_COPIES // len(groups))
+            for at in range(0, len(x), step):
+                to = (own[at : at + step, None] ^ groups[None, :]).ravel()
+                order = np.argsort(to, kind="stable")
+                to, copies = to[order], x[at + order // len(groups)]
+                cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])).tolist()
+                yield packed(to[cuts[:-1]].tolist(), [copies[i:j].tobytes() for i, j in zip(cuts, cuts[1:])])
 
         rows = 0
         for b in batches:
             held.append(b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
             rows += b.num_rows
-            if rows >= 1 << 18:
+            if rows >= SEND_FINGERPRINTS:
                 yield from out()
                 held, rows = [], 0
         if rows:
@@ -245,7 +292,7 @@ def links(distinct: DataFrame, radius: int = 2, count: int | None = None) -> Dat
         import numpy as np
         import pyarrow as pa
 
-        x = np.concatenate([np.frombuffer(f, dtype=np.uint64) for f in tab.column("fps").to_pylist()])
+        x = np.concatenate([np.frombuffer(f.as_buffer(), dtype=np.uint64) for f in tab.column("fps")])
         a, b = colliding(x, key[0].as_py(), radius, bits)
         return pa.table({"u": a.view(np.int64), "v": b.view(np.int64)})
 

@@ -270,6 +270,34 @@ def test_links_keep_all_components(bits, slice_variants):
     assert [find(int(v)) for v in x] == [int(x[k]) for k in label]
 
 
+@pytest.mark.parametrize("share", [1 << 25, 40])
+def test_links_are_those_of_brute_force(spark, monkeypatch, share):
+    """Whole runs with the short code and with one so long that a fingerprint goes to a part of the tasks."""
+    monkeypatch.setattr(simhash, "TASK_FINGERPRINTS", share)
+    monkeypatch.setattr(simhash, "SEND_COPIES", 1 << 14)
+    rng = random.Random(share)
+    fps = [0, (1 << 64) - 1, *(rng.getrandbits(64) for _ in range(20))]
+    for _ in range(60):
+        fps.append(rng.choice(fps) ^ sum(1 << b for b in set(rng.choices(range(64), k=rng.randrange(1, 6)))))
+    fps = sorted(set(fps))
+    assert (simhash.code_bits(len(fps), 2) > 6) == (share == 40)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    edges = simhash.links(spark.createDataFrame([(f - (1 << 64) * (f >> 63),) for f in fps], "fp long")).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+    def parts(links):
+        group = {f: {f} for f in fps}
+        for a, b in links:
+            if group[a] is not group[b]:
+                group[a] |= group[b]
+                for f in group[b]:
+                    group[f] = group[a]
+        return {frozenset(g) for g in group.values()}
+
+    near = [(a, b) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 4]
+    assert parts((r.u & (1 << 64) - 1, r.v & (1 << 64) - 1) for r in edges) == parts(near)
+
+
 def test_near_duplicates(spark, odd_docs, no_docs):
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(odd_docs).collect()}
     assert got[2] == got[3] == got[7] == 2
