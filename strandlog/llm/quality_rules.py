@@ -3,7 +3,9 @@
 Counts of a text's character classes and of common words are compared, by
 Jensen-Shannon distance (base 2), with the totals of all documents of its
 language. A text is rejected if a base rule fails or a distance is above its
-limit; each comparison needs a minimum number of words. All of it is DataFrame
+limit; each comparison needs a minimum number of words. The joint rule, which
+``reject`` and op4_quality_joint add, also rejects a text of which both distances
+are above a lower limit each. All of it is DataFrame
 expressions: one pass over the texts makes a narrow table of counts, language
 totals are sums over that table, and the verdict joins the two.
 
@@ -35,6 +37,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 MIN_CLASS_WORDS, MIN_COMMON_WORDS, MIN_REFERENCE_WORDS = 60, 100, 2000
 #: Largest distances of a text that is kept.
 MAX_CLASS_DISTANCE, MAX_COMMON_DISTANCE = 0.28, 0.42
+#: Distances of which a text may exceed one, not both; chosen on labelled documents of even doc_id, checked on odd ones.
+JOINT_CLASS_DISTANCE, JOINT_COMMON_DISTANCE = 0.14, 0.27
 CLASSES = ("lower", "upper", "digit", "symbol", "other")
 #: References that may be broadcast; more languages are joined by a shuffle.
 BROADCAST_LANGUAGES = 500
@@ -136,7 +140,7 @@ def distances(joined: DataFrame) -> tuple[Column, Column]:
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """The counts, both distances, base_failed and kept for every document."""
+    """The counts, both distances, base_failed, kept and kept_jointly for every document."""
     counts = materialize(features(docs), "quality-counts")
     ref = materialize(references(counts), "quality-references")
     if ref.count() <= BROADCAST_LANGUAGES:
@@ -147,12 +151,14 @@ def judge(docs: DataFrame) -> DataFrame:
     odd_class = F.coalesce((F.col("n_words") >= MIN_CLASS_WORDS) & (F.col("class_distance") > MAX_CLASS_DISTANCE), F.lit(False))
     odd_words = F.coalesce((F.col("n_words") >= MIN_COMMON_WORDS) & (F.col("common_distance") > MAX_COMMON_DISTANCE), F.lit(False))
     out = joined.withColumns({"class_distance": by_class, "common_distance": by_word, "base_failed": failed})
-    return out.withColumn("kept", ~(F.col("base_failed") | odd_class | odd_words)).drop("ref_lang", "ref_classes", "ref_common", "classes", "common")
+    odd_both = F.coalesce((F.col("n_words") >= MIN_CLASS_WORDS) & (F.col("class_distance") > JOINT_CLASS_DISTANCE) & (F.col("common_distance") > JOINT_COMMON_DISTANCE), F.lit(False))
+    out = out.withColumn("kept", ~(F.col("base_failed") | odd_class | odd_words))
+    return out.withColumn("kept_jointly", F.col("kept") & ~odd_both).drop("ref_lang", "ref_classes", "ref_common", "classes", "common")
 
 
 def reject(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep. A verdict rests on text and language, so it goes by doc_id and both."""
-    bad = judge(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("bad_id"), F.col("lang").alias("bad_lang"), "text_key").distinct()
+    """The documents that the rules and the joint rule keep. A verdict rests on text and language, so it goes by doc_id and both."""
+    bad = judge(docs).filter(~F.col("kept_jointly")).select(F.col("doc_id").alias("bad_id"), F.col("lang").alias("bad_lang"), "text_key").distinct()
     same = docs["doc_id"].eqNullSafe(F.col("bad_id")) & docs["lang"].eqNullSafe(F.col("bad_lang")) & (text_key(docs["text"]) == bad["text_key"])
     return docs.join(bad, same, "left_anti")
 
@@ -164,6 +170,11 @@ def op4_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select(*COLUMNS)
 
 
+def op4_quality_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts with the joint rule, as the pipeline's stage gives them."""
+    return judge(table(spark, sf_dir, "documents")).drop("kept").withColumnRenamed("kept_jointly", "kept").select(*COLUMNS)
+
+
 _WORD_LIST = ", ".join(f"'{w}'" for w in LISTED)
 _HALF = "CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END"
 _TERM = lambda p, q: f"({_HALF.format(x=p, y=q)} + {_HALF.format(x=q, y=p)})"
@@ -205,3 +216,10 @@ v AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERC
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR coalesce(odd_class, FALSE) OR coalesce(odd_words, FALSE)) AS kept FROM v
 """
+
+_DISTANCE = f"sqrt((dw + {_TERM('po', 'qo')}) / 2)"
+#: The same with the joint rule.
+OP4_JOINT_SQL = OP4_SQL.replace(
+    "AS odd_words FROM j)",
+    f"AS odd_words,\n        known AND n_words >= {MIN_CLASS_WORDS} AND dc > {JOINT_CLASS_DISTANCE} AND {_DISTANCE} > {JOINT_COMMON_DISTANCE} AS odd_both FROM j)",
+).replace("coalesce(odd_words, FALSE))", "coalesce(odd_words, FALSE) OR coalesce(odd_both, FALSE))")

@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mixing.op2_mix_sources,
         audio.op3_audio_features,
         quality_rules.op4_quality_divergence,
+        quality_rules.op4_quality_joint,
         language_model.op5_deleted_interpolation,
         line_crf.op6_line_quality,
         language_mix.op7_language_mixture,
@@ -24,4 +25,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL = {"op2_mix_sources": mixing.OP2_SQL, "op4_quality_divergence": quality_rules.OP4_SQL}
+ORACLE_SQL = {"op2_mix_sources": mixing.OP2_SQL, "op4_quality_divergence": quality_rules.OP4_SQL, "op4_quality_joint": quality_rules.OP4_JOINT_SQL}
