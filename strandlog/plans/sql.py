@@ -17,6 +17,13 @@ def with_(parts: str, tail: str) -> str:
     return f"WITH {parts}{tail}" if tail.startswith(",") else f"WITH {parts} {tail}"
 
 
+def without(sql: str, cut: str) -> str:
+    """The SQL of a query over some ids, for its whole table."""
+    if cut not in sql:
+        raise ValueError(cut)
+    return sql.replace(cut, "")
+
+
 def vs(x: str) -> str:
     return f"(1 + ({x} >= 128)::INT + ({x} >= 16384)::INT + ({x} >= 2097152)::INT)"
 
