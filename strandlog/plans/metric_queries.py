@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlog.functions import scalars as S
 from strandlog.operators import metrics
-from strandlog.plans.sql import STATE, with_
+from strandlog.plans.sql import STATE, with_, without
 from strandlog.sources import fixtures as X
 
 QUERIES: dict = {}
@@ -114,9 +114,12 @@ def broker_stats(spark, d):
     return X.log_state(X.records(spark, d)).agg(F.count("*").alias("partitions"), F.sum("log_end").alias("records"), F.max(F.col("log_end") - F.col("hwm")).alias("max_lag"), F.count_if(F.col("log_end") > F.col("flushed")).alias("waiting"))
 
 
-def trials(spark: SparkSession, d: str) -> DataFrame:
+SOME_CUSTOMERS = "o_custkey % 10 = 0"
+
+
+def trials(spark: SparkSession, d: str, which: str = SOME_CUSTOMERS) -> DataFrame:
     """Trials per customer: an order is a trial, its price the rate; counts are odd, even and one."""
-    o = X.table(spark, d, "orders").filter("o_custkey % 10 = 0")
+    o = X.table(spark, d, "orders").filter(which)
     return o.select(F.col("o_custkey").alias("scenario"), F.col("o_orderkey").alias("trial"), F.round(F.col("o_totalprice") * 100).cast("long").alias("rate"), (F.col("o_orderkey") % 1000).alias("p99"))
 
 
@@ -128,9 +131,19 @@ def bench_trials(spark, d):
     return trials(spark, d)
 
 
+@query(without(SQL["bench_trials"], f" WHERE {SOME_CUSTOMERS}"))
+def bench_trials_all(spark, d):
+    return trials(spark, d, "true")
+
+
 @query(with_(TRIALS, "SELECT scenario, median(rate)::DOUBLE AS median, min(rate) AS min, max(rate) AS max, round(coalesce(stddev_samp(rate), 0), 4) AS stdev, round((max(rate) - min(rate)) / median(rate), 9) AS spread FROM tr GROUP BY scenario"))
 def bench_spread(spark, d):
-    return metrics.spread(trials(spark, d), ["scenario"], "rate").select("scenario", "median", "min", "max", F.round("stdev", 4).alias("stdev"), F.round("spread", 9).alias("spread"))
+    return bench_spread_all(spark, d, SOME_CUSTOMERS)
+
+
+@query(without(SQL["bench_spread"], f" WHERE {SOME_CUSTOMERS}"))
+def bench_spread_all(spark, d, which="true"):
+    return metrics.spread(trials(spark, d, which), ["scenario"], "rate").select("scenario", "median", "min", "max", F.round("stdev", 4).alias("stdev"), F.round("spread", 9).alias("spread"))
 
 
 MEDIAN = ", md AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY scenario ORDER BY rate, trial) = count(*) OVER (PARTITION BY scenario) // 2 + 1)"
@@ -138,18 +151,33 @@ MEDIAN = ", md AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY scen
 
 @query(with_(TRIALS + MEDIAN, "SELECT scenario, trial, rate FROM md"))
 def bench_median_trial(spark, d):
-    return metrics.median_trial(trials(spark, d), ["scenario"], "rate", "trial").select("scenario", "trial", "rate")
+    return bench_median_trial_all(spark, d, SOME_CUSTOMERS)
+
+
+@query(without(SQL["bench_median_trial"], f" WHERE {SOME_CUSTOMERS}"))
+def bench_median_trial_all(spark, d, which="true"):
+    return metrics.median_trial(trials(spark, d, which), ["scenario"], "rate", "trial").select("scenario", "trial", "rate")
 
 
 @query(with_(TRIALS + MEDIAN, "SELECT scenario, count(*) AS trials, median(tr.rate)::DOUBLE AS median, any_value(md.p99) AS p99 FROM tr JOIN md USING (scenario) GROUP BY scenario"))
 def bench_summary(spark, d):
-    s = metrics.spread(trials(spark, d), ["scenario"], "rate").select("scenario", F.col("n").alias("trials"), "median")
-    return s.join(metrics.median_trial(trials(spark, d), ["scenario"], "rate", "trial").select("scenario", "p99"), "scenario")
+    return bench_summary_all(spark, d, SOME_CUSTOMERS)
+
+
+@query(without(SQL["bench_summary"], f" WHERE {SOME_CUSTOMERS}"))
+def bench_summary_all(spark, d, which="true"):
+    s = metrics.spread(trials(spark, d, which), ["scenario"], "rate").select("scenario", F.col("n").alias("trials"), "median")
+    return s.join(metrics.median_trial(trials(spark, d, which), ["scenario"], "rate", "trial").select("scenario", "p99"), "scenario")
 
 
 @query(with_(TRIALS + MEDIAN, "SELECT scenario, p99 * 27 // 100 AS queue_us, p99 * 3 // 100 AS append_us, p99 - p99 * 27 // 100 - p99 * 3 // 100 AS wait_us FROM md"))
 def stage_breakdown(spark, d):
-    m = metrics.median_trial(trials(spark, d), ["scenario"], "rate", "trial")
+    return stage_breakdown_all(spark, d, SOME_CUSTOMERS)
+
+
+@query(without(SQL["stage_breakdown"], f" WHERE {SOME_CUSTOMERS}"))
+def stage_breakdown_all(spark, d, which="true"):
+    m = metrics.median_trial(trials(spark, d, which), ["scenario"], "rate", "trial")
     long = m.select("scenario", F.explode(F.map_from_arrays(F.array(F.lit("queue_us"), F.lit("append_us"), F.lit("wait_us")), F.array(F.floor(F.col("p99") * 27 / 100), F.floor(F.col("p99") * 3 / 100), F.col("p99") - F.floor(F.col("p99") * 27 / 100) - F.floor(F.col("p99") * 3 / 100)))).alias("stage", "us"))
     return long.groupBy("scenario").pivot("stage", ["queue_us", "append_us", "wait_us"]).agg(F.first("us"))
 

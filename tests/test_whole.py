@@ -27,3 +27,9 @@ def size(spark, sf, table):
 @pytest.mark.parametrize("name", ["verify_checksums_all", "segment_for_offset_all", "index_floor_lookup_all"])
 def test_every_record(spark, sf, name):
     assert len(check(spark, sf, name)) == size(spark, sf, "events")
+
+
+@pytest.mark.parametrize("name", ["bench_trials_all", "bench_spread_all", "bench_median_trial_all", "bench_summary_all", "stage_breakdown_all"])
+def test_every_customer(spark, sf, name):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    assert {r.scenario for r in check(spark, sf, name)} == {r[0] for r in orders.select("o_custkey").distinct().collect()}
