@@ -207,26 +207,46 @@ def zigzag(spark, d):
 
 @query("SELECT lpad(o_orderkey::VARCHAR, 20, '0') AS name, o_orderkey AS base FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT 'notes.log', NULL")
 def segment_names(spark, d):
-    names = X.table(spark, d, "orders").filter("o_orderkey % 50 = 0").select(S.segment_name(F.col("o_orderkey")).alias("name")).union(spark.createDataFrame([("notes.log",)], "name string"))
+    return segment_names_all(spark, d, "o_orderkey % 50 = 0")
+
+
+@query(without(SQL["segment_names"], " WHERE o_orderkey % 50 = 0"))
+def segment_names_all(spark, d, which="true"):
+    names = X.table(spark, d, "orders").filter(which).select(S.segment_name(F.col("o_orderkey")).alias("name")).union(spark.createDataFrame([("notes.log",)], "name string"))
     return names.select("name", S.parse_segment_name(F.col("name")).alias("base"))
 
 
 @query("SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'leader' WHEN 2 THEN 'quorum' WHEN 3 THEN 'quorum' END AS mode FROM orders WHERE o_orderkey < 200")
 def parse_ack_mode(spark, d):
+    return parse_ack_mode_all(spark, d, "o_orderkey < 200")
+
+
+@query(without(SQL["parse_ack_mode"], " WHERE o_orderkey < 200"))
+def parse_ack_mode_all(spark, d, which="true"):
     text = F.element_at(F.array(*map(F.lit, ("0", " LEADER ", "all", "-1", "some"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    return X.table(spark, d, "orders").filter("o_orderkey < 200").select(F.col("o_orderkey").alias("id"), S.parse_ack_mode(text).alias("mode"))
+    return X.table(spark, d, "orders").filter(which).select(F.col("o_orderkey").alias("id"), S.parse_ack_mode(text).alias("mode"))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 < 5 THEN o_orderkey * [1, 1024, 1024, 1048576, 1073741824][o_orderkey % 6 + 1] END AS bytes FROM orders WHERE o_orderkey < 500")
 def parse_bytes(spark, d):
+    return parse_bytes_all(spark, d, "o_orderkey < 500")
+
+
+@query(without(SQL["parse_bytes"], " WHERE o_orderkey < 500"))
+def parse_bytes_all(spark, d, which="true"):
     unit = F.element_at(F.array(*map(F.lit, ("", "k", " KiB", "MB", "g", "xyz"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
-    return X.table(spark, d, "orders").filter("o_orderkey < 500").select(F.col("o_orderkey").alias("id"), S.parse_bytes(F.concat(F.col("o_orderkey").cast("string"), unit)).alias("bytes"))
+    return X.table(spark, d, "orders").filter(which).select(F.col("o_orderkey").alias("id"), S.parse_bytes(F.concat(F.col("o_orderkey").cast("string"), unit)).alias("bytes"))
 
 
 @query("SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN o_orderkey WHEN 1 THEN o_orderkey // 1000 WHEN 2 THEN o_orderkey WHEN 3 THEN o_orderkey * 1000 WHEN 4 THEN o_orderkey * 60000 WHEN 5 THEN o_orderkey * 3600000 END AS ms FROM orders WHERE o_orderkey < 5000")
 def parse_duration(spark, d):
+    return parse_duration_all(spark, d, "o_orderkey < 5000")
+
+
+@query(without(SQL["parse_duration"], " WHERE o_orderkey < 5000"))
+def parse_duration_all(spark, d, which="true"):
     unit = F.element_at(F.array(*map(F.lit, ("", "us", "ms", "s", "m", "h"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
-    return X.table(spark, d, "orders").filter("o_orderkey < 5000").select(F.col("o_orderkey").alias("id"), S.parse_duration(F.concat(F.col("o_orderkey").cast("string"), unit)).alias("ms"))
+    return X.table(spark, d, "orders").filter(which).select(F.col("o_orderkey").alias("id"), S.parse_duration(F.concat(F.col("o_orderkey").cast("string"), unit)).alias("ms"))
 
 
 @query("SELECT p_partkey AS id, len(list_filter(list_transform(string_split(replace(p_name, ' ', ' , '), ','), lambda x: trim(x)), lambda x: x <> ''))::BIGINT AS n FROM part")
@@ -248,7 +268,12 @@ def env_key(spark, d):
 
 @query("""SELECT event_id AS id, replace(replace(replace(props || chr(10), chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') AS label FROM events WHERE event_id % 100 = 0""")
 def escape_label(spark, d):
-    return X.table(spark, d, "events").filter("event_id % 100 = 0").select(F.col("event_id").alias("id"), S.escape_label(F.concat("props", F.lit("\n"))).alias("label"))
+    return escape_label_all(spark, d, "event_id % 100 = 0")
+
+
+@query(without(SQL["escape_label"], " WHERE event_id % 100 = 0"))
+def escape_label_all(spark, d, which="true"):
+    return X.table(spark, d, "events").filter(which).select(F.col("event_id").alias("id"), S.escape_label(F.concat("props", F.lit("\n"))).alias("label"))
 
 
 @query("SELECT k::BIGINT AS try, least(1000, 10 * 2 ** k)::BIGINT AS wait_ms FROM range(12) AS x(k)")
@@ -259,6 +284,11 @@ def backoff_schedule(spark, d):
 @query("SELECT CASE event_id % 10 WHEN 1 THEN 'SHORT_HEADER' WHEN 2 THEN 'BAD_MAGIC' WHEN 3 THEN 'BAD_VERSION' WHEN 4 THEN 'SHORT_PAYLOAD' WHEN 5 THEN 'TRAILING_BYTES' WHEN 6 THEN 'BAD_CHECKSUM' ELSE 'OK' END AS verdict, count(*) AS n FROM events WHERE event_id < 200 GROUP BY ALL")
 def frame_classify(spark, d):
     """Captured frames, good and damaged, by why a decoder refuses them."""
+    return frame_classify_all(spark, d, "event_id < 200")
+
+
+@query(without(SQL["frame_classify"], " WHERE event_id < 200"))
+def frame_classify_all(spark, d, which="true"):
     from strandlog.sources import frames
 
-    return frames.classify(frames.sample(X.table(spark, d, "events").filter("event_id < 200"))).groupBy("verdict").agg(F.count("*").alias("n"))
+    return frames.classify(frames.sample(X.table(spark, d, "events").filter(which))).groupBy("verdict").agg(F.count("*").alias("n"))

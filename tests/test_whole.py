@@ -33,3 +33,14 @@ def test_every_record(spark, sf, name):
 def test_every_customer(spark, sf, name):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     assert {r.scenario for r in check(spark, sf, name)} == {r[0] for r in orders.select("o_custkey").distinct().collect()}
+
+
+@pytest.mark.parametrize(("name", "table", "more"), [("segment_names_all", "orders", 1), ("parse_ack_mode_all", "orders", 0), ("parse_bytes_all", "orders", 0), ("parse_duration_all", "orders", 0), ("escape_label_all", "events", 0)])
+def test_every_row_is_parsed(spark, sf, name, table, more):
+    # sf0.01 has order keys beyond every prefix that was taken
+    sf = sf.replace("sf0.001", "sf0.01")
+    assert len(check(spark, sf, name)) == size(spark, sf, table) + more
+
+
+def test_every_frame(spark, sf):
+    assert sum(r.n for r in check(spark, sf, "frame_classify_all")) == size(spark, sf, "events")
