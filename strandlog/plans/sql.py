@@ -62,3 +62,9 @@ MEMBERS = """mb AS (SELECT 'group-' || (event_id % 4) AS group_id, 'g-' || (even
 mr AS (SELECT group_id, member_id, row_number() OVER (PARTITION BY group_id ORDER BY member_id) - 1 AS rank, count(*) OVER (PARTITION BY group_id) AS k FROM mb),
 tp AS (SELECT * FROM (VALUES ('events', 40), ('audit', 7)) AS t(topic, partitions)),
 gp AS (SELECT group_id, topic, partitions, unnest(range(partitions)) AS partition FROM (SELECT DISTINCT group_id, 'events' AS topic FROM mb UNION SELECT DISTINCT group_id, 'audit' FROM mb WHERE audits) JOIN tp USING (topic))"""
+
+#: Members of all events: four groups for every sixty, instead of the first sixty only.
+MEMBERS_ALL = MEMBERS.replace(
+    MEMBERS.split(",\nmr")[0],
+    """mb AS (SELECT 'group-' || (event_id // 60 * 4 + event_id % 4) AS group_id, 'g-' || (event_id % 60 // 4) AS member_id, 10000 * (event_id % 60) AS heartbeat_ms, event_id % 8 = 3 AS audits FROM events)""",
+)

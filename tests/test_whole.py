@@ -44,3 +44,23 @@ def test_every_row_is_parsed(spark, sf, name, table, more):
 
 def test_every_frame(spark, sf):
     assert sum(r.n for r in check(spark, sf, "frame_classify_all")) == size(spark, sf, "events")
+
+
+@pytest.mark.parametrize("name", ["assign_range_all", "assign_round_robin_all", "describe_groups_all", "expired_members_all", "group_generations_all"])
+def test_every_group(spark, sf, name):
+    n = size(spark, sf, "events")
+    assert len({r.group_id for r in check(spark, sf, name)}) == n // 60 * 4 + min(n % 60, 4)
+
+
+@pytest.mark.parametrize("name", ["heartbeat_status_all", "quorum_ack_all"])
+def test_every_request(spark, sf, name):
+    assert len(check(spark, sf, name)) == size(spark, sf, "events")
+
+
+def test_timeouts_of_all_requests(spark, sf):
+    assert any(r.req_id % 25 for r in check(spark, sf, "ack_timeouts_all"))
+
+
+def test_every_topic(spark, sf):
+    assert sum(r.partitions for r in check(spark, sf, "topology_log_end_all")) == sum(3 + k % 6 for k in range(25))
+    assert any("nation_2" in r.doc for r in check(spark, sf, "topology_all"))
