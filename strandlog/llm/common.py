@@ -26,18 +26,31 @@ def scratch_dir(spark: SparkSession, tag: str) -> str:
     Only where that setting is absent (tests, one machine) is a local folder
     used and set for the session.
     """
+    context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        held = context._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
-        root = "/tmp/checkpoints/strandlog"
-        spark.sparkContext.setCheckpointDir(root)
-    if "://" not in root and not root.startswith("file:"):
-        root = f"file://{root}"
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file:///tmp/checkpoints/strandlog"
+        context.setCheckpointDir(root)
+    # A path without a scheme belongs to the cluster's default file system.
+    path = context._jvm.org.apache.hadoop.fs.Path(root)
+    root = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if root.startswith("file:/") and not root.startswith("file://"):
+        root = "file://" + root[len("file:") :]
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def store_fs(uri: str):
+    """The file system and path of a folder in any store that Arrow knows."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
@@ -53,11 +66,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, held)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*scratch: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and nothing will read again."""
+    for df in scratch:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def unit_hash(*cols: Column | str) -> Column:
-    """A stable number in [0, 1) from the columns, for deterministic samples."""
+    """A stable number in [0, 1) from the columns, for deterministic samples; give doc_id and text, as ids may be null or repeat."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 12) / F.lit(float(1 << 52))
 
 
