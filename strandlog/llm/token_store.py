@@ -2,21 +2,24 @@
 
 Layout of a store folder: ``dictionary`` (trained on serialized id arrays of a
 bounded sample), one ``shard-NNNNN`` per range of doc_id, and ``manifest.json``
-(dictionary hash, id width, and for each shard its documents and ids, in order).
-A shard is ``MAGIC``, the dictionary's sha256, one zstandard frame per document,
-and the offset index: for each document its id (with a null flag), the end of
-its frame and the end of its ids. One document is read by one index search and
-one frame, without the rest of the shard.
-
-Executors write each shard under a name of their own and rename it, so a task
-that runs twice leaves the same file. Defined results: rows are stored in
-ascending doc_id order, null ids first, equal ids by a hash of the text and then
-the text; null and empty texts hold only the end id; other columns are ignored;
-an empty table gives a store without documents.
+(dictionary hash, id width, and for each shard its documents, ids, and first and
+last doc_id, in order). A shard is ``MAGIC``, the dictionary's sha256, the id
+width, one zstandard frame per document, the offset index (for each document its
+id with a null flag, the end of its frame, the end of its ids), and the index's
+place and length. Files are read by ranges: ``find`` looks a document up in the
+manifest, searches one shard's index entry by entry, and reads one frame.
+
+Frames go out as they are made: a task holds a batch of texts and the index, not
+its shard. Executors write each shard under a name of their own and rename it,
+so a task that runs twice leaves the same file. Defined results: rows are stored
+in ascending doc_id order, null ids first, equal ids by a hash of the text and
+then the text (equal rows in any order); null and empty texts hold only the end
+id; other columns are ignored; an empty table gives a store without documents.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import struct
@@ -28,22 +31,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlog.llm.bpe import encoder
-from strandlog.llm.common import bounded, doc_bytes, scratch_dir, table, unit_hash
+from strandlog.llm.common import bounded, doc_bytes, scratch_dir, store_fs, table, unit_hash
 
-MAGIC = b"TOKSHRD1"
-#: Documents, and bytes of text of each, that the dictionary may be trained on.
-DICT_SAMPLE_DOCS, DICT_SAMPLE_TEXT = 1500, 20_000
+MAGIC = b"TOKSHRD2"
+#: Documents that the dictionary may be trained on, and characters of each: of a longer text one span at a hashed place.
+DICT_SAMPLE_DOCS, DICT_SAMPLE_CHARS = 1500, 20_000
 DICT_BYTES = 64 << 10
-#: Bytes of text of a shard, about: with more text there are more shards, as a task builds a shard in memory.
+#: Bytes of text of a shard, about: with more text there are more shards.
 SHARD_TEXT = 256 << 20
 LEVEL = 3
-
-
-def store_fs(uri: str):
-    """The file system and path of a folder in any store that Arrow knows."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
+#: Bytes of frames, and index entries, that a scan of a shard reads at once.
+READ_BYTES, READ_ENTRIES = 4 << 20, 4096
 
 
 def write_file(uri: str, name: str, data: bytes) -> None:
@@ -75,71 +73,124 @@ def train_dictionary(arrays: list[bytes]) -> bytes:
         return b""
 
 
+HEAD, ENTRY, FOOT = struct.Struct("<8s32sB"), struct.Struct("<?qQQ"), struct.Struct("<QQ")
+
+
 class ShardWriter:
-    """Builds one shard: frames first, then the offset index."""
+    """Writes one shard to a stream: frames as they come, then the offset index."""
 
-    def __init__(self, dictionary: bytes, width: int):
+    def __init__(self, out, dictionary: bytes, width: int):
         import zstandard
 
         zdict = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         self.compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=zdict, write_checksum=False, write_content_size=True).compress
-        self.head = MAGIC + hashlib.sha256(dictionary).digest() + struct.pack("<B", width)
-        self.width, self.frames, self.index = width, [], []
+        self.out, self.width, self.index = out, width, []
         self.at = self.ids = 0
+        out.write(HEAD.pack(MAGIC, hashlib.sha256(dictionary).digest(), width))
 
     def add(self, doc_id: int | None, packed: bytes) -> None:
         frame = self.compress(packed)
-        self.frames.append(frame)
+        self.out.write(frame)
         self.at += len(frame)
         self.ids += len(packed) // self.width
-        self.index.append((doc_id is not None, doc_id or 0, self.at, self.ids))
+        self.index.append(ENTRY.pack(doc_id is not None, doc_id or 0, self.at, self.ids))
 
-    def data(self) -> bytes:
-        index = b"".join(struct.pack("<?qQQ", *x) for x in self.index)
-        return b"".join([self.head, *self.frames, index, struct.pack("<Q", len(self.index))])
+    def close(self) -> None:
+        for k in range(0, len(self.index), READ_ENTRIES):
+            self.out.write(b"".join(self.index[k : k + READ_ENTRIES]))
+        self.out.write(FOOT.pack(HEAD.size + self.at, len(self.index)))
 
 
 class ShardReader:
-    """Reads documents of a shard by position or doc_id."""
-
-    INDEX = struct.Struct("<?qQQ")
+    """Reads documents of a shard, by position or doc_id, from a file that can seek."""
 
-    def __init__(self, data: bytes, dictionary: bytes):
+    def __init__(self, file, size: int, dictionary: bytes):
         import zstandard
 
-        if data[:8] != MAGIC or data[8:40] != hashlib.sha256(dictionary).digest():
+        self.file = file
+        magic, digest, self.width = HEAD.unpack(self.read(0, HEAD.size))
+        if magic != MAGIC or digest != hashlib.sha256(dictionary).digest():
             raise ValueError("not a shard of this dictionary")
+        self.index, self.n = FOOT.unpack(self.read(size - FOOT.size, FOOT.size))
         zdict = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         self.decompress = zstandard.ZstdDecompressor(dict_data=zdict).decompress
-        self.view, self.width = memoryview(data), data[40]
-        n = struct.unpack("<Q", data[-8:])[0]
-        self.entries = list(self.INDEX.iter_unpack(self.view[len(data) - 8 - n * self.INDEX.size : len(data) - 8]))
+
+    def read(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(n)
 
     def __len__(self) -> int:
-        return len(self.entries)
+        return self.n
+
+    def entry(self, k: int) -> tuple[bool, int, int, int]:
+        """(id is known, id, end of the frame, end of the ids) of a document; zeros before the first."""
+        return ENTRY.unpack(self.read(self.index + k * ENTRY.size, ENTRY.size)) if k >= 0 else (False, 0, 0, 0)
 
     def document(self, k: int) -> tuple[int | None, int, bytes]:
         """doc_id, first id's place in the shard, packed ids."""
-        known, doc_id, stop, last = self.entries[k]
-        start, first = self.entries[k - 1][2:] if k else (0, 0)
-        return doc_id if known else None, first, self.decompress(self.view[41 + start : 41 + stop])
+        (_, _, start, first), (known, doc_id, stop, _) = self.entry(k - 1), self.entry(k)
+        return doc_id if known else None, first, self.decompress(self.read(HEAD.size + start, stop - start))
 
     def find(self, doc_id: int) -> bytes:
-        """Packed ids of the first document of this id: a search in the index, and one frame."""
-        import bisect
-
-        k = bisect.bisect_left(self.entries, (True, doc_id), key=lambda e: e[:2])
-        if k == len(self.entries) or self.entries[k][:2] != (True, doc_id):
+        """Packed ids of the first document of this id: a binary search by index entries, and one frame."""
+        lo, hi = 0, self.n
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if self.entry(mid)[:2] < (True, doc_id) else (lo, mid)
+        if lo == self.n or self.entry(lo)[:2] != (True, doc_id):
             raise KeyError(doc_id)
-        return self.document(k)[2]
+        return self.document(lo)[2]
+
+    def scan(self) -> Iterator:
+        """Lists of (doc_id, first id's place, packed ids), a bounded stretch of the shard each."""
+        start = first = 0
+        for at in range(0, self.n, READ_ENTRIES):
+            entries = list(ENTRY.iter_unpack(self.read(self.index + at * ENTRY.size, min(READ_ENTRIES, self.n - at) * ENTRY.size)))
+            k = 0
+            while k < len(entries):
+                stop = k + 1
+                while stop < len(entries) and entries[stop][2] - start <= READ_BYTES:
+                    stop += 1
+                frames, out, base = memoryview(self.read(HEAD.size + start, entries[stop - 1][2] - start)), [], start
+                for known, doc_id, end, last in entries[k:stop]:
+                    out.append((doc_id if known else None, first, self.decompress(frames[start - base : end - base])))
+                    start, first = end, last
+                yield out
+                k = stop
+
+
+class Store:
+    """A store's documents by doc_id, read by ranges."""
+
+    def __init__(self, path: str):
+        self.path, self.manifest, self.dictionary = path, json.loads(read_file(path, "manifest.json")), read_file(path, "dictionary")
+
+    def find(self, doc_id: int) -> list[int]:
+        """Ids of the first document of this doc_id, from the one shard that may begin it."""
+        import numpy as np
+
+        for p in self.manifest["shards"]:
+            if p["last_doc"] is not None and doc_id <= p["last_doc"]:
+                with open_shard(self.path, p["shard"], self.dictionary) as shard:
+                    return np.frombuffer(shard.find(doc_id), dtype=f"<u{shard.width}").tolist()
+        raise KeyError(doc_id)
+
+
+@contextlib.contextmanager
+def open_shard(path: str, shard: int, dictionary: bytes):
+    fs, root = store_fs(path)
+    with fs.open_input_file(f"{root}/shard-{shard:05d}") as f:
+        yield ShardReader(f, f.size(), dictionary)
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards: int | None = None) -> dict:
     """Encode and store every document; returns the manifest, one entry per shard."""
     spark = docs.sparkSession
     n, size = docs.select(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    near = docs.filter(unit_hash(F.col("doc_id")) < F.lit(DICT_SAMPLE_DOCS / max(1, n)))
-    sample = [bytes(r.text) for r in doc_bytes(near.filter(F.octet_length("text") <= DICT_SAMPLE_TEXT)).limit(2 * DICT_SAMPLE_DOCS).collect()]
+    place = (F.col("unit") * F.greatest(F.lit(0), F.length("text") - DICT_SAMPLE_CHARS)).cast("int") + 1
+    spans = docs.select("doc_id", "text", (unit_hash("doc_id", "text") * max(1.0, n / (2 * DICT_SAMPLE_DOCS))).alias("unit")).filter("unit < 1")
+    spans = spans.select("unit", "doc_id", F.substring(F.col("text"), place, F.lit(DICT_SAMPLE_CHARS)).alias("text")).orderBy("unit", "doc_id", "text").limit(DICT_SAMPLE_DOCS)
+    sample = [bytes(r.text) for r in doc_bytes(spans).collect()]
     enc = encoder(tokenizer)
     end = enc.pack([end_id])
     dictionary = train_dictionary([p + end for p in enc.encode_many(sorted(sample))])
@@ -149,22 +200,30 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
-        out = ShardWriter(read_file(path, "dictionary"), enc.width)
+        enc, shard, out, first = encoder(tokenizer), TaskContext.get().partitionId(), None, None
+        fs, root = store_fs(path)
+        own = f"{root}/.shard-{shard:05d}-{uuid.uuid4().hex}"
         for b in bounded(batches):
-            for doc_id, packed in zip(b.column("doc_id").to_pylist(), enc.encode_many(b.column("text").to_pylist())):
+            ids = b.column("doc_id").to_pylist()
+            if out is None:
+                sink, first = fs.open_output_stream(own), ids[0]
+                out = ShardWriter(sink, read_file(path, "dictionary"), enc.width)
+            for doc_id, packed in zip(ids, enc.encode_many(b.column("text").to_pylist())):
                 out.add(doc_id, packed + end)
-        if out.index:
-            write_file(path, f"shard-{shard:05d}", out.data())
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(out.index)], "n_ids": [out.ids]}, schema=pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+        if out is not None:
+            out.close()
+            sink.close()
+            fs.move(own, f"{root}/shard-{shard:05d}")
+            row = {"shard": [shard], "n_docs": [len(out.index)], "n_ids": [out.ids], "first_doc": [first], "last_doc": [ids[-1]]}
+            yield pa.RecordBatch.from_pydict(row, schema=pa.schema([(c, pa.int64()) for c in row]))
 
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_TEXT))
     order = ["doc_id", "tie", "text"]
-    ranged = doc_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("tie", F.xxhash64("text")).repartitionByRange(shards, F.asc_nulls_first("doc_id"), "tie")
-    done = ranged.sortWithinPartitions(F.asc_nulls_first("doc_id"), *order[1:]).select("doc_id", "text").mapInArrow(run, "shard long, n_docs long, n_ids long")
+    ranged = doc_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id()).repartitionByRange(shards, F.asc_nulls_first("doc_id"), "tie", "row")
+    done = ranged.sortWithinPartitions(F.asc_nulls_first("doc_id"), *order[1:]).select("doc_id", "text").mapInArrow(run, "shard long, n_docs long, n_ids long, first_doc long, last_doc long")
     parts, base = [], 0
     for r in sorted(done.collect()):  # one row for each shard
-        parts.append({"shard": r.shard, "n_docs": r.n_docs, "first_id": base})
+        parts.append({"shard": r.shard, "n_docs": r.n_docs, "first_id": base, "first_doc": r.first_doc, "last_doc": r.last_doc})
         base += r.n_ids
     manifest = {"dictionary_sha256": hashlib.sha256(dictionary).hexdigest(), "width": enc.width, "ids": base, "shards": parts}
     write_file(path, "manifest.json", json.dumps(manifest).encode())
@@ -183,14 +242,13 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         dictionary = read_file(path, "dictionary")
         for b in batches:
             for shard, base in zip(b.column("shard").to_pylist(), b.column("first_id").to_pylist()):
-                reader = ShardReader(read_file(path, f"shard-{shard:05d}"), dictionary)
-                for at in range(0, len(reader), 256):
-                    got = [reader.document(k) for k in range(at, min(at + 256, len(reader)))]
-                    wide = [np.frombuffer(p, dtype=f"<u{width}").astype("<u4").tobytes() for _, _, p in got]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([g[0] for g in got], pa.int64()), pa.array([base + g[1] for g in got], pa.int64()), pa.array([len(w) // 4 for w in wide], pa.int64()), pa.array([zlib.crc32(w) for w in wide], pa.int64()), pa.array(wide, pa.binary())],
-                        names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                    )
+                with open_shard(path, shard, dictionary) as reader:
+                    for got in reader.scan():
+                        wide = [np.frombuffer(p, dtype=f"<u{width}").astype("<u4").tobytes() for _, _, p in got]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([g[0] for g in got], pa.int64()), pa.array([base + g[1] for g in got], pa.int64()), pa.array([len(w) // 4 for w in wide], pa.int64()), pa.array([zlib.crc32(w) for w in wide], pa.int64()), pa.array(wide, pa.binary())],
+                            names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
+                        )
 
     parts = spark.createDataFrame([(p["shard"], p["first_id"]) for p in manifest["shards"]], "shard long, first_id long")
     return parts.repartition(max(1, len(manifest["shards"])), "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
