@@ -9,10 +9,12 @@ shuffled is at most a bucket row per source and task.
 
 A budget above the source's size takes every document once, and the rest of it
 as a second, nested pass. The boundary hash value itself is taken if that
-brings the source closer to its target (a tie: left out). Documents of equal
-doc_id share a hash and are taken or left together; a null doc_id hashes like
-an empty one. A null source is a source of its own, last in order. Null and
-empty texts have size 0. Other columns are ignored. An empty table gives no rows.
+brings the source closer to its target (a tie: left out). The hash is of doc_id,
+text and, where rows repeat both within a source, the row's number among those,
+so rows of one id, or without any, are dealt one by one; which of several equal
+rows gets which number makes no difference. A null doc_id or text hashes like an
+empty one. A null source is a source of its own, last in order. Null and empty
+texts have size 0. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import WORD_PATTERN, materialize, table, words_of
+from strandlog.llm.common import WORD_PATTERN, discard, materialize, table, words_of
 
 WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix takes, and how often a source may repeat.
@@ -29,9 +31,30 @@ SHARE, REPEATS = 1.5, 2
 HASH_BITS, LEVEL_BITS = 60, 12
 
 
-def doc_hash(doc_id: Column) -> Column:
-    """A 60-bit hash that SQL engines agree on: the first 15 hex digits of md5."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def row_key(doc_id: Column, text: Column) -> Column:
+    """md5 digests of doc_id and text, in hex."""
+    return F.concat(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def row_hash(key: Column, number: Column) -> Column:
+    """A 60-bit hash that SQL engines agree on: the first 15 hex digits of the md5 of key and number."""
+    return F.conv(F.substring(F.md5(F.concat(key, F.lit(":"), number.cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """row, number of all rows (source, key, row) that are not alone with their source and key, counted from 0.
+
+    In two levels, as such rows may be many: within the task that read them
+    (``row`` is its number and the row's place in it), and over the tasks' counts.
+    """
+    at = [F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("of"), "key"]
+    task = F.shiftright("row", 33).alias("task")
+    counts = rows.groupBy(*at, task).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("of", "key").orderBy("task")
+    base = counts.withColumn("before", F.sum("n").over(order) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("of", "key"))).filter("all > 1")
+    rows = rows.select(*at, task, "row").join(base, ["of", "key", "task"])
+    own = F.row_number().over(Window.partitionBy("of", "key", "task").orderBy("row")) - 1
+    return rows.select(F.col("row").alias("again"), (F.col("before") + own).alias("number"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
@@ -81,7 +104,7 @@ def thresholds(sized: DataFrame, goal: DataFrame) -> DataFrame:
         if bits:
             near = edge.select("edge_source", F.shiftright("low", bits).alias("edge_bucket"))
             rows = rows.join(near, F.col("source").eqNullSafe(F.col("edge_source")) & (bucket == F.col("edge_bucket"))).select("source", "hash", "size")
-            rows = materialize(rows, "mix-rows")
+            rows = materialize(rows, "mix-near")
     # The last boundary is one hash value: taken if that is nearer than leaving it.
     low = F.col("low") + F.when(F.col("gone") + F.col("last") - F.col("need") < F.col("need") - F.col("gone"), 1).otherwise(0)
     edge = edge.select("edge_source", low.alias("low"))
@@ -93,20 +116,38 @@ def sizes(docs: DataFrame) -> Column:
     return F.size(words_of(F.col("text"))).cast("long")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source, hash, copies of every document."""
-    sized = materialize(docs.select("doc_id", "source", sizes(docs).alias("size"), doc_hash(F.col("doc_id")).alias("hash")), "mix-sized")
-    goal = materialize(targets(sized), "mix-goal")
-    cut = materialize(thresholds(sized, goal), "mix-cut")
-    copies = F.col("passes") + F.when(F.col("hash") < F.col("low"), 1).otherwise(0)
-    out = sized.join(cut, F.col("source").eqNullSafe(F.col("goal_source"))).withColumn("copies", F.least(copies, F.lit(REPEATS)))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source", "hash", "copies")
+#: Sources whose thresholds may be broadcast (a row of under 1 kB each).
+BROADCAST_SOURCES = 50_000
 
 
-def copies_by_document(docs: DataFrame) -> DataFrame:
-    """cut_id, cut_source, copies: a row per document id and source that the mix takes at least once."""
-    taken = mix(docs).filter(F.col("copies") > 0)
-    return taken.groupBy(F.col("doc_id").alias("cut_id"), F.col("source").alias("cut_source")).agg(F.max("copies").alias("copies"))
+def mix(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source, hash, copies (and the columns to keep) of every row.
+
+    Rows are written once with their size and key; all else works on narrow
+    columns of that table, and the verdict is a filter by its source's threshold.
+    """
+    columns = [c for c in keep if c not in ("doc_id", "source")]
+    sized = materialize(docs.select("doc_id", "source", *columns, sizes(docs).alias("_size"), row_key(F.col("doc_id"), F.col("text")).alias("_key"), F.monotonically_increasing_id().alias("_row")), "mix-rows")
+    again = materialize(numbered(sized.select("source", F.col("_key").alias("key"), F.col("_row").alias("row"))), "mix-again")
+    if again.limit(1).count():
+        rows = sized.join(again, F.col("_row") == F.col("again"), "left")
+        hashed = rows.withColumn("_hash", row_hash(F.col("_key"), F.coalesce("number", F.lit(0))))
+    else:
+        hashed = sized.withColumn("_hash", row_hash(F.col("_key"), F.lit(0)))
+    narrow = materialize(hashed.select("source", F.col("_hash").alias("hash"), F.col("_size").alias("size")), "mix-sized")
+    goal = materialize(targets(narrow), "mix-goal")
+    cut = materialize(thresholds(narrow, goal), "mix-cut")
+    discard(narrow)
+    if cut.count() <= BROADCAST_SOURCES:
+        cut = F.broadcast(cut)
+    copies = F.col("passes") + F.when(F.col("_hash") < F.col("low"), 1).otherwise(0)
+    out = hashed.join(cut, F.col("source").eqNullSafe(F.col("goal_source"))).withColumn("copies", F.least(copies, F.lit(REPEATS)))
+    return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).cast("long").alias("taken"), "source", F.col("_hash").alias("hash"), "copies", *columns)
+
+
+def dealt(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The rows that the mix takes, with the columns to keep: one taken twice stands twice."""
+    return mix(docs, keep).filter("copies > 0").select(*keep, F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(*keep)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,9 +157,9 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Sort-based: documents by hash within their source, taken while the running sum is nearer to the need.
 OP2_SQL = rf"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD_PATTERN}'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash
-  FROM documents),
+  SELECT doc_id, source, size, ('0x' || substr(md5(key || ':' || (row_number() OVER (PARTITION BY source, key) - 1)::VARCHAR), 1, 15))::BIGINT AS hash
+  FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD_PATTERN}'))::BIGINT AS size,
+               md5(coalesce(doc_id::VARCHAR, '')) || md5(coalesce(text, '')) AS key FROM documents)),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
         [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
 w AS (SELECT *, 2 * source_size AS cap, 2 * source_size / weight AS at_level FROM s),
