@@ -1,13 +1,19 @@
 """Operator 4: quality rules by distribution divergence.
 
-Counts of a text's character classes and of common words are compared, by
-Jensen-Shannon distance (base 2), with the totals of all documents of its
-language. A text is rejected if a base rule fails or a distance is above its
-limit; each comparison needs a minimum number of words. The joint rule, which
-``reject`` and op4_quality_joint add, also rejects a text of which both distances
-are above a lower limit each. All of it is DataFrame
-expressions: one pass over the texts makes a narrow table of counts, language
-totals are sums over that table, and the verdict joins the two.
+Counts of a text's character classes and of its language's common words are
+compared, by Jensen-Shannon distance (base 2), with those of the language's
+reference: the totals of all its documents that pass the base rules. A
+language's common words are learned: the ``COMMON`` words of letters that most
+of its documents hold. Limits are learned too: multiples of the median distance
+of the language's documents. A text is rejected if a base rule fails, if a
+distance is far above its median, or if both are well above; each comparison
+needs a minimum number of words.
+
+All of it is DataFrame expressions. One pass over the texts counts the documents
+of each word, another makes a narrow row of counts for each text (beside columns
+that are to be kept); references and medians are sums over that table, and the
+verdict joins them by language: no text is shuffled. References are broadcast
+while languages are few; else rows are dealt by language and a salt.
 
 Defined results: a null text has no words and fails the base rule. A null
 language, or one with too few words in all, has no reference and is judged by
@@ -18,30 +24,24 @@ no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlog.llm.common import let, materialize, table, words_of
 
-#: Common function words of English, German, French and Spanish.
-COMMON_WORDS = (
-    "the of and to in a is that it for on was with as be by this are or an "
-    "der die das und ist von mit den des im ein zu auf für nicht dem "
-    "le la les de du et un une est dans pour que qui par sur au pas en ne "
-    "el los las y por con una se del al como más su lo "
-).split()
-LISTED = [f(w) for w in dict.fromkeys(COMMON_WORDS) for f in (str, str.capitalize)]
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Words below which a distance is not judged, and words a reference needs.
 MIN_CLASS_WORDS, MIN_COMMON_WORDS, MIN_REFERENCE_WORDS = 60, 100, 2000
-#: Largest distances of a text that is kept.
-MAX_CLASS_DISTANCE, MAX_COMMON_DISTANCE = 0.28, 0.42
-#: Distances of which a text may exceed one, not both; chosen on labelled documents of even doc_id, checked on odd ones.
-JOINT_CLASS_DISTANCE, JOINT_COMMON_DISTANCE = 0.14, 0.27
+#: Common words of a language, and what may be one.
+COMMON, COMMON_PATTERN = 32, r"\p{L}{1,12}"
+#: Limits as multiples of the language's median distance: of each distance alone, and of both together.
+#: Chosen on labelled documents of even doc_id, checked on odd ones.
+CLASS_LIMIT, WORD_LIMIT = 2.4, 2.2
+JOINT_CLASS_LIMIT, JOINT_WORD_LIMIT = 1.2, 1.7
 CLASSES = ("lower", "upper", "digit", "symbol", "other")
-#: References that may be broadcast; more languages are joined by a shuffle.
-BROADCAST_LANGUAGES = 500
+#: References that may be broadcast (a few kB each); with more languages rows are dealt by language and one of so many salts.
+BROADCAST_LANGUAGES, SALTS = 500, 64
 
 
 def _count(text: Column, keep: str) -> Column:
@@ -69,47 +69,70 @@ def repeated_words(words: Column) -> Column:
     return F.coalesce(once, F.lit(0)).cast("long")
 
 
-def text_key(text: Column) -> Column:
-    """A 64-bit hash that tells texts of one doc_id apart."""
-    return F.xxhash64(text)
+def by_language(rows: DataFrame, refs: DataFrame, lang: str) -> DataFrame:
+    """Rows with the columns of their language's row in ``refs``, null without one; a hot language is no hot key."""
+    n = refs.count()
+    if n <= BROADCAST_LANGUAGES:
+        return rows.join(F.broadcast(refs), F.col("lang") == F.col(lang), "left")
+    salted = refs.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars") if "n_words" in rows.columns else F.xxhash64("doc_id", "text"), F.lit(SALTS)))
+    return rows.join(salted, (F.col("lang") == F.col(lang)) & (F.col("_salt") == F.col("_of")), "left").drop("_salt", "_of")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """One narrow row per document: base counts, class counts and counts of common words."""
+def common_words(docs: DataFrame) -> DataFrame:
+    """top_lang, top (array): the words that most documents of a language hold, ties in order of the word."""
+    held = F.array_distinct(F.transform(F.filter(words_of(F.col("text")), lambda w: w.rlike(f"^{COMMON_PATTERN}$")), lambda w: F.lower(w)))
+    per = docs.filter(F.col("lang").isNotNull()).select("lang", F.explode(held).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    return per.withColumn("rank", rank).filter(F.col("rank") <= COMMON).groupBy(F.col("lang").alias("top_lang")).agg(F.sort_array(F.collect_list("word")).alias("top"))
+
+
+def features(docs: DataFrame, top: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: base counts, class counts, counts of common words, and the columns to keep."""
+    own = [c for c in keep if c not in ("doc_id", "lang")]
+    docs = by_language(docs.select("doc_id", "lang", *(c for c in own if c != "text"), "text"), top, "top_lang")
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    # Words as listed or capitalized; shouted ones do not count.
-    common = lambda w: F.transform(F.filter(w, lambda x: x.isin(LISTED)), lambda x: F.lower(x))
-    histogram = lambda w: let(common(w), lambda c: F.transform(F.array_distinct(c), lambda w: F.struct(w.alias("word"), (F.size(c) - F.size(F.array_remove(c, w))).alias("n"))))
+    listed = F.coalesce("top", F.array().cast("array<string>"))
+    common = lambda w: F.filter(F.transform(w, lambda x: F.lower(x)), lambda x: F.array_contains(listed, x))
+    histogram = lambda w: let(common(w), lambda c: F.transform(F.array_distinct(c), lambda w: F.struct(w.alias("word"), (F.size(c) - F.size(F.array_remove(c, w))).alias("n"))))
     rest = F.regexp_replace(text, r"\p{L}+", "")
     out = docs.select(
         "doc_id",
         "lang",
-        text_key(F.col("text")).alias("text_key"),
-        let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"), histogram(w).alias("common"))).alias("w"),
+        *own,
+        let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"), histogram(w).alias("_common"))).alias("_w"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        _count(text, r"\p{Lu}").cast("long").alias("upper"),
-        F.length(text).cast("long").alias("chars"),
+        _count(text, r"\p{Lu}").cast("long").alias("_upper"),
+        F.length(text).cast("long").alias("_chars"),
         # Without its letters a text is short; what else is counted is counted there.
-        let(rest, lambda r: F.struct(F.length(r).alias("all"), F.length(F.regexp_replace(r, r"[\x20\x09-\x0D]+", "")).alias("words"), _count(r, "#*$%&|<>").alias("symbols"), _count(r, r"\p{N}").alias("digits"))).alias("r"),
+        let(rest, lambda r: F.struct(F.length(r).alias("all"), F.length(F.regexp_replace(r, r"[\x20\x09-\x0D]+", "")).alias("words"), _count(r, "#*$%&|<>").alias("symbols"), _count(r, r"\p{N}").alias("digits"))).alias("_r"),
     )
-    out = out.select("doc_id", "lang", "text_key", "w.*", "n_dup_lines", "upper", (F.col("chars") - F.col("r.all")).alias("letters"), F.col("r.words").cast("long").alias("rest"), F.col("r.symbols").cast("long").alias("n_symbols"), F.col("r.digits").cast("long").alias("digit")).withColumn("word_chars", F.col("letters") + F.col("rest"))
-    classes = F.array(F.col("letters") - F.col("upper"), "upper", "digit", "n_symbols", F.col("rest") - F.col("digit") - F.col("n_symbols"))
-    return out.select("doc_id", "lang", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", classes.alias("classes"), "common")
+    letters, other = F.col("_chars") - F.col("_r.all"), F.col("_r.words").cast("long")
+    out = out.select("doc_id", "lang", *own, "_w.*", "n_dup_lines", F.col("_r.symbols").cast("long").alias("n_symbols"), (letters + other).alias("word_chars"), F.array(letters - F.col("_upper"), "_upper", F.col("_r.digits").cast("long"), F.col("_r.symbols").cast("long"), other - F.col("_r.digits") - F.col("_r.symbols")).alias("_classes"))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return out.withColumn("base_failed", failed)
 
 
 def references(counts: DataFrame) -> DataFrame:
-    """ref_lang, ref_classes (shares), ref_common (word to share): a row per language."""
-    known = counts.filter(F.col("lang").isNotNull())
-    sums = [F.sum(F.get("classes", F.lit(k))).alias(name) for k, name in enumerate(CLASSES)]
+    """ref_lang, ref_classes (shares), ref_common (word to share): a row per language, of documents that pass the base rules."""
+    known = counts.filter(F.col("lang").isNotNull() & ~F.col("base_failed"))
+    sums = [F.sum(F.get("_classes", F.lit(k))).alias(name) for k, name in enumerate(CLASSES)]
     totals = known.groupBy("lang").agg(F.sum("n_words").alias("words"), F.sum("word_chars").alias("chars"), *sums)
-    per_word = known.select("lang", F.explode("common").alias("c")).groupBy("lang", "c.word").agg(F.sum("c.n").alias("n"))
-    shares = per_word.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("ns"))  # at most one entry per listed word
+    per_word = known.select("lang", F.explode("_common").alias("c")).groupBy("lang", "c.word").agg(F.sum("c.n").alias("n"))
+    shares = per_word.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("ns"))  # COMMON entries at most
     ref = totals.filter(F.col("words") >= MIN_REFERENCE_WORDS).join(shares, "lang", "left")
     ns = F.coalesce("ns", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>")))
     return ref.select(F.col("lang").alias("ref_lang"), F.array(*(_share(F.col(c), F.col("chars")) for c in CLASSES)).alias("ref_classes"), F.transform_values(ns, lambda _, n: n / F.col("words")).alias("ref_common"))
 
 
+def medians(judged: DataFrame) -> DataFrame:
+    """med_lang, class_median, word_median: of a language's documents that pass the base rules; distances count by thousandths."""
+    known = judged.filter(F.col("lang").isNotNull() & ~F.col("base_failed") & (F.col("n_words") >= MIN_CLASS_WORDS))
+    middle = lambda c: F.percentile(F.round(c, 3), F.lit(0.5))  # noqa: E731  at most 1001 values are held
+    return known.groupBy(F.col("lang").alias("med_lang")).agg(middle("class_distance").alias("class_median"), middle("common_distance").alias("word_median"))
+
+
 def _share(n: Column, total: Column) -> Column:
     """n / total; 0 of nothing."""
     return F.coalesce(F.try_divide(n, total), F.lit(0.0))
@@ -123,7 +146,7 @@ def _term(p: Column, q: Column) -> Column:
 
 def distances(joined: DataFrame) -> tuple[Column, Column]:
     """Jensen-Shannon distances of the class and of the common-word distribution; null without a reference."""
-    classes = sum((_term(_share(F.get("classes", F.lit(k)), F.col("word_chars")), F.get("ref_classes", F.lit(k))) for k in range(len(CLASSES))), F.lit(0.0))
+    classes = sum((_term(_share(F.get("_classes", F.lit(k)), F.col("word_chars")), F.get("ref_classes", F.lit(k))) for k in range(len(CLASSES))), F.lit(0.0))
     listed = F.aggregate(F.map_values("ref_common"), F.lit(0.0), lambda a, q: a + q)
     share = lambda w: F.coalesce(F.try_element_at("ref_common", w), F.lit(0.0))
     zero = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
@@ -132,35 +155,32 @@ def distances(joined: DataFrame) -> tuple[Column, Column]:
         pair = F.struct(_share(c["n"], F.col("n_words")).alias("p"), share(c["word"]).alias("q"))
         return let(pair, lambda x: F.struct((a["d"] + _term(x["p"], x["q"])).alias("d"), (a["p"] + x["p"]).alias("p"), (a["q"] + x["q"]).alias("q")))
 
-    seen = F.aggregate("common", zero, add)
+    seen = F.aggregate("_common", zero, add)
     # Words of the reference that the text lacks add their whole share; all other words are one category.
     words = let(F.struct(seen.alias("s"), listed.alias("l")), lambda x: x["s"]["d"] + F.greatest(x["l"] - x["s"]["q"], F.lit(0.0)) + _term(F.greatest(1 - x["s"]["p"], F.lit(0.0)), F.greatest(1 - x["l"], F.lit(0.0))))
     root = lambda twice: F.sqrt(F.greatest(twice, F.lit(0.0)) / 2)
     return root(classes), root(words)
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """The counts, both distances, base_failed, kept and kept_jointly for every document."""
-    counts = materialize(features(docs), "quality-counts")
+def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The counts, both distances, base_failed and kept (and the columns to keep) for every document."""
+    top = materialize(common_words(docs), "quality-words")
+    counts = materialize(features(docs, top, keep), "quality-counts")
     ref = materialize(references(counts), "quality-references")
-    if ref.count() <= BROADCAST_LANGUAGES:
-        ref = F.broadcast(ref)
-    joined = counts.join(ref, F.col("lang") == F.col("ref_lang"), "left")
-    by_class, by_word = distances(joined)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    odd_class = F.coalesce((F.col("n_words") >= MIN_CLASS_WORDS) & (F.col("class_distance") > MAX_CLASS_DISTANCE), F.lit(False))
-    odd_words = F.coalesce((F.col("n_words") >= MIN_COMMON_WORDS) & (F.col("common_distance") > MAX_COMMON_DISTANCE), F.lit(False))
-    out = joined.withColumns({"class_distance": by_class, "common_distance": by_word, "base_failed": failed})
-    odd_both = F.coalesce((F.col("n_words") >= MIN_CLASS_WORDS) & (F.col("class_distance") > JOINT_CLASS_DISTANCE) & (F.col("common_distance") > JOINT_COMMON_DISTANCE), F.lit(False))
-    out = out.withColumn("kept", ~(F.col("base_failed") | odd_class | odd_words))
-    return out.withColumn("kept_jointly", F.col("kept") & ~odd_both).drop("ref_lang", "ref_classes", "ref_common", "classes", "common")
+    by_class, by_word = distances(by_language(counts, ref, "ref_lang"))
+    joined = by_language(counts, ref, "ref_lang").withColumns({"class_distance": by_class, "common_distance": by_word})
+    limits = materialize(medians(joined.select("lang", "base_failed", "n_words", "class_distance", "common_distance")), "quality-medians")
+    out = by_language(joined.drop("ref_lang", "ref_classes", "ref_common", "_classes", "_common"), limits, "med_lang")
+    above = lambda d, m, times: F.col(d) > F.col(m) * times
+    long = F.col("n_words") >= MIN_CLASS_WORDS
+    odd = long & above("class_distance", "class_median", CLASS_LIMIT) | (F.col("n_words") >= MIN_COMMON_WORDS) & above("common_distance", "word_median", WORD_LIMIT)
+    odd |= long & above("class_distance", "class_median", JOINT_CLASS_LIMIT) & above("common_distance", "word_median", JOINT_WORD_LIMIT)
+    return out.withColumn("kept", ~(F.col("base_failed") | F.coalesce(odd, F.lit(False)))).drop("med_lang", "class_median", "word_median")
 
 
-def reject(docs: DataFrame) -> DataFrame:
-    """The documents that the rules and the joint rule keep. A verdict rests on text and language, so it goes by doc_id and both."""
-    bad = judge(docs).filter(~F.col("kept_jointly")).select(F.col("doc_id").alias("bad_id"), F.col("lang").alias("bad_lang"), "text_key").distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("bad_id")) & docs["lang"].eqNullSafe(F.col("bad_lang")) & (text_key(docs["text"]) == bad["text_key"])
-    return docs.join(bad, same, "left_anti")
+def reject(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The documents that the rules keep, with the columns to keep; each row is judged by its own text and language."""
+    return judge(docs, keep).filter("kept").select(*keep)
 
 
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -170,15 +190,12 @@ def op4_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select(*COLUMNS)
 
 
-def op4_quality_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdicts with the joint rule, as the pipeline's stage gives them."""
-    return judge(table(spark, sf_dir, "documents")).drop("kept").withColumnRenamed("kept_jointly", "kept").select(*COLUMNS)
-
-
-_WORD_LIST = ", ".join(f"'{w}'" for w in LISTED)
 _HALF = "CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END"
 _TERM = lambda p, q: f"({_HALF.format(x=p, y=q)} + {_HALF.format(x=q, y=p)})"
 
+_FAILED = f"n_words < {MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {MAX_REPEAT_PERCENT} * n_words"
+_COUNTED = ("lower_case", "upper_case", "digits", "n_symbols", "others")
+
 #: The same verdicts, with one row per word and document instead of arrays.
 OP4_SQL = rf"""
 WITH b AS (SELECT row_number() OVER () AS row_id, doc_id, lang, coalesce(text, '') AS t,
@@ -189,37 +206,33 @@ n AS (SELECT row_id, doc_id, lang, len(w)::BIGINT AS n_words,
         length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS letters,
         length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS upper_case,
         length(regexp_replace(t, '[^\p{{N}}]+', '', 'g')) AS digits FROM b),
-c AS (SELECT *, letters - upper_case AS lower_case, word_chars - letters - digits - n_symbols AS others FROM n),
 dl AS (SELECT row_id, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines
        FROM (SELECT row_id, unnest(string_split(t, chr(10))) AS line FROM b) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row_id),
 g AS (SELECT row_id, i, w[i : i + 4] AS gram FROM (SELECT row_id, w, unnest(range(1, len(w) - 3)) AS i FROM b WHERE len(w) >= 5)),
 gr AS (SELECT row_id, i FROM g QUALIFY count(*) OVER (PARTITION BY row_id, gram) > 1),
 rw AS (SELECT row_id, count(DISTINCT i + k)::BIGINT AS n_repeat_words FROM gr, range(5) AS r(k) GROUP BY row_id),
-cw AS (SELECT row_id, any_value(lang) AS lang, lower(word) AS word, count(*) AS n
-       FROM (SELECT row_id, lang, unnest(w) AS word FROM b) WHERE word IN ({_WORD_LIST}) GROUP BY row_id, lower(word)),
-ref AS (SELECT lang, sum(n_words) AS words, sum(lower_case) / sum(word_chars) AS q1, sum(upper_case) / sum(word_chars) AS q2,
-          sum(digits) / sum(word_chars) AS q3, sum(n_symbols) / sum(word_chars) AS q4, sum(others) / sum(word_chars) AS q5
-        FROM c WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n_words) >= {MIN_REFERENCE_WORDS}),
-rc AS (SELECT lang, word, sum(n) / any_value(words) AS q FROM cw JOIN ref USING (lang) GROUP BY lang, word),
+c AS (SELECT n.*, letters - upper_case AS lower_case, word_chars - letters - digits - n_symbols AS others,
+        coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, {_FAILED} AS base_failed
+      FROM n LEFT JOIN dl USING (row_id) LEFT JOIN rw USING (row_id)),
+lw AS (SELECT row_id, lang, lower(word) AS word, count(*) AS n FROM (SELECT row_id, lang, unnest(w) AS word FROM b WHERE lang IS NOT NULL)
+       WHERE regexp_full_match(word, '{COMMON_PATTERN}') GROUP BY row_id, lang, lower(word)),
+tp AS (SELECT lang, word FROM (SELECT lang, word, count(*) AS n FROM lw GROUP BY lang, word)
+       QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {COMMON}),
+cw AS (SELECT row_id, lang, word, count(*) AS n FROM (SELECT row_id, lang, lower(unnest(w)) AS word FROM b) JOIN tp USING (lang, word) GROUP BY row_id, lang, word),
+ref AS (SELECT lang, sum(n_words) AS words, {', '.join(f"sum({x}) / sum(word_chars) AS q{k}" for k, x in enumerate(_COUNTED, 1))}
+        FROM c WHERE lang IS NOT NULL AND NOT base_failed GROUP BY lang HAVING sum(n_words) >= {MIN_REFERENCE_WORDS}),
+rc AS (SELECT lang, word, sum(n) / any_value(words) AS q FROM cw JOIN ref USING (lang) WHERE row_id IN (SELECT row_id FROM c WHERE NOT base_failed) GROUP BY lang, word),
 rs AS (SELECT lang, sum(q) AS listed FROM rc GROUP BY lang),
 cd AS (SELECT cw.row_id, sum({_TERM('cw.n / n.n_words', 'coalesce(rc.q, 0)')}) AS d, sum(cw.n / n.n_words) AS p, sum(coalesce(rc.q, 0)) AS q
        FROM cw JOIN n USING (row_id) LEFT JOIN rc ON rc.lang = cw.lang AND rc.word = cw.word GROUP BY cw.row_id),
-j AS (SELECT c.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-        sqrt(greatest({' + '.join(_TERM(f'({x} / word_chars)', f'q{k}') for k, x in enumerate(('lower_case', 'upper_case', 'digits', 'n_symbols', 'others'), 1))}, 0) / 2) AS dc,
+j AS (SELECT c.*, sqrt(greatest({' + '.join(_TERM(f'({x} / word_chars)', f'q{k}') for k, x in enumerate(_COUNTED, 1))}, 0) / 2) AS dc,
         greatest(coalesce(cd.d, 0) + greatest(coalesce(listed, 0) - coalesce(cd.q, 0), 0), 0) AS dw,
-        greatest(1 - coalesce(cd.p, 0), 0) AS po, greatest(1 - coalesce(listed, 0), 0) AS qo, ref.lang IS NOT NULL AS known
-      FROM c LEFT JOIN dl USING (row_id) LEFT JOIN rw USING (row_id) LEFT JOIN cd USING (row_id)
-      LEFT JOIN ref ON ref.lang = c.lang LEFT JOIN rs ON rs.lang = c.lang),
-v AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
-        known AND n_words >= {MIN_CLASS_WORDS} AND dc > {MAX_CLASS_DISTANCE} AS odd_class,
-        known AND n_words >= {MIN_COMMON_WORDS} AND sqrt((dw + {_TERM('po', 'qo')}) / 2) > {MAX_COMMON_DISTANCE} AS odd_words FROM j)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR coalesce(odd_class, FALSE) OR coalesce(odd_words, FALSE)) AS kept FROM v
+        greatest(1 - coalesce(cd.p, 0), 0) AS po, greatest(1 - coalesce(listed, 0), 0) AS qo
+      FROM c LEFT JOIN cd USING (row_id) JOIN ref ON ref.lang = c.lang LEFT JOIN rs ON rs.lang = c.lang),
+v AS (SELECT *, sqrt(greatest(dw + {_TERM('po', 'qo')}, 0) / 2) AS dd FROM j),
+m AS (SELECT lang, median(round(dc, 3)) AS mc, median(round(dd, 3)) AS mw FROM v WHERE NOT base_failed AND n_words >= {MIN_CLASS_WORDS} GROUP BY lang),
+o AS (SELECT row_id, n_words >= {MIN_CLASS_WORDS} AND (dc > mc * {CLASS_LIMIT} OR dc > mc * {JOINT_CLASS_LIMIT} AND dd > mw * {JOINT_WORD_LIMIT})
+        OR n_words >= {MIN_COMMON_WORDS} AND dd > mw * {WORD_LIMIT} AS odd FROM v JOIN m USING (lang))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR coalesce(odd, FALSE)) AS kept
+FROM c LEFT JOIN o USING (row_id)
 """
-
-_DISTANCE = f"sqrt((dw + {_TERM('po', 'qo')}) / 2)"
-#: The same with the joint rule.
-OP4_JOINT_SQL = OP4_SQL.replace(
-    "AS odd_words FROM j)",
-    f"AS odd_words,\n        known AND n_words >= {MIN_CLASS_WORDS} AND dc > {JOINT_CLASS_DISTANCE} AND {_DISTANCE} > {JOINT_COMMON_DISTANCE} AS odd_both FROM j)",
-).replace("coalesce(odd_words, FALSE))", "coalesce(odd_words, FALSE) OR coalesce(odd_both, FALSE))")
