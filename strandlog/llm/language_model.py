@@ -11,7 +11,9 @@ P(w | v) = l2 * c(v,w)/c(v) + l1 * c(w)/N + l0/(V+1), with weights for each
 bucket of the context's frequency c(v). The weights are learned by
 expectation-maximisation on held-out counts: every training token is predicted
 from the counts without its own batch. All tokens take part, through a bounded
-histogram of (bucket, p2/p0, p1/p0) on quarter-octave steps.
+histogram of (bucket, p2/p0, p1/p0) on quarter-octave steps from 2**-16 to 2**47
+whose cells hold the sums of both ratios, so that a cell stands for its mean; a
+ratio is at most the number of types, so none is clipped below 10**14 types.
 
 Words are told apart by 64-bit hashes. Defined results: null and empty texts
 are one end token; without training documents every score is 0 (the one unseen
@@ -32,7 +34,9 @@ FOLDS, HELD_OUT = 7, 2
 #: Bytes of text of a batch, and of all texts for each bucket of keys.
 BATCH_TEXT, BUCKET_TEXT, MIN_BATCHES, MIN_BUCKETS = 6 << 20, 16 << 20, 16, 12
 #: Context-frequency buckets (by powers of two), steps of an octave, and steps kept.
-BUCKETS, STEPS, LEVELS = 16, 4, 160
+BUCKETS, STEPS, LEVELS = 16, 4, 256
+#: The level of a ratio of one.
+EVEN = 1 + 16 * STEPS
 EM_STEPS = 200
 SMALL = {1: "<u1", 2: "<u2", 4: "<u4", 8: "<u8"}
 
@@ -127,11 +131,11 @@ def answers(key, tab):
 
 
 def level(p, p0: float):
-    """Quarter octaves of p over p0, from 1; 0 for no probability."""
+    """Quarter octaves of p over p0, ``EVEN`` for equals; 0 for no probability."""
     import numpy as np
 
     with np.errstate(divide="ignore"):
-        return np.where(p > 0, np.clip(np.rint(STEPS * np.log2(np.where(p > 0, p, 1) / p0)) + 1 + LEVELS // 4, 1, LEVELS - 1), 0).astype(np.int64)
+        return np.where(p > 0, np.clip(np.rint(STEPS * np.log2(np.where(p > 0, p, 1) / p0)) + EVEN, 1, LEVELS - 1), 0).astype(np.int64)
 
 
 def context_bucket(c1):
@@ -151,7 +155,7 @@ def contexts(cw, starts, ends: int):
     return c1
 
 
-OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, counts binary, cell long, cell_n long"
+OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, counts binary, cell long, cell_n long, cell_r2 double, cell_r1 double"
 
 
 def counted(n_tokens: int, n_types: int, ends: int):
@@ -183,34 +187,34 @@ def counted(n_tokens: int, n_types: int, ends: int):
         w1, w2 = cw - own[0], c2 - own[1]
         v1 = contexts(w1, starts, ends - mine)
         p0, rest = 1 / (n_types + 1), max(1, n_tokens - int(train.sum()))
-        cell = (context_bucket(v1) * LEVELS + level(np.where(v1 > 0, w2 / np.maximum(v1, 1), 0.0), p0)) * LEVELS + level(w1 / rest, p0)
-        cell, cell_n = np.unique(cell[train], return_counts=True)
+        p2, p1 = np.where(v1 > 0, w2 / np.maximum(v1, 1), 0.0)[train], (w1 / rest)[train]
+        cell, at, cell_n = np.unique((context_bucket(v1)[train] * LEVELS + level(p2, p0)) * LEVELS + level(p1, p0), return_inverse=True, return_counts=True)
+        r2, r1 = (np.bincount(at, weights=p / p0, minlength=len(cell)) for p in (p2, p1))
         pack = zstandard.ZstdCompressor(level=1).compress
         blobs = [pack(cw[i:j].astype("<u4").tobytes() + c2[i:j].astype("<u4").tobytes()) for i, j in zip(starts[:-1], starts[1:])]
         n, k = len(sizes), len(cell)
-        cols = [tab.column("doc_id").to_pylist() + [None] * k, tab.column("held_out").to_pylist() + [None] * k, sizes.tolist() + [None] * k, known.tolist() + [None] * k, base.tolist() + [None] * k, blobs + [None] * k, [None] * n + cell.tolist(), [None] * n + cell_n.tolist()]
+        cols = [tab.column("doc_id").to_pylist() + [None] * k, tab.column("held_out").to_pylist() + [None] * k, sizes.tolist() + [None] * k, known.tolist() + [None] * k, base.tolist() + [None] * k, blobs + [None] * k, [None] * n + cell.tolist(), [None] * n + cell_n.tolist(), [None] * n + r2.tolist(), [None] * n + r1.tolist()]
         return pa.table({c: pa.array(v, t) for c, v, t in zip(names, cols, types)})
 
     import pyarrow as pa
 
     names = [c.split()[0] for c in OUT.split(", ")]
-    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.int64(), pa.int64()]
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     return run
 
 
-def learn_weights(cells, counts):
-    """Weights (BUCKETS, 3) of p2, p1 and p0 by expectation-maximisation over the histogram."""
+def learn_weights(cells, counts, r2, r1):
+    """Weights (BUCKETS, 3) of p2, p1 and p0 by expectation-maximisation over the histogram's cells, their tokens and sums of ratios."""
     import numpy as np
 
-    ratio = lambda q: np.where(q > 0, 2.0 ** ((q - 1 - LEVELS // 4) / STEPS), 0.0)
-    bucket, q2, q1 = cells // (LEVELS * LEVELS), cells // LEVELS % LEVELS, cells % LEVELS
+    bucket = cells // (LEVELS * LEVELS)
     out = np.tile(np.array([0.3, 0.5, 0.2]), (BUCKETS, 1))
     everything = np.ones(len(cells), dtype=bool)
     for b in [None, *range(BUCKETS)]:  # all contexts first: where buckets without tokens start from
         mine = everything if b is None else bucket == b
         if not mine.any():
             continue
-        p = np.stack([ratio(q2[mine]), ratio(q1[mine]), np.ones(mine.sum())], axis=1)
+        p = np.stack([r2[mine] / counts[mine], r1[mine] / counts[mine], np.ones(mine.sum())], axis=1)
         n, w = counts[mine].astype(float), np.full(3, 1 / 3) if b is None else out[b].copy()
         for _ in range(EM_STEPS):
             x = p * w
@@ -267,8 +271,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     out = materialize(out, "lm-counts")
     import numpy as np
 
-    got = out.filter("cell is not null").groupBy("cell").agg(F.sum("cell_n").alias("n")).collect()  # at most BUCKETS * LEVELS**2 cells
-    weights = learn_weights(np.array([r.cell for r in got], dtype=np.int64), np.array([r.n for r in got], dtype=np.int64))
+    got = out.filter("cell is not null").groupBy("cell").agg(F.sum("cell_n").alias("n"), F.sum("cell_r2").alias("r2"), F.sum("cell_r1").alias("r1")).orderBy("cell").collect()  # at most BUCKETS * LEVELS**2 cells
+    weights = learn_weights(*(np.array([r[k] for r in got], dtype=t) for k, t in enumerate((np.int64, np.int64, float, float))))
     scored = score_counts(out.filter("cell is null"), weights, n_tokens, n_types, ends)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
