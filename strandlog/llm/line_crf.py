@@ -21,10 +21,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import bounded, doc_bytes, fold_of, table
+from strandlog.llm.common import bounded, doc_bytes, fold_of, table, unit_hash
 
-#: Labelled documents of each class, and bytes of text of each, to train on.
-TRAIN_EACH, TRAIN_TEXT = 1200, 60_000
+#: Labelled documents of each class to train on, and characters of each: of a longer text one span at a hashed place.
+TRAIN_EACH, TRAIN_CHARS = 1200, 60_000
 FOLDS, THRESHOLD = 5, 0.3
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123)) + bytes(range(128, 256))
@@ -191,8 +191,11 @@ def train(docs: DataFrame, labels: DataFrame) -> LineChain:
         chain.a, chain.b = 0.0, float(LineChain.logit(np.array(chain.share)))
         return chain
     picked = [lab.filter(F.col("quality") == q).orderBy(F.xxhash64("label_id"), "label_id").limit(TRAIN_EACH) for q in (0, 1)]
-    sample = doc_bytes(docs, "doc_id").filter(F.octet_length("text") <= TRAIN_TEXT).join(F.broadcast(picked[0].union(picked[1])), F.col("doc_id") == F.col("label_id"))  # at most 2 * TRAIN_EACH rows
-    rows = sorted((r.doc_id, bytes(r.text), r.quality) for r in sample.select("doc_id", "text", "quality").limit(8 * TRAIN_EACH).collect())
+    place = F.floor(unit_hash("doc_id", "text") * F.greatest(F.lit(0), F.length("text") - TRAIN_CHARS)) + 1
+    spans = docs.select("doc_id", F.substring(F.col("text"), place.cast("int"), F.lit(TRAIN_CHARS)).alias("text"))
+    sample = doc_bytes(spans, "doc_id").join(F.broadcast(picked[0].union(picked[1])), F.col("doc_id") == F.col("label_id"))  # at most 2 * TRAIN_EACH rows
+    picked_rows = sample.select("doc_id", "text", "quality").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text", "quality").limit(8 * TRAIN_EACH)  # ids may repeat
+    rows = sorted((r.doc_id, bytes(r.text), r.quality) for r in picked_rows.collect())
     q = np.array([r[2] for r in rows], dtype=np.int64)
     bins, sizes, starts = features([r[1] for r in rows])
     doc = np.repeat(np.arange(len(rows)), np.diff(starts))
