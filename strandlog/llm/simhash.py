@@ -19,7 +19,9 @@ range, so all slices together make every variant once. Past
 expected share below that number.
 
 Links are reduced to connected components by alternating large-star and
-small-star steps over checkpointed tables.
+small-star steps over checkpointed tables. Joins by fingerprint or vertex meet
+hubs and hot fingerprints (all empty texts have one): the keys of over a
+thousandth of the rows, fewer than a thousand, are joined by broadcast.
 
 Defined results: texts of fewer than four words are one shingle, texts without
 words (null, empty) have fingerprint zero and link like any other; rows of
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from strandlog.llm.common import bounded, doc_bytes, materialize, table
+from strandlog.llm.common import bounded, discard, doc_bytes, materialize, table
 
 BITS, SEED = 64, 42
 #: Fingerprints of one syndrome's task, variants that it sorts at once, and links that it holds unmerged.
@@ -299,43 +301,60 @@ def links(distinct: DataFrame, radius: int = 2, count: int | None = None) -> Dat
     return distinct.select("fp").mapInArrow(emit, "syndrome long, fps binary").groupBy("syndrome").applyInArrow(match, "u long, v long")
 
 
+#: Keys that are joined by broadcast: those with more than one of so many parts of all rows.
+HOT_KEYS = 1000
+
+
+def hub_join(left: DataFrame, right: DataFrame, on: str, key: str, total: int) -> DataFrame:
+    """Inner join of left.on with right.key, of which each value has one row and ``n`` rows in ``left``, ``total`` in all."""
+    hot = F.col("n") * HOT_KEYS > total  # fewer than HOT_KEYS rows
+    hubs = right.filter(hot).drop("n")
+    near = left.join(F.broadcast(hubs), F.col(on) == F.col(key))
+    far = left.join(F.broadcast(hubs.select(F.col(key).alias("_hub"))), F.col(on) == F.col("_hub"), "left_anti")
+    return near.unionByName(far.join(right.filter(~hot).drop("n"), F.col(on) == F.col(key)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: every vertex of the edges (u, v), with the smallest vertex of its component.
 
     Alternating star steps: a large star hangs the larger neighbours of a vertex
     on its smallest neighbour, a small star the smaller ones. Both aggregate
-    before they join, so a hub is a counter, not a gathered group.
+    before they join, so a hub is a counter, not a gathered group. They end when
+    every vertex hangs on one other and none of those hangs on a third.
     """
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "star")
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("c")).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"), "n")
+        large = hub_join(both, low, "u", "c", 2 * edges.count()).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.filter("u <> v").distinct(), "star")
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
-        small = large.join(low, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("c", "m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumnRenamed("u", "c")
+        small = hub_join(large, low, "u", "c", large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("c", "m"))
         small = materialize(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
-        if not edges.exceptAll(small).limit(1).count() and edges.count() == small.count():
-            return small.select(F.col("u").alias("node"), F.col("v").alias("label")).union(small.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        discard(edges, large)
         edges = small
+        centres = edges.select(F.col("v").alias("centre")).distinct()
+        hung = centres.join(edges.groupBy("u").agg(F.count("*").alias("n")), F.col("centre") == F.col("u"))
+        if not edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() and not hung.limit(1).count():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(centres.select("centre", "centre"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 2) -> DataFrame:
     """doc_id, fp, component_id, group_fp for every row: the smallest doc_id (and the smallest
     fingerprint, by which groups can be told apart) reachable over links of up to 2 * radius bits."""
     prints = materialize(fingerprints(docs, size), "simhash-fp")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-distinct")
     edges = materialize(links(distinct, radius), "simhash-links")
     member = distinct.withColumn("group_fp", F.col("fp"))
     if edges.limit(1).count():
         labels = materialize(components(edges), "simhash-labels")
-        named = distinct.join(labels, F.col("fp") == F.col("node")).select("fp", "label", "rep")
-        least = named.groupBy("label").agg(F.min("rep").alias("least")).withColumnRenamed("label", "of")
-        linked = named.join(least, F.col("label") == F.col("of")).select(F.col("fp").alias("linked_fp"), "least", "label")
-        member = distinct.join(linked, F.col("fp") == F.col("linked_fp"), "left").select("fp", F.coalesce("least", "rep").alias("rep"), F.coalesce("label", "fp").alias("group_fp"))
+        named = materialize(distinct.join(labels, F.col("fp") == F.col("node")).select("fp", "label", "rep"), "simhash-named")
+        least = named.groupBy("label").agg(F.min("rep").alias("least"), F.count("*").alias("n")).withColumnRenamed("label", "of")
+        linked = hub_join(named, least, "label", "of", named.count()).select(F.col("fp").alias("linked_fp"), "least", "label")
+        member = distinct.join(linked, F.col("fp") == F.col("linked_fp"), "left").select("fp", F.coalesce("least", "rep").alias("rep"), F.coalesce("label", "fp").alias("group_fp"), "n")
         member = materialize(member, "simhash-member")
-    member = member.select(F.col("fp").alias("member_fp"), F.col("rep").alias("component_id"), "group_fp")
-    return prints.join(member, F.col("fp") == F.col("member_fp")).select("doc_id", "fp", "component_id", "group_fp")
+    member = member.select(F.col("fp").alias("member_fp"), F.col("rep").alias("component_id"), "group_fp", "n")
+    return hub_join(prints, member, "fp", "member_fp", prints.count()).select("doc_id", "fp", "component_id", "group_fp")
 
 
 def keep_one(docs: DataFrame, size: int = 4, radius: int = 2) -> DataFrame:
