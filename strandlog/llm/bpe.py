@@ -1,13 +1,18 @@
 """Operator 10: BPE encoding and decoding by tree concatenation.
 
-Text is cut at ASCII white space where the tokenizer drops white space itself
-(its pre-tokenizer never joins characters across it), and each distinct piece
-is encoded once per worker. A piece that the tokenizer cannot split and that is
-longer than ``leaf`` characters is encoded as a tree: leaves are encoded in one
-parallel library batch, and neighbours are joined by re-encoding a growing
-window around the join until its tokens agree with both sides. Two valid
-encodings that share a token over the same characters can be spliced there,
-since a BPE result is valid exactly when all its adjacent pairs are.
+A text of more than ``TREE_BYTES`` is encoded as a tree: it is halved until its
+parts are no longer, all parts of a batch are encoded together, and neighbours
+are joined by re-encoding a growing window around the join until its tokens
+agree exactly with those of both sides. Two valid encodings that share tokens
+over the same characters can be spliced there, since a BPE result is valid
+exactly when all its adjacent pairs are. Of a part only the ends are encoded
+with the place of every token, as joins look there; a join whose window would
+leave them encodes its text again as a tree of parts with all places.
+
+Shorter texts, and the middles of parts, are cut at ASCII white space where the
+tokenizer drops white space itself (its pre-tokenizer never joins characters
+across it), and each distinct piece is encoded once per worker; a piece of over
+``LEAF_CHARS`` characters without white space is a tree again.
 
 Defined results: null and empty texts have no tokens and decode to the empty
 text; repeated rows give repeated results; other columns are ignored; an empty
@@ -27,12 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandlog.llm.common import bounded, doc_bytes, table
 
-#: Pieces that a worker remembers; past that it starts anew, so memory is bounded.
-CACHE_PIECES = 700_000
+#: Pieces that a worker remembers, and their longest; past that it starts anew, so memory is bounded.
+CACHE_PIECES, CACHED_PIECE = 700_000, 256
+#: Bytes of a text, and of a part of it, that need no halving, and characters of a part's ends.
+TREE_BYTES, EDGE_CHARS = 8192, 160
 #: ASCII symbols without the apostrophe, and the UTF-8 bytes of a-z and Latin-1 letters: the tokenizer
 #: always splits a piece of such letters from the symbols after them.
 SYMBOLS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 LATIN = bytes([*range(97, 123), *range(0x80, 0xC0), 0xC3])
+SPACE = re.compile(r"[\x20\x09-\x0D]")
 #: Characters of a piece that is still encoded by one library call.
 LEAF_CHARS = 2048
 #: First half-width, in characters, of the window around a join.
@@ -42,7 +50,7 @@ WINDOW_CHARS = 32
 class PieceEncoder:
     """Encodes whole texts to packed little-endian ids, exactly as the library does."""
 
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES, leaf: int = LEAF_CHARS):
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES, leaf: int = LEAF_CHARS, tree: int = TREE_BYTES):
         from tokenizers import Tokenizer
 
         self.tk = Tokenizer.from_file(path)
@@ -53,7 +61,8 @@ class PieceEncoder:
         self.dtype = "<u2" if self.vocab <= 1 << 16 else "<u4"
         self.width = int(self.dtype[-1])
         self.cache: dict[bytes, bytes] = {}
-        self.cache_pieces, self.leaf = cache_pieces, leaf
+        self.cache_pieces, self.leaf, self.tree = cache_pieces, leaf, tree
+        self.joins = 0
         added = [t["content"] for t in conf["added_tokens"]]
         self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.by_piece = self._drops_space(conf) and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in conf["added_tokens"])
@@ -78,7 +87,15 @@ class PieceEncoder:
         return np.asarray(ids, dtype=self.dtype).tobytes()
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
-        """Packed ids of each text."""
+        """Packed ids of each text; long texts as trees."""
+        long = [k for k, t in enumerate(texts) if len(t) > self.tree]
+        out = self._encode_pieces([b"" if len(t) > self.tree else t for t in texts])
+        for k, ids in zip(long, self.encode_trees([texts[k].decode("utf-8", "replace") for k in long])):
+            out[k] = ids
+        return out
+
+    def _encode_pieces(self, texts: list[bytes]) -> list[bytes]:
+        """Packed ids of each text, piece by piece."""
         if not self.by_piece:
             return [self.pack(e.ids) for e in self.tk.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
         if len(self.cache) > self.cache_pieces:
@@ -88,13 +105,16 @@ class PieceEncoder:
             texts = [t if b"\xcc" in t or b"\xcd" in t or b"<|" in t else t.lower() for t in texts]
         split = [t.split() for t in texts]
         new = set().union(*split).difference(self.cache)
-        if new:
-            self._learn(list(new))
+        passing = self._learn(list(new)) if new else ()
         packed = self.cache.__getitem__
-        return [b"".join(map(packed, words)) for words in split]
+        out = [b"".join(map(packed, words)) for words in split]
+        for p in passing:  # long pieces are not remembered
+            del self.cache[p]
+        return out
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Encode pieces that are new to this worker and remember them."""
+    def _learn(self, pieces: list[bytes]) -> list[bytes]:
+        """Encode pieces that are new to this worker; returns those too long to be remembered."""
+        passing = [p for p in pieces if len(p) > CACHED_PIECE]
         if self.words is not None:
             pieces = self._learn_simple(pieces)
         short, long = [], []
@@ -107,6 +127,7 @@ class PieceEncoder:
                 cache[p] = pack(e.ids)
         for p in long:
             cache[p] = pack(self.encode_long(p.decode("utf-8", "replace")))
+        return passing
 
     def _learn_simple(self, pieces: list[bytes]) -> list[bytes]:
         """Learn pieces of letters and symbols by their two parts; the others are returned.
@@ -121,7 +142,7 @@ class PieceEncoder:
         words, rest, simple = self.words, [], []
         for p in pieces:
             w = p.rstrip(SYMBOLS)
-            if w and len(p) <= self.leaf and (w.isalpha() or not w.translate(None, LATIN) and b"\xc3\x97" not in w and b"\xc3\xb7" not in w) and w == w.lower():
+            if w and len(p) <= CACHED_PIECE and (w.isalpha() or not w.translate(None, LATIN) and b"\xc3\x97" not in w and b"\xc3\xb7" not in w) and w == w.lower():
                 simple.append((p, w, p[len(w) :]))
             else:
                 rest.append(p)
@@ -132,7 +153,10 @@ class PieceEncoder:
             part = new[i : i + 100]
             ids = np.array(self.tk.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype=self.dtype)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            assert len(stops) == len(part), "a word end is missing"
+            if len(stops) != len(part):  # these words cannot be told apart: one by one
+                for w, e in zip(part, self.tk.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                    words[w] = self.pack(e.ids)
+                continue
             data, at = ids.tobytes(), 0
             for w, stop in zip(part, (stops * self.width).tolist()):
                 words[w] = data[at:stop]
@@ -144,6 +168,62 @@ class PieceEncoder:
             self.cache[p] = words[w] + words[s] if s else words[w]
         return rest
 
+    def encode_trees(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of long texts: parts of all of them are encoded together, then joined text by text."""
+        plans, middles, edges = [], [], []
+        for text in texts:
+            plan = []
+            for part in self.special.split(text) if self.special else [text]:
+                if part and self.special and self.special.fullmatch(part):
+                    plan.append(self.pack([self.tk.token_to_id(part)]))
+                elif part:
+                    plan.append((part, [self._part(part, lo, hi, middles, edges) for lo, hi in self._halves(part, self.tree)]))
+            plans.append(plan)
+        packed = self._encode_pieces([m.encode("utf-8", "replace") for m in middles])
+        placed = self.tk.encode_batch([text[a:b] for text, a, b in edges], add_special_tokens=False)
+        tokens = [[(i, a + at, b + at) for i, (a, b) in zip(e.ids, e.offsets)] for e, (_, at, _) in zip(placed, edges)]
+        return [b"".join(p if isinstance(p, bytes) else self._joined(*p, packed, tokens) for p in plan) for plan in plans]
+
+    def _part(self, text: str, lo: int, hi: int, middles: list, edges: list) -> tuple:
+        """(lo, hi, head, middle, tail) of a part: numbers of its pieces in the lists; without a middle the head is all of it."""
+        a = b = None
+        if self.by_piece and hi - lo > 4 * EDGE_CHARS:
+            a, b = SPACE.search(text, lo + EDGE_CHARS, hi), max(text.rfind(c, lo, hi - EDGE_CHARS) for c in " \n\t\r\x0b\x0c")
+        if not a or b <= a.start():
+            edges.append((text, lo, hi))
+            return lo, hi, len(edges) - 1, None, None
+        a = a.start()
+        edges += [(text, lo, a), (text, b, hi)]
+        middles.append(text[a:b])
+        return lo, hi, len(edges) - 2, len(middles) - 1, len(edges) - 1
+
+    def _joined(self, text: str, parts: list, packed: list, tokens: list) -> bytes:
+        """Splice neighbours, each at the ends that meet; the tree's order does not matter, as joins do not overlap."""
+        out, open_tokens, lo = [], tokens[parts[0][2]], parts[0][0]
+        for k, (start, _, head, middle, tail) in enumerate(parts):
+            if k:
+                right_end = self._edge_end(text, parts[k])
+                joined = self._splice(text, open_tokens, tokens[head], start, lo, right_end, (lo == 0, right_end == len(text)))
+                if joined is None:
+                    return self.pack(self._tree(text))
+                open_tokens = joined
+            if middle is not None:
+                out += [self.pack([t[0] for t in open_tokens]), packed[middle]]
+                open_tokens, lo = tokens[tail], self._edge_start(text, parts[k])
+        return b"".join([*out, self.pack([t[0] for t in open_tokens])])
+
+    @staticmethod
+    def _edge_end(text: str, part: tuple) -> int:
+        """Where the head of a part ends."""
+        lo, hi, _, middle, _ = part
+        return hi if middle is None else SPACE.search(text, lo + EDGE_CHARS, hi).start()
+
+    @staticmethod
+    def _edge_start(text: str, part: tuple) -> int:
+        """Where the tail of a part begins."""
+        lo, hi, _, _, _ = part
+        return max(text.rfind(c, lo, hi - EDGE_CHARS) for c in " \n\t\r\x0b\x0c")
+
     def encode_long(self, text: str) -> list[int]:
         """Ids of a long unsplit text, by tree concatenation between special tokens."""
         out: list[int] = []
@@ -158,37 +238,46 @@ class PieceEncoder:
         e = self.tk.encode(text, add_special_tokens=False)
         return [(i, a + at, b + at) for i, (a, b) in zip(e.ids, e.offsets)]
 
-    def _tree(self, text: str) -> list[int]:
-        bounds: list[tuple[int, int]] = []
-
-        def halve(lo: int, hi: int):
-            mid = safe_cut(text, (lo + hi) // 2, lo, hi) if hi - lo > self.leaf else None
+    def _halves(self, text: str, leaf: int) -> list[tuple[int, int]]:
+        """Bounds of the parts of a text, halved at safe places until they are no longer than ``leaf``."""
+        out, todo = [], [(0, len(text))]
+        while todo:
+            lo, hi = todo.pop()
+            mid = safe_cut(text, (lo + hi) // 2, lo, hi) if hi - lo > leaf else None
             if mid is None:
-                bounds.append((lo, hi))
-                return len(bounds) - 1
-            return halve(lo, mid), mid, halve(mid, hi), lo, hi
-
-        shape = halve(0, len(text))
-        leaves = [[(i, a + lo, b + lo) for i, (a, b) in zip(e.ids, e.offsets)] for (lo, _), e in zip(bounds, self.tk.encode_batch([text[a:b] for a, b in bounds], add_special_tokens=False))]
-
-        def join(node):
-            if isinstance(node, int):
-                return leaves[node]
-            left, mid, right, lo, hi = node
-            return self._splice(text, join(left), join(right), mid, lo, hi)
-
-        return [i for i, _, _ in join(shape)]
+                out.append((lo, hi))
+            else:
+                todo += [(mid, hi), (lo, mid)]
+        return out
 
-    def _splice(self, text: str, left: list, right: list, mid: int, lo: int, hi: int) -> list:
+    def _tree(self, text: str) -> list[int]:
+        """Ids of a text from parts that are encoded with the places of all tokens."""
+        bounds = self._halves(text, self.leaf)
+        parts = [(lo, hi, [(i, a + lo, b + lo) for i, (a, b) in zip(e.ids, e.offsets)]) for (lo, hi), e in zip(bounds, self.tk.encode_batch([text[a:b] for a, b in bounds], add_special_tokens=False))]
+        while len(parts) > 1:  # neighbours join in pairs
+            joined = [(a, d, self._splice(text, left, right, b, a, d, (True, True))) for (a, b, left), (_, d, right) in zip(parts[::2], parts[1::2])]
+            parts = joined + parts[len(parts) // 2 * 2 :]
+        return [i for i, _, _ in parts[0][2]]
+
+    def _splice(self, text: str, left: list, right: list, mid: int, lo: int, hi: int, whole: tuple[bool, bool]) -> list | None:
+        """Tokens of text[lo:hi] from those of its two sides.
+
+        ``whole`` says of each end whether the window may end there without
+        agreeing first: the sides' tokens count as right up to there. None if the
+        window has reached an end that is not so, without agreement.
+        """
+        self.joins += 1
         half = WINDOW_CHARS
         while True:
             a = (safe_cut(text, mid - half, lo, mid) or lo) if mid - half > lo else lo
             b = (safe_cut(text, mid + half, mid, hi) or hi) if mid + half < hi else hi
             window = self._encoded(text[a:b], a)
-            head = (0, 0) if a == lo else shared(left, window, lambda t: t[2] <= mid)
-            tail = (len(right), len(window)) if b == hi else shared(right, window, lambda t: t[1] >= mid)
+            head = (0, 0) if a == lo and whole[0] else shared(left, window, lambda t: t[2] <= mid)
+            tail = (len(right), len(window)) if b == hi and whole[1] else shared(right, window, lambda t: t[1] >= mid)
             if head and tail and head[1] <= tail[1]:
-                return left[: head[0]] + window[head[1] : tail[1]] + right[tail[0] :] if b != hi else left[: head[0]] + window[head[1] :]
+                return left[: head[0]] + window[head[1] : tail[1]] + right[tail[0] :]
+            if a == lo and b == hi:
+                return None
             half *= 2
 
     def decode(self, ids) -> str:
