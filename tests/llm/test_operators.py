@@ -1,6 +1,7 @@
 """Each operator on odd inputs, and against brute force."""
 
 import hashlib
+import io
 import itertools
 import math
 import random
@@ -44,6 +45,26 @@ def test_tree_encoding_is_exact(library):
         assert enc.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+def test_trees_of_whole_texts(some_docs, library, monkeypatch):
+    """Texts with white space above a small bound go through halves and joins, and are exact."""
+    monkeypatch.setattr(bpe, "EDGE_CHARS", 20)
+    enc, rng = bpe.PieceEncoder(VOCAB, leaf=60, tree=120), random.Random(6)
+    texts = [r.text for r in some_docs.filter("text IS NOT NULL").limit(60).collect()]
+    alphabets = ["abcdefghijkl", "éàüß'", " ", " \n\t", "12ab's", "日本語かな", "हिन्दी", "ΣσİI", "\x0b\x85\u3000", "\u0301e "]
+    for _ in range(150):
+        text = rng.choice(texts)[: rng.randrange(3000)] + "".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randrange(900))) + rng.choice(["", "<|endoftext|> x", " don't"])
+        assert np.frombuffer(enc.encode_many([text.encode()])[0], dtype=enc.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert enc.joins > 500
+
+
+def test_trees_of_long_texts(library):
+    enc = bpe.PieceEncoder(VOCAB)
+    for text in ("ab" * 60_000, "the quick fox's " * 70_000, " " * 1_100_000, "a " + "é" * 20_000):
+        assert np.frombuffer(enc.encode_many([text.encode()])[0], dtype=enc.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert enc.joins > 100
+    assert max(map(len, enc.cache), default=0) <= bpe.CACHED_PIECE
+
+
 def test_codec_on_odd_rows(odd_docs, no_docs, library):
     got = bpe.digest_documents(odd_docs, VOCAB).collect()
     want = Counter()
@@ -70,14 +91,60 @@ def test_store_round_trip(spark, odd_docs, no_docs, library):
     assert token_store.read_store(spark, empty).count() == 0
 
 
+class Ranges:
+    """A file that counts what is read of it."""
+
+    def __init__(self, data):
+        self.data, self.at, self.got = data, 0, 0
+
+    def seek(self, at):
+        self.at = at
+
+    def read(self, n):
+        self.got += n
+        return self.data[self.at : self.at + n]
+
+
 def test_shard_finds_one_document():
-    w = token_store.ShardWriter(b"", 2)
-    for k in (None, 3, 5, 9):
-        w.add(k, bytes([k or 0, 0]) * 3)
-    r = token_store.ShardReader(w.data(), b"")
-    assert r.find(5) == bytes([5, 0]) * 3
+    out = io.BytesIO()
+    w = token_store.ShardWriter(out, b"", 2)
+    rng = np.random.default_rng(1)
+    texts = {k: rng.integers(0, 40_000, 2000).astype("<u2").tobytes() for k in range(0, 3000, 3)}
+    w.add(None, b"ab")
+    for k, v in texts.items():
+        w.add(k, v)
+    w.close()
+    data = out.getvalue()
+    file = Ranges(data)
+    r = token_store.ShardReader(file, len(data), b"")
+    assert r.find(900) == texts[900]
+    assert file.got < 10_000 < len(data) // 100
     with pytest.raises(KeyError):
         r.find(4)
+    assert [x[0] for part in r.scan() for x in part] == [None, *texts]
+    assert [x[2] for part in r.scan() for x in part] == [b"ab", *texts.values()]
+    with pytest.raises(ValueError, match="dictionary"):
+        token_store.ShardReader(file, len(data), b"other")
+
+
+def test_store_finds_one_document(spark, some_docs, library):
+    path = common.scratch_dir(spark, "store")
+    manifest = token_store.write_store(some_docs, path, VOCAB, end_id=2, shards=4)
+    assert len(manifest["shards"]) > 1
+    store = token_store.Store(path)
+    for r in some_docs.filter("doc_id % 37 = 0").collect():
+        assert store.find(r.doc_id) == [*library.encode(r.text or "", add_special_tokens=False).ids, 2]
+    with pytest.raises(KeyError):
+        store.find(-5)
+
+
+def test_store_of_null_ids(spark, some_docs):
+    path = common.scratch_dir(spark, "store")
+    nulls = some_docs.limit(30).withColumn("doc_id", F.lit(None).cast("long"))
+    token_store.write_store(nulls, path, VOCAB, end_id=2, shards=3)
+    got = sorted(token_store.read_store(spark, path).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == [0, *itertools.accumulate(r.n_tokens for r in got)][:-1]
+    assert len(got) == 30
 
 
 def test_mixing(odd_docs, no_docs, some_docs):
@@ -96,6 +163,21 @@ def test_mixing(odd_docs, no_docs, some_docs):
     assert mixing.mix(no_docs).count() == 0
 
 
+def test_mixing_of_rows_without_ids(spark):
+    """Null and repeated ids, equal rows among them, still meet the targets; the query is its SQL."""
+    import duckdb
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).cast("long").alias("doc_id"), F.concat(F.lit("one two "), (F.col("id") % 7).cast("string")).alias("text"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source")).repartition(5)
+    path = common.scratch_dir(spark, "mix-test")
+    rows.write.parquet(path)
+    got = mixing.mix(spark.read.parquet(path)).select("doc_id", "size", "source_size", "target", "taken")
+    for r in mixing.mix(spark.read.parquet(path)).groupBy("source", "target").agg(F.sum("taken").alias("taken")).collect():
+        assert abs(r.taken - r.target) <= 3
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path.removeprefix('file://')}/*.parquet'")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(con.sql(mixing.OP2_SQL).fetchall(), key=str)
+
+
 def test_quality_counts(odd_docs, no_docs):
     got = {r.doc_id: r for r in quality_rules.judge(odd_docs).collect()}
     assert got[2].base_failed
@@ -109,31 +191,110 @@ def test_quality_counts(odd_docs, no_docs):
     assert quality_rules.judge(no_docs).count() == 0
 
 
-def test_audio(odd_docs, no_docs):
-    import pyarrow as pa
+@pytest.fixture(scope="module")
+def verdicts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    return docs, quality_rules.judge(docs).collect()
+
+
+def test_quality_rejects_most_labelled_junk(spark, verdicts):
+    docs, got = verdicts
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    long = [r for r in got if not r.base_failed and r.n_words >= quality_rules.MIN_CLASS_WORDS and r.doc_id in labels]
+    lost = {q: np.mean([not r.kept for r in long if labels[r.doc_id] == q]) for q in (0, 1)}
+    assert lost[0] > 0.8
+    assert lost[1] < 0.01
+    kept = quality_rules.reject(docs, ("doc_id", "text"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in got if r.kept)
+
 
-    for r, text in zip(audio.describe(odd_docs).collect(), odd_docs.collect()):
+def test_quality_verdicts_match_sql(spark, verdicts):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    want = con.sql(quality_rules.OP4_SQL).select(*quality_rules.COLUMNS).fetchall()
+    assert sorted(tuple(r[c] for c in quality_rules.COLUMNS) for r in verdicts[1]) == sorted(want)
+
+
+def test_quality_of_many_languages_is_that_of_few(verdicts, monkeypatch):
+    """References that are joined by salt give the same verdicts as broadcast ones."""
+    monkeypatch.setattr(quality_rules, "BROADCAST_LANGUAGES", 0)
+    docs, got = verdicts
+    assert sorted((r.doc_id, r.kept) for r in quality_rules.judge(docs).select("doc_id", "kept").collect()) == sorted((r.doc_id, r.kept) for r in got)
+
+
+def test_audio(odd_docs, no_docs):
+    got = audio.describe(odd_docs).collect()
+    assert len(got) == odd_docs.count()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, set()).add((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.feature))
+    for text in odd_docs.collect():
         raw = (text.text or "").encode()
         pad = raw + b" " * ((-len(raw)) % 192 if raw else 192)
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-16:]))
-    x = np.random.default_rng(1).normal(size=1000).astype(np.float32)
-    bank = audio.phases(3, 4)
-    y = audio.resample(x, 3, 4)
-    padded = np.concatenate([np.zeros(8, np.float32), x, np.zeros(20, np.float32)])
-    for n in range(len(y)):  # polyphase against one output at a time
-        at, phase = divmod(n * 4, 3)
-        assert math.isclose(float(padded[at : at + 16] @ bank[phase]), float(y[n]), abs_tol=1e-4)
-    tone = np.sin(2 * np.pi * 500 * np.arange(16000) / 16000).astype(np.float32)
-    assert np.abs(audio.resample(tone)[200:-200]).max() > 0.9
-    assert audio.hysteresis(np.array([-2, 0, 2, 0, -2, 0, 2.0])) == [(2, 4), (6, 7)]
-    got = audio.features(audio.to_wav(audio.padded(b"abc def" * 4000)))
-    tensor = audio.patch_tensors(got["patches"])
-    assert isinstance(tensor, pa.FixedShapeTensorArray)
-    assert tensor.type.shape == [audio.PATCH_FRAMES, audio.MELS]
-    assert audio.extract(odd_docs).filter("patch = 0").count() == odd_docs.count()
+        (only,) = by[text.doc_id]
+        assert only[:5] == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-16:]), 44 + len(pad))
+        assert only[5].startswith(f"frames={len(audio.features(audio.to_wav(pad))['mel'])};")
     assert audio.describe(no_docs).count() == 0
 
 
+def test_stored_tensors(spark, odd_docs):
+    """What is stored is a fixed-shape tensor column with time spans, and it holds the features."""
+    import pyarrow as pa
+
+    path = common.scratch_dir(spark, "tensors")
+    files = audio.extract(audio.store_media(odd_docs), path).collect()
+    texts, seen = {r.doc_id: r.text for r in odd_docs.collect()}, 0
+    for f in files:
+        for batch in audio.read_features(path, f.file):
+            assert batch.column("log_mel").type == pa.fixed_shape_tensor(pa.float32(), (audio.PATCH_FRAMES, audio.MELS))
+            tensors = batch.column("log_mel").to_numpy_ndarray()
+            for k, row in enumerate(batch.drop_columns(["log_mel"]).to_pylist()):
+                want = audio.features(audio.to_wav(audio.padded((texts[row["doc_id"]] or "").encode())))
+                assert np.array_equal(tensors[k], want["patches"][row["patch"]])
+                assert (row["start"], row["stop"]) == want["spans"][row["patch"]]
+                assert all(row["start"] - 1e-9 <= s["start"] < s["stop"] for s in row["segments"])
+                seen += row["patch"] == 0
+    assert seen == odd_docs.count()
+
+
+@pytest.mark.parametrize(("up", "down"), [(160, 441), (3, 4), (1, 2), (5, 3)])
+def test_resampling_is_filter_then_decimate(up, down):
+    """Against zero-stuffing to the common rate, one plain convolution, and taking every down-th value."""
+    x = np.random.default_rng(1).normal(size=700)
+    taps = audio.TAPS
+    stuffed = np.zeros(len(x) * up)
+    stuffed[::up] = x
+    full = np.convolve(stuffed, audio.low_pass(up, down))
+    # Output k ends its window at input k * down // up + taps // 2 - 1, at the phase that is left over.
+    want = [full[(k * down // up + taps // 2 - 1) * up + k * down % up] if (k * down // up + taps // 2 - 1) * up + k * down % up < len(full) else 0 for k in range(-(-len(x) * up // down))]
+    assert np.allclose(audio.resample(x, up, down), want, atol=1e-9)
+
+
+def test_log_mel_is_that_of_the_definition():
+    x, rate = np.random.default_rng(2).normal(size=1500), 16_000
+    mel, power = audio.log_mel(x, rate)
+    hz = lambda m: 700 * (10 ** (m / 2595) - 1)
+    top = 2595 * math.log10(1 + rate / 2 / 700)
+    for t in range(len(mel)):
+        frame = np.zeros(audio.FRAME)
+        part = x[t * audio.HOP : t * audio.HOP + audio.FRAME]
+        frame[: len(part)] = part
+        windowed = frame * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(audio.FRAME) / (audio.FRAME - 1)))
+        spectrum = [abs(sum(v * np.exp(-2j * np.pi * f * np.arange(audio.FRAME) / audio.FRAME)[i] for i, v in enumerate(windowed))) ** 2 for f in (3, 40)] if t == 0 else None
+        if spectrum:
+            assert np.allclose(spectrum, np.abs(np.fft.rfft(windowed))[[3, 40]] ** 2)
+        energy = np.abs(np.fft.rfft(windowed)) ** 2
+        for m in range(audio.MELS):
+            low, mid, high = (hz(top * (m + k) / (audio.MELS + 1)) for k in range(3))
+            weight = [max(0.0, min((f - low) / (mid - low), (high - f) / (high - mid))) for f in np.arange(audio.FRAME // 2 + 1) * rate / audio.FRAME]
+            weight[int(np.argmin([abs(f - mid) for f in np.arange(audio.FRAME // 2 + 1) * rate / audio.FRAME]))] += 1e-3
+            assert math.isclose(mel[t, m], math.log10(float(np.dot(energy, weight)) + 1e-6), rel_tol=1e-9)
+        assert math.isclose(power[t], float((frame**2).mean()), rel_tol=1e-9)
+    assert audio.hysteresis(np.array([-2, 0, 2, 0, -2, 0, 2.0])) == [(2, 4), (6, 7)]
+
+
 def test_language_model(some_docs, odd_docs, no_docs):
     rows = some_docs.collect()
     toks = {r.doc_id: [*(r.text or "").encode().lower().split(), b""] for r in rows}
@@ -152,11 +313,54 @@ def test_language_model(some_docs, odd_docs, no_docs):
 
 
 def test_model_is_a_distribution():
-    w = language_model.learn_weights(np.array([0, 5 * 160 * 160 + 60 * 160 + 50]), np.array([10, 100]))
+    n = language_model.LEVELS
+    w = language_model.learn_weights(np.array([0, 5 * n * n + 90 * n + 80]), np.array([10, 100]), np.array([0.0, 4000.0]), np.array([0.0, 700.0]))
     assert np.allclose(w.sum(1), 1)
     assert w[0][0] == 0
 
 
+def test_scores_are_those_of_brute_force(spark, some_docs, monkeypatch):
+    """The whole model again, with plain dictionaries and exact ratios instead of a histogram."""
+    monkeypatch.setattr(language_model, "MIN_BATCHES", 3)
+    rows = some_docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b""))), F.lit(3)).alias("batch")).collect()
+    toks = [[*(r.text or "").encode().lower().split(), b""] for r in rows]
+    pairs = [list(zip([b"", *t], t)) for t in toks]  # the first follows an end
+    train = [zlib.crc32(str(r.doc_id).encode()) % 7 != 2 for r in rows]
+    c1, c2, own1, own2, ends = Counter(), Counter(), {}, {}, Counter()
+    for r, t, p, keep in zip(rows, toks, pairs, train):
+        if keep:
+            c1.update(t)
+            c2.update(p)
+            own1.setdefault(r.batch, Counter()).update(t)
+            own2.setdefault(r.batch, Counter()).update(p)
+    n, v = sum(c1.values()), len(c1)
+    bucket = lambda c: min(language_model.BUCKETS - 1, int(math.log2(c)) + 1) if c else 0
+    seen = {}
+    for r, p, keep in zip(rows, pairs, train):
+        if keep:
+            rest = n - sum(own1[r.batch].values())
+            for a, b in p:
+                a1 = c1[a] - own1[r.batch][a]
+                seen.setdefault(bucket(a1), []).append(((c2[a, b] - own2[r.batch][a, b]) / a1 if a1 else 0.0, (c1[b] - own1[r.batch][b]) / rest, 1 / (v + 1)))
+    weights = {}
+    for k, x in [(None, sum(seen.values(), [])), *seen.items()]:  # contexts of buckets that were not seen take the weights of all
+        x, w = np.array(x), np.full(3, 1 / 3)
+        for _ in range(300):
+            e = x * w
+            w = (e / e.sum(1, keepdims=True)).sum(0)
+            w /= w.sum()
+        weights[k] = w
+    got = {r.doc_id: r.score for r in language_model.score_documents(some_docs).collect()}
+    diffs = []
+    for r, p in zip(rows, pairs):
+        want = 0.0
+        for a, b in p:
+            w = weights.get(bucket(c1[a]), weights[None])
+            want += math.log10(w @ np.array([c2[a, b] / c1[a] if c1[a] else 0.0, c1[b] / n, 1 / (v + 1)]))
+        diffs.append(abs(want - got[r.doc_id]) / len(p))  # of a token's logarithm
+    assert max(diffs) < 1e-3
+
+
 def test_line_chain_marginals_are_exact():
     rng, chain = np.random.default_rng(2), line_crf.LineChain()
     chain.pair = rng.normal(size=(2, 2))
@@ -195,6 +399,77 @@ def test_language_mixture(some_docs, odd_docs, no_docs):
     odd = {r.doc_id: r.lang_pred for r in language_mix.predict_documents(odd_docs, model).collect()}
     assert {odd[k] for k in (2, 3, 7)} == {"und"}
     assert language_mix.train(no_docs).predict("some text") == ("und", 0.0)
+    assert [model.predict(t) for t in ("½ ²", "Ⅷ", "12 _ 3", "")] == [("und", 0.0)] * 4
+    long = model.predict_many([" ".join(["the", "of", "and"] * 150_000), "the of and that is"])
+    assert [x[0] for x in long] == ["en", "en"]
+
+
+def brute_mixture(model, text):
+    """One document at a time: plain loops over words, expectation-maximisation to a finer tolerance, the same growth of the set."""
+    words, raw = [], " " + text.lower() + " "
+    for w in re.split("[\x00-\x60\x7b-\x7f]+", raw):
+        if w:
+            b = b" " + w.encode() + b" "
+            hashes = [((b[k] << 16 | b[k + 1] << 8 | b[k + 2]) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - model.bits) for k in range(len(b) - 2)]
+            words.append([math.exp(float(sum(model.logp[h, k].astype(float) for h in hashes))) for k in range(len(model.langs))])
+
+    def em(chosen):
+        p = {k: 1 / len(chosen) for k in chosen}
+        for _ in range(3000):
+            new = dict.fromkeys(chosen, 0.0)
+            for w in words:
+                z = sum(p[k] * w[k] for k in chosen)
+                for k in chosen:
+                    new[k] += p[k] * w[k] / z / len(words)
+            moved = max(abs(new[k] - p[k]) for k in chosen)
+            p = new
+            if moved < 1e-6:
+                break
+        return p, sum(math.log(sum(p[k] * w[k] for k in chosen)) for w in words)
+
+    full, _ = em(list(range(len(model.langs))))
+    order = sorted(full, key=lambda k: -full[k])
+    best = (-math.inf, None, 0)
+    for n in range(1, len(order) + 1):
+        p, like = em(order[:n])
+        value = like - language_mix.PENALTY * n * math.log(len(words) + 1)
+        if value <= best[0]:
+            break
+        lead = max(p, key=lambda k: p[k])
+        best = (value, model.langs[lead], p[lead])
+    return best[1:]
+
+
+def test_mixture_is_that_of_brute_force(some_docs):
+    model = language_mix.train(some_docs)
+    by = {}
+    for r in some_docs.filter("text IS NOT NULL AND length(text) < 1500").limit(120).collect():
+        by.setdefault(r.lang, []).append(r.text)
+    texts = [t for v in by.values() for t in v[:3]]
+    langs = sorted(by)
+    texts += [by[a][0] + " " + by[b][1] for a, b in itertools.combinations(langs, 2)] + [" ".join(by[k][0] for k in langs)]
+    for text, (lang, score) in zip(texts, model.predict_many(texts)):
+        want = brute_mixture(model, text)
+        assert lang == want[0] or abs(score - 0.5) < 0.02
+        assert abs(score - want[1]) < 0.02
+
+
+def test_every_language_has_a_model(spark):
+    """Some hundreds of languages, and one that is all long texts."""
+    rng = random.Random(1)
+    rows = []
+    for k in range(450):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(3)]
+        rows += [(10 * k + j, " ".join(own * 5), f"l{k:03d}") for j in range(4)]
+    rows += [(10**6 + j, "zyzzyva quux " * 8000, "long") for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_mix.train(docs)
+    assert set(model.langs) == {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5}
+    assert len(model.langs) > 440
+    assert model.bits < language_mix.HASH_BITS
+    assert model.predict("quux zyzzyva quux")[0] == "long"
+    got = model.predict_many([r[1] for r in rows[:-3:4]])
+    assert np.mean([g[0] == r[2] for g, r in zip(got, rows[:-3:4]) if r[2] in model.langs]) > 0.99
 
 
 def test_secret_base_spans(odd_docs, no_docs):
@@ -215,16 +490,87 @@ def test_secret_base_spans(odd_docs, no_docs):
     assert secret_scan.train(no_docs) is None
 
 
-def test_secret_network_generalizes():
-    rng = random.Random(9)
-    token = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.randrange(18, 40)))
-    word = lambda: "".join(rng.choice(["thor", "est", "ing", "on", "de"]) for _ in range(6)) + rng.choice(["", "7", "-2024"])
-    text = lambda t: f"some words {t} more"
-    data = [(secret_scan.window(text(t), 11, 11 + len(t)), y) for f, y in ((token, 1), (word, 0)) for t in (f() for _ in range(400))]
-    rng.shuffle(data)
-    x, y = secret_scan.encode_windows([d[0] for d in data]), np.array([d[1] for d in data])
-    net = secret_scan.CharNet().fit(x[:600], y[:600]).calibrate(x[:600], y[:600])
-    assert (((net.score(x[600:]) >= net.threshold) == y[600:]).mean()) > 0.95
+def brute_forward(net, win):
+    """The network by loops: every step of the surroundings and of the candidate, one after the other."""
+    chars = [c if c < 127 else 127 for c in map(ord, win)]
+    width, emb = net.WIDTH, net.w["e"]
+    act = lambda at: np.maximum(np.concatenate([emb[c] for c in chars[at : at + width]]) @ net.w["k"] + net.w["kb"], 0)
+    edge = secret_scan.BEFORE - width + 1
+    near = np.max([act(k) for k in range(edge)], axis=0)
+    own = np.max([act(k) for k in range(edge, len(chars) - width + 1)], axis=0)
+    token = chars[secret_scan.BEFORE : len(chars) - secret_scan.AFTER]
+    extra = [sum(48 <= c <= 57 for c in token) / len(token), len(set(token)) / min(len(token), 40), min(len(token), 64) / 64]
+    return float(np.concatenate([near, own, extra]) @ net.w["o"] + net.w["ob"][0])
+
+
+def random_windows(n=12, seed=3):
+    rng = random.Random(seed)
+    text = lambda k: "".join(rng.choice("abcdef0123456789XYZ+/é ") for _ in range(k))
+    return [secret_scan.window(t := text(30 + size + 20), 20, 20 + size) for size in [6, 43, 44, 45, 88, 200, 1000, *(rng.randrange(6, 60) for _ in range(n))]]
+
+
+def test_secret_network_is_that_of_brute_force():
+    wins = random_windows()
+    net = secret_scan.CharNet()
+    assert np.allclose(net.raw(secret_scan.encode_windows(wins)), [brute_forward(net, w) for w in wins])
+
+
+def test_secret_network_gradient():
+    wins = random_windows()
+    x, net = secret_scan.encode_windows(wins), secret_scan.CharNet()
+    d = np.random.default_rng(4).normal(size=len(wins))
+    got = net.gradient(x, d, net.forward(x)[1])
+    rng, step = np.random.default_rng(5), 1e-6
+    for name, w in net.w.items():
+        for at in rng.integers(0, w.size, 25):
+            held = w.flat[at]
+            values = []
+            for sign in (1, -1):
+                w.flat[at] = held + sign * step
+                values.append(net.forward(x)[0] @ d)
+            w.flat[at] = held
+            assert math.isclose((values[0] - values[1]) / (2 * step), got[name].flat[at], rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_secret_labels_are_those_of_brute_force(some_docs, odd_docs):
+    for r in [*some_docs.collect(), *odd_docs.collect()]:
+        text = r.text or ""
+        values = [(v, e) for _, _, e, v in secret_scan.base_spans(text)]
+        assert secret_scan.labels_of(text) == [(a, e, int(any(v < e and a < x for v, x in values))) for a, e in secret_scan.candidates(text)]
+
+
+def test_secret_recall(spark):
+    """Findings of held-out documents without their surroundings, and formats that no base pattern knows."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    net = secret_scan.train(docs.filter("doc_id % 2 = 0"))
+    held = [r.text for r in docs.filter("doc_id % 2 = 1 AND text IS NOT NULL").collect()]
+    found, clean = [], 0
+    for text in held:
+        for a, e, label in secret_scan.labels_of(text):
+            if label:
+                found.append("\0" * secret_scan.BEFORE + text[a:e] + "\0" * secret_scan.AFTER)
+    scores = net.score(secret_scan.encode_windows(found))
+    assert len(found) > 40
+    assert (scores >= net.threshold).mean() >= 0.9
+    made = secret_scan.generated([secret_scan.window(t, 40, 60) for t in held if len(t) > 100], 300, seed=77)
+    assert (net.score(secret_scan.encode_windows(made)) >= net.threshold).mean() >= 0.9
+    spans = secret_scan.scan_many(held, net)
+    base = [{(a, e) for a, k, e, _ in s if k < 3} for s in spans]
+    clean = sum(any(k == 3 for _, k, _, _ in s) and not b for s, b in zip(spans, base))
+    assert clean < 0.005 * len(held)
+    assert sum(k == 3 for s in spans for _, k, _, _ in s) >= 0.9 * len(found)
+
+
+def test_secrets_without_a_base_pattern(spark, some_docs, odd_docs):
+    """A small corpus has a model too, and it adds spans that no base pattern gives; long texts take linear time."""
+    net = secret_scan.train(some_docs)
+    text = "the deploy note says dG9rZW4tMTIzNDU2Nzg5MGFiY2RlZg9xQz and more words of the day"
+    (span,) = secret_scan.scan(text, net)
+    assert (secret_scan.KINDS[span[1]], text[span[0] : span[2]]) == ("model", "dG9rZW4tMTIzNDU2Nzg5MGFiY2RlZg9xQz")
+    many = " ".join(f"{k:032x}" for k in range(10**9, 10**9 + 20_000))
+    assert sum(k == 2 for _, k, _, _ in secret_scan.scan(many, net)) == 20_000
+    assert secret_scan.scan("x" * 1_200_000, net) is not None
+    assert secret_scan.scan_documents(odd_docs, net).count() == odd_docs.count()
 
 
 def brute_fingerprint(text):
@@ -310,6 +656,64 @@ def test_components_of_a_chain(spark):
     assert {r.label for r in simhash.components(edges).collect()} == {0}
 
 
+def test_components_are_those_of_brute_force(spark):
+    """Random graphs with hubs: more edges than HOT_KEYS, so that hubs are joined by broadcast."""
+    rng = random.Random(8)
+    edges = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1500)] + [(5, k) for k in range(3000, 4200)] + [(k, 7) for k in range(5000, 5400)]
+    edges = [(a, b) for a, b in edges if a != b]
+    label = {v: v for e in edges for v in e}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in edges:
+            low = min(label[a], label[b])
+            moved |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    got = {r.node: r.label for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == label
+
+
+def test_hot_fingerprints(spark):
+    """Empty texts share one fingerprint; each row is there once, with the smallest doc_id of all."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("")).otherwise(F.concat(F.lit("w"), F.sha2(F.col("id").cast("string"), 256))).alias("text"))
+    got = simhash.near_duplicates(docs).collect()
+    assert sorted(r.doc_id for r in got) == list(range(3000))
+    assert {r.component_id for r in got if r.doc_id % 3} == {1}
+
+
+def test_pipeline_runs(spark, tmp_path, sf, library):
+    """The whole run: what comes out are the digests of what the last stage but one kept."""
+    import corpus_pipeline as p
+
+    docs = common.table(spark, sf, "documents").limit(120)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = p.run(spark, str(tmp_path))
+    docs = common.table(spark, str(tmp_path), "documents")
+    for _, stage in p.STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, str(tmp_path)), "pipeline-test")
+    want = Counter()
+    for r in docs.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want[(r.doc_id, len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in out.collect()) == want
+    assert want
+
+
+def test_all_operators_on_all_nulls(spark):
+    """A table whose every value is null."""
+    nulls = spark.createDataFrame([(None,) * 5] * 4, "doc_id long, text string, lang string, source string, n_chars long")
+    assert bpe.digest_documents(nulls, VOCAB).count() == 4
+    assert {r.taken for r in mixing.mix(nulls).collect()} == {0}
+    assert {r.kept for r in quality_rules.judge(nulls).collect()} == {False}
+    assert {r.n_bytes for r in audio.describe(nulls).collect()} == {0}
+    assert {r.n_tokens for r in language_model.score_documents(nulls).collect()} == {1}
+    assert {r.lang_pred for r in language_mix.predict_documents(nulls, language_mix.train(nulls)).collect()} == {"und"}
+    assert {r.spans for r in secret_scan.scan_documents(nulls, secret_scan.train(nulls)).collect()} == {""}
+    assert [r.component_id for r in simhash.near_duplicates(nulls).collect()] == [None] * 4
+    chain = line_crf.train(nulls, spark.createDataFrame([(None, None)], "doc_id long, quality int"))
+    assert {r.score for r in line_crf.score_documents(nulls, chain).collect()} == {1.0}
+
+
 def test_pipeline_stages(spark, sf, odd_docs, no_docs):
     import corpus_pipeline as p
 
