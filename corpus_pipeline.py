@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it
 kept, and returns a DataFrame; ``run`` writes each result as Parquet in the
-shared folder and reads it again as the next stage's documents.
+shared folder and reads it again as the next stage's documents. Columns other
+than ``COLUMNS`` are ignored; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -17,30 +18,28 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the quality rules reject; rows of one id are judged each by its own text."""
-    return quality_rules.reject(docs.select(*COLUMNS))
+    """Drop what the quality rules reject; every row is judged by its own text, null and empty texts fail."""
+    return quality_rules.reject(docs, COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group, the one of the smallest doc_id."""
+    """Keep one row of each near-duplicate group, that of the smallest doc_id (null last); texts without words are one group."""
     return simhash.keep_one(docs.select(*COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace the values of secrets in the texts."""
+    """Replace the values of secrets in the texts; null texts stay null, n_chars is the new length."""
     clean = secret_scan.redact_documents(docs.select(*COLUMNS), secret_scan.train(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deal out documents by source weights: one left out goes, one taken twice stands twice."""
-    cut = mixing.copies_by_document(docs)
-    copies = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & F.col("source").eqNullSafe(F.col("cut_source")))
-    return copies.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(*COLUMNS)
+    """Deal out rows by source weights: one left out goes, one taken twice stands twice; a null source is one more source."""
+    return mixing.dealt(docs, COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document that the mix holds."""
+    """Token counts and digests of every row that the mix holds; null and empty texts have no tokens."""
     import public_tokenizers
 
     return bpe.digest_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
