@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlog.functions import scalars as S
 from strandlog.operators import cluster
-from strandlog.plans.sql import COMMITS, MEMBERS, MEMBERS_ALL, PROGRESS, RECORDS, STATE, crc, with_, without
+from strandlog.plans.sql import COMMITS, MEMBERS, PROGRESS, RECORDS, STATE, crc, with_
 from strandlog.sources import fixtures as X
 
 QUERIES: dict = {}
@@ -188,13 +188,13 @@ def replication_lag(spark, d):
     return follower_lag(spark, d).groupBy("partition").agg(F.max("lag").alias("lag"))
 
 
-REQ = f"{PROGRESS}, rq AS (SELECT event_id AS req_id, event_id % 4 AS partition, log_end * (event_id // 25 % 20) // 20 AS last_offset, event_id * 1000 AS deadline_ms FROM events JOIN st ON st.partition = event_id % 4 WHERE event_id % 25 = 0)"
+REQ = f"{PROGRESS}, rq AS (SELECT event_id AS req_id, event_id % 4 AS partition, log_end * (event_id // 25 % 20) // 20 AS last_offset, event_id * 1000 AS deadline_ms FROM events JOIN st ON st.partition = event_id % 4)"
 ACK = ", ak AS (SELECT rq.*, (flushed > last_offset)::BIGINT + (SELECT count(*) FROM fo WHERE fo.partition = rq.partition AND in_sync AND flushed_end > last_offset) AS persisted FROM rq JOIN st USING (partition))"
 
 
-def produce_requests(spark, d, which="event_id % 25 = 0"):
+def produce_requests(spark, d):
     state = X.log_state(X.records(spark, d)).select(*LOG, F.col("log_end").alias("end"))
-    e = X.table(spark, d, "events").filter(which).select(F.col("event_id").alias("req_id"), (F.col("event_id") % 4).cast("int").alias("partition"), (F.col("event_id") * 1000).alias("deadline_ms"))
+    e = X.table(spark, d, "events").select(F.col("event_id").alias("req_id"), (F.col("event_id") % 4).cast("int").alias("partition"), (F.col("event_id") * 1000).alias("deadline_ms"))
     return e.join(F.broadcast(state), "partition").withColumn("last_offset", F.floor(F.col("end") * (F.floor(F.col("req_id") / 25) % 20) / 20)).drop("end")
 
 
@@ -203,11 +203,6 @@ def quorum_ack(spark, d):
     return acks(spark, d, produce_requests(spark, d)).select("req_id", F.col("persisted").cast("long").alias("persisted"), "acked")
 
 
-@query(without(SQL["quorum_ack"], " WHERE event_id % 25 = 0"))
-def quorum_ack_all(spark, d):
-    return acks(spark, d, produce_requests(spark, d, "true")).select("req_id", F.col("persisted").cast("long").alias("persisted"), "acked")
-
-
 def acks(spark, d, asked: DataFrame) -> DataFrame:
     f = cluster.latest_followers(X.progress(spark, d))
     return cluster.quorum_acks(asked, X.log_state(X.records(spark, d)), f, 3)
@@ -218,11 +213,6 @@ def ack_timeouts(spark, d):
     return acks(spark, d, produce_requests(spark, d)).filter("NOT acked AND deadline_ms <= 5000000").select("req_id")
 
 
-@query(without(SQL["ack_timeouts"], " WHERE event_id % 25 = 0"))
-def ack_timeouts_all(spark, d):
-    return acks(spark, d, produce_requests(spark, d, "true")).filter("NOT acked AND deadline_ms <= 5000000").select("req_id")
-
-
 @query(with_(PROGRESS, "SELECT r.partition::BIGINT AS partition, broker::BIGINT AS broker, count(*) AS pending, min(pos) AS next_offset FROM r JOIN fo ON fo.partition = r.partition AND r.pos >= leo GROUP BY r.partition, broker"))
 def replicate_pending(spark, d):
     """What a follower still lacks: source records at and beyond its own end."""
@@ -249,41 +239,21 @@ def assign_range(spark, d):
     return cluster.assign_range(X.members(spark, d), group_topics(spark)).select("group_id", "topic", part(), "member_id")
 
 
-@query(SQL["assign_range"].replace(MEMBERS, MEMBERS_ALL))
-def assign_range_all(spark, d):
-    return cluster.assign_range(X.members_all(spark, d), group_topics(spark)).select("group_id", "topic", part(), "member_id")
-
-
 @query(with_(MEMBERS, ", y AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY topic, partition) - 1 AS place FROM gp) SELECT y.group_id, topic, partition::BIGINT AS partition, member_id FROM y JOIN mr ON mr.group_id = y.group_id AND mr.rank = place % k"))
 def assign_round_robin(spark, d):
     return cluster.assign_round_robin(X.members(spark, d), group_topics(spark)).select("group_id", "topic", part(), "member_id")
 
 
-@query(SQL["assign_round_robin"].replace(MEMBERS, MEMBERS_ALL))
-def assign_round_robin_all(spark, d):
-    return cluster.assign_round_robin(X.members_all(spark, d), group_topics(spark)).select("group_id", "topic", part(), "member_id")
-
-
 @query(with_(MEMBERS, "SELECT group_id, member_id FROM mb WHERE 400000 - heartbeat_ms > 30000"))
 def expired_members(spark, d):
     return cluster.expired(X.members(spark, d), 400_000).select("group_id", "member_id")
 
 
-@query(SQL["expired_members"].replace(MEMBERS, MEMBERS_ALL))
-def expired_members_all(spark, d):
-    return cluster.expired(X.members_all(spark, d), 400_000).select("group_id", "member_id")
-
-
 @query(with_(MEMBERS, "SELECT group_id, 'stable' AS state, count(DISTINCT member_id) AS members, min(member_id) AS leader FROM mb GROUP BY group_id"))
 def describe_groups(spark, d):
     return described(X.members(spark, d))
 
 
-@query(SQL["describe_groups"].replace(MEMBERS, MEMBERS_ALL))
-def describe_groups_all(spark, d):
-    return described(X.members_all(spark, d))
-
-
 def described(members: DataFrame) -> DataFrame:
     return members.groupBy("group_id").agg(F.countDistinct("member_id").alias("members"), F.min("member_id").alias("leader")).withColumn("state", F.lit("stable"))
 
@@ -304,21 +274,14 @@ def commit_fencing(spark, d):
     return cluster.commit_status(X.commits(spark, d), generations, owners).select("log_offset", "status")
 
 
-@query(with_(MEMBERS, "SELECT event_id AS seq, CASE WHEN event_id % 6 > 3 THEN 'NOT_FOUND' WHEN event_id % 20 > 14 THEN 'UNKNOWN_MEMBER' WHEN event_id % 5 = 0 THEN 'REBALANCE_IN_PROGRESS' ELSE 'OK' END AS status FROM events WHERE event_id % 3 = 0"))
-def heartbeat_status(spark, d):
-    n = F.col("event_id")
-    beats = X.table(spark, d, "events").filter("event_id % 3 = 0").select(n.alias("seq"), F.concat(F.lit("group-"), (n % 6).cast("string")).alias("group_id"), F.concat(F.lit("g-"), (n % 20).cast("string")).alias("member_id"), F.when(n % 5 == 0, 1).otherwise(2).alias("beat_generation"))
-    return cluster.heartbeat_status(beats, X.members(spark, d), F.lit(2)).select("seq", "status")
-
-
-@query(with_(MEMBERS_ALL, """, bs AS (SELECT event_id AS seq, 'group-' || CASE WHEN event_id % 6 > 3 THEN 'none' ELSE (event_id // 60 * 4 + event_id % 6)::VARCHAR END AS group_id, 'g-' || (event_id % 20) AS member_id FROM events)
+@query(with_(MEMBERS, """, bs AS (SELECT event_id AS seq, 'group-' || CASE WHEN event_id % 6 > 3 THEN 'none' ELSE (event_id // 60 * 4 + event_id % 6)::VARCHAR END AS group_id, 'g-' || (event_id % 20) AS member_id FROM events)
 SELECT seq, CASE WHEN group_id NOT IN (SELECT group_id FROM mb) THEN 'NOT_FOUND' WHEN mb.member_id IS NULL THEN 'UNKNOWN_MEMBER' WHEN seq % 5 = 0 THEN 'REBALANCE_IN_PROGRESS' ELSE 'OK' END AS status FROM bs LEFT JOIN mb USING (group_id, member_id)"""))
-def heartbeat_status_all(spark, d):
+def heartbeat_status(spark, d):
     """Every event is a heartbeat to a group of its sixty; some to no group or from no member."""
     n = F.col("event_id")
     group = F.when(n % 6 > 3, "none").otherwise((F.floor(n / 60) * 4 + n % 6).cast("string"))
     beats = X.table(spark, d, "events").select(n.alias("seq"), F.concat(F.lit("group-"), group).alias("group_id"), F.concat(F.lit("g-"), (n % 20).cast("string")).alias("member_id"), F.when(n % 5 == 0, 1).otherwise(2).alias("beat_generation"))
-    return cluster.heartbeat_status(beats, X.members_all(spark, d), F.lit(2)).select("seq", "status")
+    return cluster.heartbeat_status(beats, X.members(spark, d), F.lit(2)).select("seq", "status")
 
 
 @query(with_(f"{COMMITS}, {STATE}", "SELECT g.group_id, st.partition::BIGINT AS partition, log_end - coalesce(position, log_start) AS lag FROM (SELECT DISTINCT group_id FROM cm) g CROSS JOIN st LEFT JOIN co ON co.group_id = g.group_id AND co.partition = st.partition"))
@@ -367,46 +330,26 @@ def list_topics(spark, d):
     return X.log_state(r).join(size, LOG).groupBy("topic").agg(F.count("*").alias("partitions"), F.sum(F.col("log_end") - F.col("log_start")).alias("records"), F.sum("bytes").alias("bytes"))
 
 
-@query(with_(PLACED, "SELECT leader::BIGINT AS broker, to_json(list(struct_pack(topic := topic, partition := partition) ORDER BY topic, partition))::VARCHAR AS doc FROM pl WHERE topic < 'nation_2' GROUP BY leader"))
+@query(with_(PLACED, "SELECT leader::BIGINT AS broker, to_json(list(struct_pack(topic := topic, partition := partition) ORDER BY topic, partition))::VARCHAR AS doc FROM pl GROUP BY leader"))
 def topology(spark, d):
-    return topology_all(spark, d, "topic < 'nation_2'")
-
-
-@query(without(SQL["topology"], " WHERE topic < 'nation_2'"))
-def topology_all(spark, d, which="true"):
-    p = placed(spark, d).filter(which).groupBy(F.col("leader").cast("long").alias("broker"))
+    p = placed(spark, d).groupBy(F.col("leader").cast("long").alias("broker"))
     return p.agg(F.to_json(F.array_sort(F.collect_list(F.struct("topic", "partition")))).alias("doc"))  # partitions of one broker
 
 
-@query(with_(PLACED, "SELECT leader::BIGINT AS broker, count(*) AS partitions, sum(partition)::BIGINT AS total FROM pl WHERE topic < 'nation_2' GROUP BY leader"))
+@query(with_(PLACED, "SELECT leader::BIGINT AS broker, count(*) AS partitions, sum(partition)::BIGINT AS total FROM pl GROUP BY leader"))
 def topology_log_end(spark, d):
     return ends_of(topology(spark, d))
 
 
-@query(without(SQL["topology_log_end"], " WHERE topic < 'nation_2'"))
-def topology_log_end_all(spark, d):
-    return ends_of(topology_all(spark, d))
-
-
 def ends_of(docs: DataFrame) -> DataFrame:
     rows = F.from_json("doc", "array<struct<topic: string, partition: long>>")
     return docs.select("broker", F.explode(rows).alias("p")).groupBy("broker").agg(F.count("*").alias("partitions"), F.sum("p.partition").alias("total"))
 
 
-@query("SELECT 'group-' || (event_id % 4) AS group_id, count(DISTINCT event_id // 4) AS generation FROM events WHERE event_id < 60 GROUP BY event_id % 4")
+@query(with_(MEMBERS, "SELECT group_id, count(DISTINCT member_id) AS generation FROM mb GROUP BY group_id"))
 def group_generations(spark, d):
     """The generation of each group after its join events: each shape change adds one (the stateful processor, in batch)."""
     from strandlog.streaming import groups
 
-    n = F.col("event_id")
-    joins = X.table(spark, d, "events").filter("event_id < 60").select(n.alias("seq"), F.concat(F.lit("group-"), (n % 4).cast("string")).alias("group_id"), F.concat(F.lit("g-"), F.floor(n / 4).cast("string")).alias("member_id"), F.lit("join").alias("kind"), F.lit("events").alias("topics"), F.lit("range").alias("strategy"), F.lit(30_000).cast("long").alias("timeout_ms"), n.alias("event_ms"))
-    return groups.replay(joins).groupBy("group_id").agg(F.max("generation").alias("generation"))
-
-
-@query(with_(MEMBERS_ALL, "SELECT group_id, count(DISTINCT member_id) AS generation FROM mb GROUP BY group_id"))
-def group_generations_all(spark, d):
-    """The same for the groups of all events."""
-    from strandlog.streaming import groups
-
-    joins = X.members_all(spark, d).select(F.col("event_id").alias("seq"), "group_id", "member_id", F.lit("join").alias("kind"), F.lit("events").alias("topics"), F.lit("range").alias("strategy"), "timeout_ms", F.col("event_id").alias("event_ms"))
+    joins = X.members(spark, d).select(F.col("event_id").alias("seq"), "group_id", "member_id", F.lit("join").alias("kind"), F.lit("events").alias("topics"), F.lit("range").alias("strategy"), "timeout_ms", F.col("event_id").alias("event_ms"))
     return groups.replay(joins).groupBy("group_id").agg(F.max("generation").alias("generation"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlog.functions import scalars as S
 from strandlog.operators import metrics
-from strandlog.plans.sql import STATE, with_, without
+from strandlog.plans.sql import STATE, with_
 from strandlog.sources import fixtures as X
 
 QUERIES: dict = {}
@@ -114,16 +114,13 @@ def broker_stats(spark, d):
     return X.log_state(X.records(spark, d)).agg(F.count("*").alias("partitions"), F.sum("log_end").alias("records"), F.max(F.col("log_end") - F.col("hwm")).alias("max_lag"), F.count_if(F.col("log_end") > F.col("flushed")).alias("waiting"))
 
 
-SOME_CUSTOMERS = "o_custkey % 10 = 0"
-
-
-def trials(spark: SparkSession, d: str, which: str = SOME_CUSTOMERS) -> DataFrame:
+def trials(spark: SparkSession, d: str) -> DataFrame:
     """Trials per customer: an order is a trial, its price the rate; counts are odd, even and one."""
-    o = X.table(spark, d, "orders").filter(which)
+    o = X.table(spark, d, "orders")
     return o.select(F.col("o_custkey").alias("scenario"), F.col("o_orderkey").alias("trial"), F.round(F.col("o_totalprice") * 100).cast("long").alias("rate"), (F.col("o_orderkey") % 1000).alias("p99"))
 
 
-TRIALS = "tr AS (SELECT o_custkey AS scenario, o_orderkey AS trial, round(o_totalprice * 100)::BIGINT AS rate, o_orderkey % 1000 AS p99 FROM orders WHERE o_custkey % 10 = 0)"
+TRIALS = "tr AS (SELECT o_custkey AS scenario, o_orderkey AS trial, round(o_totalprice * 100)::BIGINT AS rate, o_orderkey % 1000 AS p99 FROM orders)"
 
 
 @query(with_(TRIALS, "SELECT scenario, trial, rate, p99 FROM tr"))
@@ -131,19 +128,9 @@ def bench_trials(spark, d):
     return trials(spark, d)
 
 
-@query(without(SQL["bench_trials"], f" WHERE {SOME_CUSTOMERS}"))
-def bench_trials_all(spark, d):
-    return trials(spark, d, "true")
-
-
 @query(with_(TRIALS, "SELECT scenario, median(rate)::DOUBLE AS median, min(rate) AS min, max(rate) AS max, round(coalesce(stddev_samp(rate), 0), 4) AS stdev, round((max(rate) - min(rate)) / median(rate), 9) AS spread FROM tr GROUP BY scenario"))
 def bench_spread(spark, d):
-    return bench_spread_all(spark, d, SOME_CUSTOMERS)
-
-
-@query(without(SQL["bench_spread"], f" WHERE {SOME_CUSTOMERS}"))
-def bench_spread_all(spark, d, which="true"):
-    return metrics.spread(trials(spark, d, which), ["scenario"], "rate").select("scenario", "median", "min", "max", F.round("stdev", 4).alias("stdev"), F.round("spread", 9).alias("spread"))
+    return metrics.spread(trials(spark, d), ["scenario"], "rate").select("scenario", "median", "min", "max", F.round("stdev", 4).alias("stdev"), F.round("spread", 9).alias("spread"))
 
 
 MEDIAN = ", md AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY scenario ORDER BY rate, trial) = count(*) OVER (PARTITION BY scenario) // 2 + 1)"
@@ -151,33 +138,18 @@ MEDIAN = ", md AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY scen
 
 @query(with_(TRIALS + MEDIAN, "SELECT scenario, trial, rate FROM md"))
 def bench_median_trial(spark, d):
-    return bench_median_trial_all(spark, d, SOME_CUSTOMERS)
-
-
-@query(without(SQL["bench_median_trial"], f" WHERE {SOME_CUSTOMERS}"))
-def bench_median_trial_all(spark, d, which="true"):
-    return metrics.median_trial(trials(spark, d, which), ["scenario"], "rate", "trial").select("scenario", "trial", "rate")
+    return metrics.median_trial(trials(spark, d), ["scenario"], "rate", "trial").select("scenario", "trial", "rate")
 
 
 @query(with_(TRIALS + MEDIAN, "SELECT scenario, count(*) AS trials, median(tr.rate)::DOUBLE AS median, any_value(md.p99) AS p99 FROM tr JOIN md USING (scenario) GROUP BY scenario"))
 def bench_summary(spark, d):
-    return bench_summary_all(spark, d, SOME_CUSTOMERS)
-
-
-@query(without(SQL["bench_summary"], f" WHERE {SOME_CUSTOMERS}"))
-def bench_summary_all(spark, d, which="true"):
-    s = metrics.spread(trials(spark, d, which), ["scenario"], "rate").select("scenario", F.col("n").alias("trials"), "median")
-    return s.join(metrics.median_trial(trials(spark, d, which), ["scenario"], "rate", "trial").select("scenario", "p99"), "scenario")
+    s = metrics.spread(trials(spark, d), ["scenario"], "rate").select("scenario", F.col("n").alias("trials"), "median")
+    return s.join(metrics.median_trial(trials(spark, d), ["scenario"], "rate", "trial").select("scenario", "p99"), "scenario")
 
 
 @query(with_(TRIALS + MEDIAN, "SELECT scenario, p99 * 27 // 100 AS queue_us, p99 * 3 // 100 AS append_us, p99 - p99 * 27 // 100 - p99 * 3 // 100 AS wait_us FROM md"))
 def stage_breakdown(spark, d):
-    return stage_breakdown_all(spark, d, SOME_CUSTOMERS)
-
-
-@query(without(SQL["stage_breakdown"], f" WHERE {SOME_CUSTOMERS}"))
-def stage_breakdown_all(spark, d, which="true"):
-    m = metrics.median_trial(trials(spark, d, which), ["scenario"], "rate", "trial")
+    m = metrics.median_trial(trials(spark, d), ["scenario"], "rate", "trial")
     long = m.select("scenario", F.explode(F.map_from_arrays(F.array(F.lit("queue_us"), F.lit("append_us"), F.lit("wait_us")), F.array(F.floor(F.col("p99") * 27 / 100), F.floor(F.col("p99") * 3 / 100), F.col("p99") - F.floor(F.col("p99") * 27 / 100) - F.floor(F.col("p99") * 3 / 100)))).alias("stage", "us"))
     return long.groupBy("scenario").pivot("stage", ["queue_us", "append_us", "wait_us"]).agg(F.first("us"))
 
@@ -205,48 +177,28 @@ def zigzag(spark, d):
     return o.select(F.col("o_orderkey").alias("id"), S.zigzag(F.col("v")).alias("encoded"), S.unzigzag(S.zigzag(F.col("v"))).alias("decoded"))
 
 
-@query("SELECT lpad(o_orderkey::VARCHAR, 20, '0') AS name, o_orderkey AS base FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT 'notes.log', NULL")
+@query("SELECT lpad(o_orderkey::VARCHAR, 20, '0') AS name, o_orderkey AS base FROM orders UNION ALL SELECT 'notes.log', NULL")
 def segment_names(spark, d):
-    return segment_names_all(spark, d, "o_orderkey % 50 = 0")
-
-
-@query(without(SQL["segment_names"], " WHERE o_orderkey % 50 = 0"))
-def segment_names_all(spark, d, which="true"):
-    names = X.table(spark, d, "orders").filter(which).select(S.segment_name(F.col("o_orderkey")).alias("name")).union(spark.createDataFrame([("notes.log",)], "name string"))
+    names = X.table(spark, d, "orders").select(S.segment_name(F.col("o_orderkey")).alias("name")).union(spark.createDataFrame([("notes.log",)], "name string"))
     return names.select("name", S.parse_segment_name(F.col("name")).alias("base"))
 
 
-@query("SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'leader' WHEN 2 THEN 'quorum' WHEN 3 THEN 'quorum' END AS mode FROM orders WHERE o_orderkey < 200")
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'leader' WHEN 2 THEN 'quorum' WHEN 3 THEN 'quorum' END AS mode FROM orders")
 def parse_ack_mode(spark, d):
-    return parse_ack_mode_all(spark, d, "o_orderkey < 200")
-
-
-@query(without(SQL["parse_ack_mode"], " WHERE o_orderkey < 200"))
-def parse_ack_mode_all(spark, d, which="true"):
     text = F.element_at(F.array(*map(F.lit, ("0", " LEADER ", "all", "-1", "some"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    return X.table(spark, d, "orders").filter(which).select(F.col("o_orderkey").alias("id"), S.parse_ack_mode(text).alias("mode"))
+    return X.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), S.parse_ack_mode(text).alias("mode"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 < 5 THEN o_orderkey * [1, 1024, 1024, 1048576, 1073741824][o_orderkey % 6 + 1] END AS bytes FROM orders WHERE o_orderkey < 500")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 < 5 THEN o_orderkey * [1, 1024, 1024, 1048576, 1073741824][o_orderkey % 6 + 1] END AS bytes FROM orders")
 def parse_bytes(spark, d):
-    return parse_bytes_all(spark, d, "o_orderkey < 500")
-
-
-@query(without(SQL["parse_bytes"], " WHERE o_orderkey < 500"))
-def parse_bytes_all(spark, d, which="true"):
     unit = F.element_at(F.array(*map(F.lit, ("", "k", " KiB", "MB", "g", "xyz"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
-    return X.table(spark, d, "orders").filter(which).select(F.col("o_orderkey").alias("id"), S.parse_bytes(F.concat(F.col("o_orderkey").cast("string"), unit)).alias("bytes"))
+    return X.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), S.parse_bytes(F.concat(F.col("o_orderkey").cast("string"), unit)).alias("bytes"))
 
 
-@query("SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN o_orderkey WHEN 1 THEN o_orderkey // 1000 WHEN 2 THEN o_orderkey WHEN 3 THEN o_orderkey * 1000 WHEN 4 THEN o_orderkey * 60000 WHEN 5 THEN o_orderkey * 3600000 END AS ms FROM orders WHERE o_orderkey < 5000")
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN o_orderkey WHEN 1 THEN o_orderkey // 1000 WHEN 2 THEN o_orderkey WHEN 3 THEN o_orderkey * 1000 WHEN 4 THEN o_orderkey * 60000 WHEN 5 THEN o_orderkey * 3600000 END AS ms FROM orders")
 def parse_duration(spark, d):
-    return parse_duration_all(spark, d, "o_orderkey < 5000")
-
-
-@query(without(SQL["parse_duration"], " WHERE o_orderkey < 5000"))
-def parse_duration_all(spark, d, which="true"):
     unit = F.element_at(F.array(*map(F.lit, ("", "us", "ms", "s", "m", "h"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
-    return X.table(spark, d, "orders").filter(which).select(F.col("o_orderkey").alias("id"), S.parse_duration(F.concat(F.col("o_orderkey").cast("string"), unit)).alias("ms"))
+    return X.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), S.parse_duration(F.concat(F.col("o_orderkey").cast("string"), unit)).alias("ms"))
 
 
 @query("SELECT p_partkey AS id, len(list_filter(list_transform(string_split(replace(p_name, ' ', ' , '), ','), lambda x: trim(x)), lambda x: x <> ''))::BIGINT AS n FROM part")
@@ -266,14 +218,9 @@ def env_key(spark, d):
     return X.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), S.env_key(name, "APP_").alias("key"))
 
 
-@query("""SELECT event_id AS id, replace(replace(replace(props || chr(10), chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') AS label FROM events WHERE event_id % 100 = 0""")
+@query("""SELECT event_id AS id, replace(replace(replace(props || chr(10), chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') AS label FROM events""")
 def escape_label(spark, d):
-    return escape_label_all(spark, d, "event_id % 100 = 0")
-
-
-@query(without(SQL["escape_label"], " WHERE event_id % 100 = 0"))
-def escape_label_all(spark, d, which="true"):
-    return X.table(spark, d, "events").filter(which).select(F.col("event_id").alias("id"), S.escape_label(F.concat("props", F.lit("\n"))).alias("label"))
+    return X.table(spark, d, "events").select(F.col("event_id").alias("id"), S.escape_label(F.concat("props", F.lit("\n"))).alias("label"))
 
 
 @query("SELECT k::BIGINT AS try, least(1000, 10 * 2 ** k)::BIGINT AS wait_ms FROM range(12) AS x(k)")
@@ -281,14 +228,9 @@ def backoff_schedule(spark, d):
     return spark.range(1).select(F.posexplode(S.backoff(10, 1000, 12)).alias("k", "wait_ms")).select(F.col("k").cast("long").alias("try"), "wait_ms")
 
 
-@query("SELECT CASE event_id % 10 WHEN 1 THEN 'SHORT_HEADER' WHEN 2 THEN 'BAD_MAGIC' WHEN 3 THEN 'BAD_VERSION' WHEN 4 THEN 'SHORT_PAYLOAD' WHEN 5 THEN 'TRAILING_BYTES' WHEN 6 THEN 'BAD_CHECKSUM' ELSE 'OK' END AS verdict, count(*) AS n FROM events WHERE event_id < 200 GROUP BY ALL")
+@query("SELECT CASE event_id % 10 WHEN 1 THEN 'SHORT_HEADER' WHEN 2 THEN 'BAD_MAGIC' WHEN 3 THEN 'BAD_VERSION' WHEN 4 THEN 'SHORT_PAYLOAD' WHEN 5 THEN 'TRAILING_BYTES' WHEN 6 THEN 'BAD_CHECKSUM' ELSE 'OK' END AS verdict, count(*) AS n FROM events GROUP BY ALL")
 def frame_classify(spark, d):
     """Captured frames, good and damaged, by why a decoder refuses them."""
-    return frame_classify_all(spark, d, "event_id < 200")
-
-
-@query(without(SQL["frame_classify"], " WHERE event_id < 200"))
-def frame_classify_all(spark, d, which="true"):
     from strandlog.sources import frames
 
-    return frames.classify(frames.sample(X.table(spark, d, "events").filter(which))).groupBy("verdict").agg(F.count("*").alias("n"))
+    return frames.classify(frames.sample(X.table(spark, d, "events"))).groupBy("verdict").agg(F.count("*").alias("n"))

@@ -17,13 +17,6 @@ def with_(parts: str, tail: str) -> str:
     return f"WITH {parts}{tail}" if tail.startswith(",") else f"WITH {parts} {tail}"
 
 
-def without(sql: str, cut: str) -> str:
-    """The SQL of a query over some ids, for its whole table."""
-    if cut not in sql:
-        raise ValueError(cut)
-    return sql.replace(cut, "")
-
-
 def vs(x: str) -> str:
     return f"(1 + ({x} >= 128)::INT + ({x} >= 16384)::INT + ({x} >= 2097152)::INT)"
 
@@ -58,13 +51,8 @@ COMMITS = """cm AS (SELECT event_id AS log_offset, 'group-' || (event_id % 7) AS
 lc AS (SELECT * FROM cm QUALIFY row_number() OVER (PARTITION BY group_id, partition ORDER BY log_offset DESC) = 1),
 co AS (SELECT group_id, partition, position, commit_time_ms FROM lc WHERE NOT tombstone)"""
 
-MEMBERS = """mb AS (SELECT 'group-' || (event_id % 4) AS group_id, 'g-' || (event_id // 4) AS member_id, 10000 * event_id AS heartbeat_ms, event_id % 8 = 3 AS audits FROM events WHERE event_id < 60),
+#: Members of all events: every sixty make four groups.
+MEMBERS = """mb AS (SELECT 'group-' || (event_id // 60 * 4 + event_id % 4) AS group_id, 'g-' || (event_id % 60 // 4) AS member_id, 10000 * (event_id % 60) AS heartbeat_ms, event_id % 8 = 3 AS audits FROM events),
 mr AS (SELECT group_id, member_id, row_number() OVER (PARTITION BY group_id ORDER BY member_id) - 1 AS rank, count(*) OVER (PARTITION BY group_id) AS k FROM mb),
 tp AS (SELECT * FROM (VALUES ('events', 40), ('audit', 7)) AS t(topic, partitions)),
 gp AS (SELECT group_id, topic, partitions, unnest(range(partitions)) AS partition FROM (SELECT DISTINCT group_id, 'events' AS topic FROM mb UNION SELECT DISTINCT group_id, 'audit' FROM mb WHERE audits) JOIN tp USING (topic))"""
-
-#: Members of all events: four groups for every sixty, instead of the first sixty only.
-MEMBERS_ALL = MEMBERS.replace(
-    MEMBERS.split(",\nmr")[0],
-    """mb AS (SELECT 'group-' || (event_id // 60 * 4 + event_id % 4) AS group_id, 'g-' || (event_id % 60 // 4) AS member_id, 10000 * (event_id % 60) AS heartbeat_ms, event_id % 8 = 3 AS audits FROM events)""",
-)

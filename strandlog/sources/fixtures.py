@@ -69,13 +69,6 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of groups: eleven or more each, with the time of their last heartbeat."""
-    e = table(spark, sf_dir, "events").filter("event_id < 60")
-    n = F.col("event_id")
-    return e.select(F.concat(F.lit("group-"), (n % 4).cast("string")).alias("group_id"), F.concat(F.lit("g-"), F.floor(n / 4).cast("string")).alias("member_id"), (10_000 * n).cast("long").alias("heartbeat_ms"), F.lit(30_000).cast("long").alias("timeout_ms"), F.array(F.lit("events"), F.when(n % 8 == 3, F.lit("audit")).otherwise(F.lit("events"))).alias("topics"))
-
-
-def members_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of all events: every sixty make four groups, whose last heartbeats lie within ten minutes."""
     n, k = F.col("event_id"), F.col("event_id") % 60
     group = F.concat(F.lit("group-"), (F.floor(n / 60) * 4 + n % 4).cast("string"))

@@ -24,18 +24,18 @@ def size(spark, sf, table):
     return spark.read.parquet(f"{sf}/{table}.parquet").count()
 
 
-@pytest.mark.parametrize("name", ["verify_checksums_all", "segment_for_offset_all", "index_floor_lookup_all"])
+@pytest.mark.parametrize("name", ["verify_checksums", "segment_for_offset", "index_floor_lookup"])
 def test_every_record(spark, sf, name):
     assert len(check(spark, sf, name)) == size(spark, sf, "events")
 
 
-@pytest.mark.parametrize("name", ["bench_trials_all", "bench_spread_all", "bench_median_trial_all", "bench_summary_all", "stage_breakdown_all"])
+@pytest.mark.parametrize("name", ["bench_trials", "bench_spread", "bench_median_trial", "bench_summary", "stage_breakdown"])
 def test_every_customer(spark, sf, name):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     assert {r.scenario for r in check(spark, sf, name)} == {r[0] for r in orders.select("o_custkey").distinct().collect()}
 
 
-@pytest.mark.parametrize(("name", "table", "more"), [("segment_names_all", "orders", 1), ("parse_ack_mode_all", "orders", 0), ("parse_bytes_all", "orders", 0), ("parse_duration_all", "orders", 0), ("escape_label_all", "events", 0)])
+@pytest.mark.parametrize(("name", "table", "more"), [("segment_names", "orders", 1), ("parse_ack_mode", "orders", 0), ("parse_bytes", "orders", 0), ("parse_duration", "orders", 0), ("escape_label", "events", 0)])
 def test_every_row_is_parsed(spark, sf, name, table, more):
     # sf0.01 has order keys beyond every prefix that was taken
     sf = sf.replace("sf0.001", "sf0.01")
@@ -43,24 +43,24 @@ def test_every_row_is_parsed(spark, sf, name, table, more):
 
 
 def test_every_frame(spark, sf):
-    assert sum(r.n for r in check(spark, sf, "frame_classify_all")) == size(spark, sf, "events")
+    assert sum(r.n for r in check(spark, sf, "frame_classify")) == size(spark, sf, "events")
 
 
-@pytest.mark.parametrize("name", ["assign_range_all", "assign_round_robin_all", "describe_groups_all", "expired_members_all", "group_generations_all"])
+@pytest.mark.parametrize("name", ["assign_range", "assign_round_robin", "describe_groups", "expired_members", "group_generations"])
 def test_every_group(spark, sf, name):
     n = size(spark, sf, "events")
     assert len({r.group_id for r in check(spark, sf, name)}) == n // 60 * 4 + min(n % 60, 4)
 
 
-@pytest.mark.parametrize("name", ["heartbeat_status_all", "quorum_ack_all"])
+@pytest.mark.parametrize("name", ["heartbeat_status", "quorum_ack"])
 def test_every_request(spark, sf, name):
     assert len(check(spark, sf, name)) == size(spark, sf, "events")
 
 
 def test_timeouts_of_all_requests(spark, sf):
-    assert any(r.req_id % 25 for r in check(spark, sf, "ack_timeouts_all"))
+    assert any(r.req_id % 25 for r in check(spark, sf, "ack_timeouts"))
 
 
 def test_every_topic(spark, sf):
-    assert sum(r.partitions for r in check(spark, sf, "topology_log_end_all")) == sum(3 + k % 6 for k in range(25))
-    assert any("nation_2" in r.doc for r in check(spark, sf, "topology_all"))
+    assert sum(r.partitions for r in check(spark, sf, "topology_log_end")) == sum(3 + k % 6 for k in range(25))
+    assert any("nation_2" in r.doc for r in check(spark, sf, "topology"))
