@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from strandlog.functions import scalars as S
 from strandlog.model import LOG
+from strandlog.operators.log import scanned
+
+#: Reports of a stretch, the unit in which timelines are dealt out.
+STRETCH = 1 << 13
 
 
 def assignments(topics: DataFrame, brokers: int, replication: int) -> DataFrame:
@@ -17,42 +21,50 @@ def assignments(topics: DataFrame, brokers: int, replication: int) -> DataFrame:
     return out.withColumn("leader", F.get("replicas", F.lit(0))).withColumn("quorum", F.floor(F.size("replicas") / 2) + 1)
 
 
-def reports(progress: DataFrame) -> DataFrame:
-    """Follower reports with running ends: what a follower has only grows."""
-    w = Window.partitionBy(*LOG, "broker").orderBy("seq")
-    return progress.withColumn("leo", F.max("log_end").over(w)).withColumn("flushed_end", F.max("flushed").over(w))
+def by_seq() -> Column:
+    return F.floor(F.col("seq") / STRETCH)
 
 
 def latest_followers(progress: DataFrame) -> DataFrame:
-    """The state of every follower after all reports."""
+    """The state of every follower that has reported, after all reports; what a follower has only grows."""
     return progress.groupBy(*LOG, "broker").agg(F.max("log_end").alias("leo"), F.max("flushed").alias("flushed_end"), F.max_by("connected", "seq").alias("in_sync"))
 
 
-def high_water_mark(state: DataFrame, followers: DataFrame) -> DataFrame:
-    """The least log end over the leader and its in-sync followers."""
-    low = followers.filter("in_sync").groupBy(*LOG).agg(F.min("leo").alias("low"), F.count("*").alias("in_sync"))
-    out = state.join(low, list(LOG), "left")
-    return out.select(*LOG, "log_end", F.least("log_end", "low").alias("high_water"), (1 + F.coalesce("in_sync", F.lit(0))).alias("isr"))
+def in_sync_replicas(state: DataFrame, followers: DataFrame, brokers: list[int]) -> DataFrame:
+    """topic, partition, log_end, in_sync: the leader and its in-sync followers; one that has not reported is taken to be in sync."""
+    out = followers.filter(~F.col("in_sync") & F.col("broker").isin(brokers)).groupBy(*LOG).agg(F.count("*").alias("away"))
+    return state.join(out, list(LOG), "left").select(*LOG, "log_end", (1 + len(brokers) - F.coalesce("away", F.lit(0))).alias("isr"))
 
 
-def high_water_timeline(progress: DataFrame, followers: int = 2) -> DataFrame:
-    """The high-water mark after every report: a running maximum, so it never falls.
+def high_water_timeline(progress: DataFrame, brokers: list[int]) -> DataFrame:
+    """The high-water mark and the in-sync count after every report.
 
-    The other follower's state is its last report before this one, carried
-    forward; a follower that has not reported yet has nothing.
+    Followers start in sync at offset 0, so the mark stays at 0 until each has
+    reported or has left; without followers in sync the leader's end is the mark.
+    It never falls: it is a running maximum. Other followers' states are their
+    last reports before this one, carried forward.
     """
-    r = reports(progress)
-    w = Window.partitionBy(*LOG).orderBy("seq")
-    ends = [F.when(F.last(F.when(F.col("broker") == b, F.col("connected")), True).over(w), F.last(F.when(F.col("broker") == b, F.col("leo")), True).over(w)) for b in range(1, followers + 1)]
-    out = r.select(*LOG, "seq", "leader_end", *(e.alias(f"end{b}") for b, e in enumerate(ends, 1)))
-    low = F.least("leader_end", *(f"end{b}" for b in range(1, followers + 1)))
-    return out.withColumn("candidate", low).withColumn("hwm", F.max("candidate").over(w))
+    ends = {f"leo{b}": ("max", F.when(F.col("broker") == b, F.col("log_end"))) for b in brokers}
+    live = {f"live{b}": ("last", F.when(F.col("broker") == b, F.col("connected"))) for b in brokers}
+    r = scanned(progress.select(*LOG, "seq", "leader_end", "broker", "log_end", "connected"), ends | live, list(LOG), F.col("seq"), by_seq())
+    held = [F.when(F.coalesce(f"live{b}", F.lit(True)), F.coalesce(f"leo{b}", F.lit(0))) for b in brokers]
+    isr = sum((e.isNotNull().cast("long") for e in held), F.lit(1))
+    out = r.select(*LOG, "seq", F.least("leader_end", *held).alias("candidate"), isr.alias("isr"))
+    return scanned(out, {"hwm": ("max", F.col("candidate"))}, list(LOG), F.col("seq"), by_seq())
+
+
+def high_water_mark(state: DataFrame, progress: DataFrame, brokers: list[int]) -> DataFrame:
+    """topic, partition, high_water, isr after all reports; without any report the mark is 0 (the leader's end if it is alone)."""
+    last = high_water_timeline(progress, brokers).groupBy(*LOG).agg(F.max("hwm").alias("high_water"))
+    none = F.lit(0) if brokers else F.col("log_end")
+    isr = in_sync_replicas(state, latest_followers(progress), brokers)
+    return isr.join(last, list(LOG), "left").select(*LOG, F.coalesce("high_water", none).cast("long").alias("high_water"), "isr")
 
 
 def fence_epochs(progress: DataFrame) -> DataFrame:
     """Reports with ``stale``: an epoch below the highest seen before."""
-    w = Window.partitionBy(*LOG).orderBy("seq")
-    return progress.withColumn("stale", F.col("epoch") < F.max("epoch").over(w))
+    out = scanned(progress, {"_top": ("max", F.col("epoch"))}, list(LOG), F.col("seq"), by_seq())
+    return out.withColumn("stale", F.col("epoch") < F.col("_top")).drop("_top")
 
 
 def quorum_acks(requests: DataFrame, state: DataFrame, followers: DataFrame, replicas: int) -> DataFrame:
@@ -125,3 +137,20 @@ def heartbeat_status(beats: DataFrame, members: DataFrame, generation: Column) -
 def expired(members: DataFrame, now_ms: int) -> DataFrame:
     """Members silent for longer than their timeout (exactly the timeout is not longer)."""
     return members.filter(F.lit(now_ms) - F.col("heartbeat_ms") > F.col("timeout_ms"))
+
+
+TOPOLOGY = "struct<broker_id: int, topics: array<struct<name: string, partitions: array<struct<partition: int, leader: int, replicas: array<int>, log_end_offset: long>>>>>"
+
+
+def topology_documents(led: DataFrame) -> DataFrame:
+    """broker, doc: each broker's JSON document of the partitions (topic, partition, log_end, replicas) it leads, the first replica."""
+    one = F.struct("partition", F.get("replicas", F.lit(0)).alias("leader"), "replicas", F.col("log_end").alias("log_end_offset"))
+    topics = led.groupBy(F.get("replicas", F.lit(0)).alias("broker"), F.col("topic").alias("name")).agg(F.array_sort(F.collect_list(one)).alias("partitions"))  # partitions of one topic
+    docs = topics.groupBy("broker").agg(F.array_sort(F.collect_list(F.struct("name", "partitions"))).alias("topics"))  # topics of one broker
+    return docs.select("broker", F.to_json(F.struct(F.col("broker").alias("broker_id"), "topics")).alias("doc"))
+
+
+def topic_log_ends(docs: DataFrame, column: str) -> DataFrame:
+    """topic, partitions, log_end: read from topology documents, of each partition as its leader tells it."""
+    t = docs.select(F.explode(F.from_json(column, TOPOLOGY)["topics"]).alias("t")).select("t.name", F.explode("t.partitions").alias("p"))
+    return t.groupBy(F.col("name").alias("topic")).agg(F.count("*").alias("partitions"), F.sum("p.log_end_offset").alias("log_end"))

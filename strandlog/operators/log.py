@@ -32,6 +32,27 @@ def running(df: DataFrame, value: Column, name: str, keys: tuple = LOG, chunk: s
     return out.withColumn(name, F.col("_base") + F.col("_own")).drop("_base", "_own")
 
 
+def scanned(df: DataFrame, values: dict[str, tuple[str, Column]], keys: list[str], order: Column, chunk: Column) -> DataFrame:
+    """Running results per key, this row included, in two levels as in ``running``.
+
+    ``values`` names columns, each a kind ("max", "min", or "last", the last value
+    that is not null) and a value. ``chunk`` must not fall as ``order`` rises; a
+    task orders the rows of one chunk, and a row per chunk is ordered over a key.
+    """
+    at = [*keys, "_chunk"]
+    df = df.withColumn("_chunk", chunk).withColumn("_order", order).withColumns({f"_v_{n}": v for n, (_, v) in values.items()})
+    own = {n: F.col(f"_v_{n}") for n in values}
+    total = {"max": F.max, "min": F.min, "last": lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("_order")))}
+    over = {"max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}
+    join = {"max": F.greatest, "min": F.least, "last": F.coalesce}
+    sums = df.groupBy(*at).agg(*(total[kind](own[n]).alias(f"_t_{n}") for n, (kind, _) in values.items()))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*at, *(over[kind](F.col(f"_t_{n}")).over(before).alias(f"_b_{n}") for n, (kind, _) in values.items()))
+    inner = Window.partitionBy(*at).orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
+    out = df.join(base, at).withColumns({n: join[kind](over[kind](own[n]).over(inner), F.col(f"_b_{n}")) for n, (kind, _) in values.items()})
+    return out.drop("_chunk", "_order", *(f"_{k}_{n}" for k in "vb" for n in values))
+
+
 def assign_offsets(df: DataFrame, high: DataFrame | None = None) -> DataFrame:
     """Dense offsets per partition, after the ends in ``high`` (topic, partition, log_end) if given."""
     out = running(df, F.lit(1), "offset")
@@ -54,23 +75,46 @@ def resolve_start(start: Column, isolation: Column) -> Column:
     return F.when(start == EARLIEST, F.col("log_start")).when(start == LATEST, visible).otherwise(start)
 
 
+#: Offsets of a stretch, the unit by which reads and as-of lookups are dealt out.
+STRETCH = 1 << 13
+#: Milliseconds of a stretch of time.
+TIME_STRETCH = 60_000
+
+
 def fetch(records: DataFrame, state: DataFrame, requests: DataFrame) -> DataFrame:
     """Records of each request (req_id, topic, partition, start, max_bytes, isolation).
 
     A record is kept if the bytes before it, from the start, are less than the
     budget; the budget applies before the cut at the visible end. Requests out
-    of range give nothing here (see ``bounds_error``).
+    of range give nothing here (see ``bounds_error``). A request meets only the
+    records of the stretches of offsets that its budget can reach.
     """
     r = requests.join(state, list(LOG)).withColumn("from_offset", resolve_start(F.col("start"), F.col("isolation")))
     r = r.filter(F.col("from_offset").between(F.col("log_start"), F.col("log_end"))).withColumn("visible", F.when(F.col("isolation") == READ_COMMITTED, F.col("hwm")).otherwise(F.col("log_end")))
     # A record takes 27 bytes at least, so an offset bound prunes before bytes are summed; the first record always stays.
     span = F.floor(F.col("max_bytes") / 27) + 1
-    rows = records.join(r, list(LOG)).filter((F.col("offset") >= F.col("from_offset")) & (F.col("offset") <= F.col("from_offset") + span))
+    r = r.withColumn("upto", F.col("from_offset") + span).withColumn("stretch", F.explode(F.sequence(F.floor(F.col("from_offset") / STRETCH), F.floor(F.least(F.col("upto"), F.col("log_end")) / STRETCH))))
+    rows = records.withColumn("stretch", F.floor(F.col("offset") / STRETCH)).join(r, [*LOG, "stretch"]).filter(F.col("offset").between(F.col("from_offset"), F.col("upto"))).drop("stretch", "upto")
     before = Window.partitionBy("req_id").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("bytes_before", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))
     return rows.filter((F.col("bytes_before") < F.col("max_bytes")) & (F.col("offset") < F.col("visible")))
 
 
+def consume(records: DataFrame, start: Column, limit: int) -> DataFrame:
+    """``limit`` records of every partition from an offset: offsets are dense, so this is a range."""
+    return records.filter((F.col("offset") >= start) & (F.col("offset") < start + limit))
+
+
+def gaps(records: DataFrame) -> DataFrame:
+    """Records that do not follow the one before them, with ``missing``: offsets left out (negative: repeated)."""
+    # In stretches; a stretch's first record is compared with the last of all before it.
+    inner = Window.partitionBy(*LOG, F.floor(F.col("offset") / STRETCH)).orderBy("offset", "seq")
+    tops = records.groupBy(*LOG, F.floor(F.col("offset") / STRETCH).alias("_chunk")).agg(F.max("offset").alias("_end"))
+    tops = tops.withColumn("_before", F.max("_end").over(Window.partitionBy(*LOG).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
+    out = records.withColumn("_lag", F.lag("offset").over(inner)).withColumn("_chunk", F.floor(F.col("offset") / STRETCH)).join(tops, [*LOG, "_chunk"])
+    return out.withColumn("missing", F.col("offset") - F.coalesce("_lag", "_before") - 1).filter("missing <> 0").drop("_lag", "_before", "_chunk")
+
+
 def bounds_error(requests: DataFrame, state: DataFrame) -> DataFrame:
     """OK, OUT_OF_RANGE or NOT_FOUND for each request."""
     r = requests.join(state, list(LOG), "left").withColumn("from_offset", resolve_start(F.col("start"), F.col("isolation")))
@@ -80,8 +124,20 @@ def bounds_error(requests: DataFrame, state: DataFrame) -> DataFrame:
 
 def offsets_for_times(records: DataFrame, state: DataFrame, times: DataFrame) -> DataFrame:
     """First offset at or after each time (topic, partition, t), else the log's end; exact."""
-    hit = records.select(*LOG, "offset", "timestamp_ms").join(times, list(LOG)).filter(F.col("timestamp_ms") >= F.col("t")).groupBy(*LOG, "t").agg(F.min("offset").alias("hit"))
-    return times.join(state.select(*LOG, "log_end"), list(LOG)).join(hit, [*LOG, "t"], "left").withColumn("found", F.coalesce("hit", "log_end"))
+    return ceiling(records.select(*LOG, F.col("timestamp_ms").alias("at"), "offset"), state, times)
+
+
+def ceiling(entries: DataFrame, state: DataFrame, times: DataFrame) -> DataFrame:
+    """The least offset of the entries (topic, partition, at, offset) at or after each time, else the log's end.
+
+    Entries and times stand in one order, the latest first, and the least offset
+    is carried along: no pairs are made.
+    """
+    a = times.select(*LOG, "t", F.col("t").alias("at"), F.lit(None).cast("long").alias("offset"))
+    b = entries.select(*LOG, F.lit(None).cast("long").alias("t"), "at", "offset")
+    order = F.struct(-F.col("at"), F.col("t").isNotNull())
+    both = scanned(a.unionByName(b), {"hit": ("min", F.col("offset"))}, list(LOG), order, F.floor(-F.col("at") / TIME_STRETCH))
+    return both.filter("t IS NOT NULL").join(state.select(*LOG, "log_end"), list(LOG)).withColumn("found", F.coalesce("hit", "log_end"))
 
 
 def batches_of(records: DataFrame) -> DataFrame:
@@ -141,30 +197,31 @@ def segments_of(segmented: DataFrame) -> DataFrame:
 
 def time_index(segmented: DataFrame) -> DataFrame:
     """Index entries whose time does not fall below an earlier entry's."""
+    entries = segmented.filter("indexed")
+    # Within a segment, which has few entries: its size bounds them.
     before = Window.partitionBy(*LOG, "segment_base").orderBy("base").rowsBetween(Window.unboundedPreceding, -1)
-    return segmented.filter("indexed").withColumn("_top", F.max("max_ts").over(before)).filter("_top IS NULL OR max_ts >= _top").drop("_top")
+    return entries.withColumn("_top", F.max("max_ts").over(before)).filter("_top IS NULL OR max_ts >= _top").drop("_top")
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, on: str, take: str) -> DataFrame:
-    """For each left row, ``take`` of the right row with the largest ``on`` that is at most ``at``.
+    """For each left row, ``take`` of the right row with the largest ``on`` that is at most ``at`` (offsets).
 
-    Both sides are put in one order per key and the last right row is carried
-    forward: no row pairs are made.
+    Both sides are put in one order per key, in stretches, and the last right row
+    is carried forward: no row pairs are made, and a hot key is many tasks.
     """
     a = left.select(*left.columns, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[take].dataType).alias("_take"))
     b = right.select(*keys, *(F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema if f.name not in keys), F.col(on).alias("_at"), F.lit(0).alias("_side"), F.col(take).alias("_take"))
-    order = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("_take", F.last("_take", ignorenulls=True).over(order))
-    return both.filter("_side = 1").drop("_at", "_side").withColumnRenamed("_take", take)
+    both = scanned(a.unionByName(b), {take: ("last", F.col("_take"))}, keys, F.struct("_at", "_side"), F.floor(F.col("_at") / STRETCH))
+    return both.filter("_side = 1").drop("_at", "_side", "_take")
 
 
 def offsets_for_times_sparse(segmented: DataFrame, state: DataFrame, times: DataFrame) -> DataFrame:
     """The ceiling of each time on the sparse time index; it can land later than the exact answer."""
     entries = time_index(segmented).select(*LOG, F.col("max_ts").alias("entry_ts"), "base", "segment_base")
     reach = segments_of(segmented).select(*LOG, "segment_base", F.col("max_ts").alias("segment_ts"))
-    open_ = entries.join(reach, [*LOG, "segment_base"]).join(times, list(LOG)).filter((F.col("segment_ts") >= F.col("t")) & (F.col("entry_ts") >= F.col("t")))
-    hit = open_.groupBy(*LOG, "t").agg(F.min("base").alias("hit"))
-    return times.join(state.select(*LOG, "log_end"), list(LOG)).join(hit, [*LOG, "t"], "left").withColumn("found", F.coalesce("hit", "log_end"))
+    # An entry serves times up to its own and its segment's last; the segment's last is no less than its entries' times.
+    reached = entries.join(reach, [*LOG, "segment_base"])
+    return ceiling(reached.select(*LOG, F.least("entry_ts", "segment_ts").alias("at"), F.col("base").alias("offset")), state, times)
 
 
 def retention(segments: DataFrame, now_ms: int, max_age_ms: int = 0, max_bytes: int = 0) -> DataFrame:

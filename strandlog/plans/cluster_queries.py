@@ -143,32 +143,34 @@ def auto_create_topics(spark, d):
     return e.groupBy("topic").agg(F.max("p").alias("partitions"))
 
 
-@query(with_(PROGRESS, "SELECT partition::BIGINT AS partition, least(log_end, (SELECT min(leo) FROM fo WHERE fo.partition = st.partition AND in_sync)) AS high_water, 1 + (SELECT count(*) FROM fo WHERE fo.partition = st.partition AND in_sync) AS isr FROM st"))
-def high_water_mark(spark, d):
-    state = X.log_state(X.records(spark, d))
-    return cluster.high_water_mark(state, cluster.latest_followers(X.progress(spark, d))).select(part(), F.coalesce("high_water", "log_end").alias("high_water"), F.col("isr").cast("long").alias("isr"))
+#: A follower starts in sync at offset 0; the mark never falls.
+HWM = f"""{PROGRESS}, ru AS (SELECT *, max(log_end) OVER (PARTITION BY partition, broker ORDER BY seq) AS leo FROM pg),
+cf AS (SELECT partition, seq, leader_end, coalesce(last_value(CASE WHEN broker = 1 THEN leo END IGNORE NULLS) OVER w, 0) AS l1, coalesce(last_value(CASE WHEN broker = 1 THEN connected END IGNORE NULLS) OVER w, TRUE) AS c1,
+  coalesce(last_value(CASE WHEN broker = 2 THEN leo END IGNORE NULLS) OVER w, 0) AS l2, coalesce(last_value(CASE WHEN broker = 2 THEN connected END IGNORE NULLS) OVER w, TRUE) AS c2 FROM ru WINDOW w AS (PARTITION BY partition ORDER BY seq)),
+hw AS (SELECT *, least(leader_end, CASE WHEN c1 THEN l1 END, CASE WHEN c2 THEN l2 END) AS candidate, 1 + c1::INT + c2::INT AS isr FROM cf)"""
+FOLLOWERS = [1, 2]
+ISR = "3 - (SELECT count(*) FROM fo WHERE fo.partition = st.partition AND NOT in_sync)"
 
 
-HWM = f"""{PROGRESS}, ru AS (SELECT *, max(log_end) OVER (PARTITION BY partition, broker ORDER BY seq) AS leo FROM pg),
-cf AS (SELECT partition, seq, leader_end, last_value(CASE WHEN broker = 1 THEN leo END IGNORE NULLS) OVER w AS l1, last_value(CASE WHEN broker = 1 THEN connected END IGNORE NULLS) OVER w AS c1, last_value(CASE WHEN broker = 2 THEN leo END IGNORE NULLS) OVER w AS l2, last_value(CASE WHEN broker = 2 THEN connected END IGNORE NULLS) OVER w AS c2 FROM ru WINDOW w AS (PARTITION BY partition ORDER BY seq)),
-hw AS (SELECT *, least(leader_end, CASE WHEN c1 THEN l1 END, CASE WHEN c2 THEN l2 END) AS candidate, 1 + coalesce(c1::INT, 0) + coalesce(c2::INT, 0) AS isr FROM cf)"""
+@query(with_(HWM, f"SELECT partition::BIGINT AS partition, coalesce((SELECT max(candidate) FROM hw WHERE hw.partition = st.partition), 0) AS high_water, {ISR} AS isr FROM st"))
+def high_water_mark(spark, d):
+    state, progress = X.log_state(X.records(spark, d)), X.progress(spark, d)
+    return cluster.high_water_mark(state, progress, FOLLOWERS).select(part(), "high_water", F.col("isr").cast("long").alias("isr"))
 
 
 @query(with_(HWM, "SELECT seq, max(candidate) OVER (PARTITION BY partition ORDER BY seq) AS hwm FROM hw"))
 def hwm_timeline(spark, d):
-    return cluster.high_water_timeline(X.progress(spark, d)).select("seq", "hwm")
+    return cluster.high_water_timeline(X.progress(spark, d), FOLLOWERS).select("seq", "hwm")
 
 
 @query(with_(HWM, "SELECT seq, isr::BIGINT AS isr, isr >= 2 AS admissible FROM hw"))
 def isr_timeline(spark, d):
-    t = cluster.high_water_timeline(X.progress(spark, d))
-    isr = 1 + F.col("end1").isNotNull().cast("long") + F.col("end2").isNotNull().cast("long")
-    return t.select("seq", isr.alias("isr"), (isr >= 2).alias("admissible"))
+    return cluster.high_water_timeline(X.progress(spark, d), FOLLOWERS).select("seq", "isr", (F.col("isr") >= 2).alias("admissible"))
 
 
-@query(with_(PROGRESS, "SELECT partition::BIGINT AS partition, (1 + (SELECT count(*) FROM fo WHERE fo.partition = st.partition AND in_sync))::BIGINT AS isr, 1 + (SELECT count(*) FROM fo WHERE fo.partition = st.partition AND in_sync) >= 2 AS admissible FROM st"))
+@query(with_(PROGRESS, f"SELECT partition::BIGINT AS partition, ({ISR})::BIGINT AS isr, {ISR} >= 2 AS admissible FROM st"))
 def quorum_admissible(spark, d):
-    h = cluster.high_water_mark(X.log_state(X.records(spark, d)), cluster.latest_followers(X.progress(spark, d)))
+    h = cluster.in_sync_replicas(X.log_state(X.records(spark, d)), cluster.latest_followers(X.progress(spark, d)), FOLLOWERS)
     return h.select(part(), F.col("isr").cast("long").alias("isr"), (F.col("isr") >= 2).alias("admissible"))
 
 
@@ -195,7 +197,7 @@ ACK = ", ak AS (SELECT rq.*, (flushed > last_offset)::BIGINT + (SELECT count(*)
 def produce_requests(spark, d):
     state = X.log_state(X.records(spark, d)).select(*LOG, F.col("log_end").alias("end"))
     e = X.table(spark, d, "events").select(F.col("event_id").alias("req_id"), (F.col("event_id") % 4).cast("int").alias("partition"), (F.col("event_id") * 1000).alias("deadline_ms"))
-    return e.join(F.broadcast(state), "partition").withColumn("last_offset", F.floor(F.col("end") * (F.floor(F.col("req_id") / 25) % 20) / 20)).drop("end")
+    return e.join(X.small(state), "partition").withColumn("last_offset", F.floor(F.col("end") * (F.floor(F.col("req_id") / 25) % 20) / 20)).drop("end")
 
 
 @query(with_(REQ + ACK, "SELECT req_id, persisted, persisted >= 2 AS acked FROM ak"))
@@ -217,7 +219,7 @@ def ack_timeouts(spark, d):
 def replicate_pending(spark, d):
     """What a follower still lacks: source records at and beyond its own end."""
     f = cluster.latest_followers(X.progress(spark, d)).select(*LOG, "broker", "leo")
-    rows = X.records(spark, d).join(F.broadcast(f), LOG).filter("offset >= leo")  # a row per replica
+    rows = X.records(spark, d).join(X.small(f), LOG).filter("offset >= leo")  # a row per replica
     return rows.groupBy(part(), F.col("broker").cast("long").alias("broker")).agg(F.count("*").alias("pending"), F.min("offset").alias("next_offset"))
 
 
@@ -330,20 +332,23 @@ def list_topics(spark, d):
     return X.log_state(r).join(size, LOG).groupBy("topic").agg(F.count("*").alias("partitions"), F.sum(F.col("log_end") - F.col("log_start")).alias("records"), F.sum("bytes").alias("bytes"))
 
 
-@query(with_(PLACED, "SELECT leader::BIGINT AS broker, to_json(list(struct_pack(topic := topic, partition := partition) ORDER BY topic, partition))::VARCHAR AS doc FROM pl GROUP BY leader"))
-def topology(spark, d):
-    p = placed(spark, d).groupBy(F.col("leader").cast("long").alias("broker"))
-    return p.agg(F.to_json(F.array_sort(F.collect_list(F.struct("topic", "partition")))).alias("doc"))  # partitions of one broker
+#: Every partition's log end on its leader: of topic events that of the log, of others a number of their own.
+TOPOLOGY = f"{PLACED}, tl AS (SELECT leader AS broker, topic, partition, partition * 100 + strlen(topic) AS log_end, concat_ws(',', leader, second, third) AS replicas FROM pl UNION ALL SELECT partition % 3, 'events', partition, log_end, concat_ws(',', partition % 3, (partition + 1) % 3, (partition + 2) % 3) FROM st)"
 
 
-@query(with_(PLACED, "SELECT leader::BIGINT AS broker, count(*) AS partitions, sum(partition)::BIGINT AS total FROM pl GROUP BY leader"))
-def topology_log_end(spark, d):
-    return ends_of(topology(spark, d))
+@query(with_(f"{STATE}, {TOPOLOGY}", """SELECT broker::BIGINT AS broker, '{"broker_id":' || broker || ',"topics":[' || string_agg(doc, ',' ORDER BY topic) || ']}' AS doc FROM (SELECT broker, topic,
+'{"name":"' || topic || '","partitions":[' || string_agg('{"partition":' || partition || ',"leader":' || broker || ',"replicas":[' || replicas || '],"log_end_offset":' || log_end || '}', ',' ORDER BY partition) || ']}' AS doc FROM tl GROUP BY broker, topic) GROUP BY broker"""))
+def topology(spark, d):
+    """Each broker's document: the partitions that it leads, by topic, with replicas and log ends."""
+    events = X.log_state(X.records(spark, d)).select("topic", "partition", "log_end", F.array(*((F.col("partition") + k) % 3 for k in range(3))).alias("replicas"))
+    others = placed(spark, d).select("topic", "partition", (F.col("partition") * 100 + F.octet_length("topic")).cast("long").alias("log_end"), "replicas")
+    return cluster.topology_documents(others.unionByName(events)).select(F.col("broker").cast("long").alias("broker"), "doc")
 
 
-def ends_of(docs: DataFrame) -> DataFrame:
-    rows = F.from_json("doc", "array<struct<topic: string, partition: long>>")
-    return docs.select("broker", F.explode(rows).alias("p")).groupBy("broker").agg(F.count("*").alias("partitions"), F.sum("p.partition").alias("total"))
+@query(with_(f"{STATE}, {TOPOLOGY}", "SELECT topic, count(*) AS partitions, sum(log_end)::BIGINT AS log_end FROM tl GROUP BY topic"))
+def topology_log_end(spark, d):
+    """Records of every topic, from the leaders' documents: the sum of its partitions' log ends."""
+    return cluster.topic_log_ends(topology(spark, d), "doc")
 
 
 @query(with_(MEMBERS, "SELECT group_id, count(DISTINCT member_id) AS generation FROM mb GROUP BY group_id"))

@@ -99,8 +99,7 @@ def fetch_bounds_check(spark, d):
 
 @query(with_(RECORDS, 'SELECT partition::BIGINT AS partition, pos AS "offset", value FROM r QUALIFY row_number() OVER (PARTITION BY partition ORDER BY pos) <= 25'))
 def consume_limit(spark, d):
-    w = Window.partitionBy(*LOG).orderBy("offset")
-    return X.records(spark, d).withColumn("k", F.row_number().over(w)).filter("k <= 25").select(F.col("partition").cast("long").alias("partition"), "offset", "value")
+    return log.consume(X.records(spark, d), F.lit(0), 25).select(F.col("partition").cast("long").alias("partition"), "offset", "value")
 
 
 def times(spark: SparkSession, d: str) -> DataFrame:
@@ -217,8 +216,7 @@ def recovery_report(spark, d):
 
 @query(with_(DAMAGED, 'SELECT partition::BIGINT AS partition, pos AS "offset", pos - prev - 1 AS missing FROM (SELECT partition, pos, lag(pos) OVER (PARTITION BY partition ORDER BY pos) AS prev FROM dm) WHERE pos <> prev + 1'))
 def offset_gaps(spark, d):
-    before = F.lag("offset").over(Window.partitionBy(*LOG).orderBy("offset"))
-    return damaged(spark, d).withColumn("missing", F.col("offset") - before - 1).filter("missing <> 0").select(F.col("partition").cast("long").alias("partition"), "offset", "missing")
+    return log.gaps(damaged(spark, d)).select(F.col("partition").cast("long").alias("partition"), "offset", "missing")
 
 
 @query(with_(STATE, "SELECT partition::BIGINT AS partition, log_end - flushed AS unflushed, log_end - flushed >= 500 AS due FROM st"))
@@ -257,10 +255,10 @@ def batch_by_bytes(spark, d):
     return log.batch_by_bytes(X.records(spark, d), 2048, 50).groupBy(F.col("partition").cast("long").alias("partition"), "batch_no").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-@query(with_(RECORDS, "SELECT partition::BIGINT AS partition, count(DISTINCT batch_id) AS batches, sum(size)::BIGINT AS bytes, count(*) AS records FROM r GROUP BY partition"))
+@query(with_(SEGMENT_TIMES, "SELECT partition::BIGINT AS partition, count(*) AS segments, sum(bytes)::BIGINT AS bytes, sum(records)::BIGINT AS records, min(seg) AS log_start, max(last) + 1 AS log_end FROM sg GROUP BY partition"))
 def log_stats(spark, d):
-    b = log.batches_of(X.records(spark, d))
-    return b.groupBy(F.col("partition").cast("long").alias("partition")).agg(F.count("*").alias("batches"), F.sum("bytes").alias("bytes"), F.sum("n").alias("records"))
+    s = log.segments_of(segmented(spark, d))
+    return s.groupBy(F.col("partition").cast("long").alias("partition")).agg(F.count("*").alias("segments"), F.sum("bytes").alias("bytes"), F.sum("records").alias("records"), F.min("segment_base").alias("log_start"), (F.max("last") + 1).alias("log_end"))
 
 
 @query(with_(SEGMENT_TIMES, "SELECT partition::BIGINT AS partition, max(seg) AS segment_base, arg_max(bytes, seg) AS bytes FROM sg GROUP BY partition"))

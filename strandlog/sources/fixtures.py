@@ -7,7 +7,7 @@ no timestamp and every 50th an early one; a batch holds a hundred records.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlog.functions import scalars as S
@@ -34,12 +34,21 @@ def produced(spark: SparkSession, sf_dir: str) -> DataFrame:
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log: routed, stamped with append times, sized, with dense offsets per partition."""
     rows = produced(spark, sf_dir)
-    clock = rows.groupBy("batch_id").agg(F.max("clock_ms").alias("append_time_ms"))
-    rows = rows.join(clock, "batch_id").withColumn("timestamp_ms", F.when(F.col("raw_ms") <= 0, F.col("append_time_ms")).otherwise(F.col("raw_ms")))
+    clock = F.max("clock_ms").over(Window.partitionBy("batch_id"))
+    rows = rows.withColumn("append_time_ms", clock).withColumn("timestamp_ms", F.when(F.col("raw_ms") <= 0, F.col("append_time_ms")).otherwise(F.col("raw_ms")))
     rows = rows.withColumn("size", S.record_size(F.col("key"), F.col("value")))
     return log.assign_offsets(rows).drop("raw_ms", "clock_ms")
 
 
+#: Rows of a table that may be broadcast.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def log_state(records: DataFrame) -> DataFrame:
     """One row per partition: log_start, log_end, flushed and high-water mark."""
     end = records.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("log_end"))
@@ -52,7 +61,7 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = log_state(records(spark, sf_dir)).select("topic", "partition", F.col("log_end").alias("leader_end"))
     n = F.col("event_id")
     e = table(spark, sf_dir, "events").select(n.alias("seq"), (n % 4).cast("int").alias("partition"), (1 + F.floor(n / 4) % 2).cast("int").alias("broker"), (n % 211 == 0).cast("long").alias("epoch"), (n % 13 != 0).alias("connected"))
-    e = e.join(F.broadcast(end), "partition")  # a row per partition of one topic
+    e = e.join(small(end), "partition")  # a row per partition of one topic
     e = e.withColumn("log_end", F.floor(F.col("leader_end") * (F.col("seq") % 10 + 1) / 10).cast("long"))
     return e.withColumn("flushed", F.col("log_end") - F.floor(F.col("log_end") / 20).cast("long"))
 
