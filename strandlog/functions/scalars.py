@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strandlog.model import ACK_ALIASES, RECORD_PREFIX
+from strandlog.model import ACK_ALIASES, CODEC_ALIASES, ERRORS, INTER_BROKER, OPCODES, RECORD_PREFIX, RETRYABLE, STRATEGY_ALIASES
 
 
 def crc32c_table() -> list[int]:
@@ -77,9 +77,44 @@ def valid_topic(name: Column) -> Column:
     return name.rlike("^[A-Za-z0-9._-]{1,200}$") & ~name.isin(".", "..")
 
 
+def _alias(text: Column, aliases: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv)), text)
+
+
 def parse_ack_mode(text: Column) -> Column:
-    pairs = F.create_map(*(F.lit(x) for kv in ACK_ALIASES.items() for x in kv))
-    return F.try_element_at(pairs, F.lower(F.trim(text)))
+    """none, leader or quorum by one of its names, as written; null for any other."""
+    return _alias(text, ACK_ALIASES)
+
+
+def parse_compression(text: Column) -> Column:
+    return _alias(text, CODEC_ALIASES)
+
+
+def parse_strategy(text: Column) -> Column:
+    return _alias(text, STRATEGY_ALIASES)
+
+
+def error_name(code: Column) -> Column:
+    """The name of an error code; UNKNOWN_CODE for any other."""
+    return F.coalesce(F.get(F.array(*map(F.lit, ERRORS)), code.cast("int")), F.lit("UNKNOWN_CODE"))
+
+
+def error_code(name: Column) -> Column:
+    """The code of an error name; null for any other."""
+    at = F.array_position(F.array(*map(F.lit, ERRORS)), name)
+    return F.when(at > 0, at - 1)
+
+
+def retryable(name: Column) -> Column:
+    return F.coalesce(name.isin(*RETRYABLE), F.lit(False))
+
+
+def known_opcode(code: Column) -> Column:
+    return code.isin(*OPCODES)
+
+
+def inter_broker(code: Column) -> Column:
+    return code.between(*INTER_BROKER)
 
 
 def _scaled(text: Column, pattern: str, units: dict[str, Column | int]) -> Column:
@@ -142,6 +177,20 @@ def escape_label(text: Column) -> Column:
     return out
 
 
+def escape_json(text: Column) -> Column:
+    """A string as it stands in JSON, without its quotes."""
+    quoted = F.to_json(F.array(text))
+    return F.substring(quoted, F.lit(3), F.length(quoted) - 4)
+
+
+def human_number(n: Column) -> Column:
+    """A count with thousands, millions or billions as k, M, G."""
+    out = F.format_string("%d", n.cast("long"))
+    for k, unit in enumerate(("k", "M", "G"), 1):
+        out = F.when(n >= 1000**k, F.format_string(f"%.1f{unit}", n / float(1000**k))).otherwise(out)
+    return out
+
+
 def series_key(name: Column, labels: Column) -> Column:
     """A metric's name and its labels in order, apart by a unit separator."""
     pairs = F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))

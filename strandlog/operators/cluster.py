@@ -55,10 +55,11 @@ def high_water_timeline(progress: DataFrame, brokers: list[int]) -> DataFrame:
 
 def high_water_mark(state: DataFrame, progress: DataFrame, brokers: list[int]) -> DataFrame:
     """topic, partition, high_water, isr after all reports; without any report the mark is 0 (the leader's end if it is alone)."""
+    if not brokers:
+        return state.select(*LOG, F.col("log_end").alias("high_water"), F.lit(1).alias("isr"))
     last = high_water_timeline(progress, brokers).groupBy(*LOG).agg(F.max("hwm").alias("high_water"))
-    none = F.lit(0) if brokers else F.col("log_end")
     isr = in_sync_replicas(state, latest_followers(progress), brokers)
-    return isr.join(last, list(LOG), "left").select(*LOG, F.coalesce("high_water", none).cast("long").alias("high_water"), "isr")
+    return isr.join(last, list(LOG), "left").select(*LOG, F.coalesce("high_water", F.lit(0)).cast("long").alias("high_water"), "isr")
 
 
 def fence_epochs(progress: DataFrame) -> DataFrame:

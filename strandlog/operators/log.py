@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlog.functions import scalars as S
+from strandlog.functions import wire
 from strandlog.model import EARLIEST, LATEST, LOG, MAX_SEGMENT, READ_COMMITTED
 
 
@@ -62,6 +63,47 @@ def assign_offsets(df: DataFrame, high: DataFrame | None = None) -> DataFrame:
     return out.join(ends, list(LOG), "left").withColumn("offset", F.col("offset") + F.coalesce("_end", F.lit(0))).drop("_end")
 
 
+def produce_status(records: DataFrame, declared: DataFrame) -> DataFrame:
+    """topic, partition, batch_id, n, status of each produced batch (rows with ``data``) against its declared count.
+
+    A batch without records, or with another number of them than declared, is
+    INVALID_ARGUMENT, one with a malformed record CORRUPTION. Checksums are not
+    read: the log writes its own (see ``append_bytes``).
+    """
+    read = wire.parsed(records)
+    seen = read.groupBy(*LOG, "batch_id").agg(F.count("*").alias("n"), F.count_if(~F.col("verdict").isin("OK", "CORRUPT")).alias("bad"))
+    out = declared.join(seen, [*LOG, "batch_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    status = F.when((F.col("n") == 0) | (F.col("declared") == 0), "INVALID_ARGUMENT").when(F.col("bad") > 0, "CORRUPTION").when(F.col("n") != F.col("declared"), "INVALID_ARGUMENT").otherwise("OK")
+    return out.select(*LOG, "batch_id", "n", status.alias("status"))
+
+
+def append_bytes(records: DataFrame) -> DataFrame:
+    """Produced records under the offsets and times that the log gives them (``offset``, ``timestamp_ms``), with checksums anew."""
+    return records.withColumn("data", wire.rewrite_header(F.col("data"), F.col("offset"), F.col("timestamp_ms")))
+
+
+def append_vectored(parts: list[DataFrame], high: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parts of one append, in order: the rows that continue the log without a gap, and each partition's verdict.
+
+    The parts are one run of offsets; a partition whose run does not begin at the
+    log's end, or has a gap (across the parts' edges too), is OUT_OF_RANGE whole.
+    """
+    rows = parts[0].withColumn("part", F.lit(0))
+    for k, p in enumerate(parts[1:], 1):
+        rows = rows.unionByName(p.withColumn("part", F.lit(k)))
+    sums = rows.groupBy(*LOG).agg(F.min("offset").alias("base"), F.max("offset").alias("last"), F.count("*").alias("n"), F.countDistinct("offset").alias("distinct"), F.max("part").alias("parts"))
+    dense = (F.col("base") == F.col("log_end")) & (F.col("last") - F.col("base") + 1 == F.col("n")) & (F.col("distinct") == F.col("n"))
+    verdict = sums.join(high.select(*LOG, "log_end"), list(LOG)).withColumn("status", F.when(dense, "OK").otherwise("OUT_OF_RANGE"))
+    return rows.join(verdict.filter("status = 'OK'").select(*LOG), list(LOG), "left_semi"), verdict
+
+
+def checked_batches(records: DataFrame) -> DataFrame:
+    """One row per pushed batch: base, last, n, and ``crc_ok``, whether all of its records' bytes are whole and hold their offsets."""
+    read = wire.parsed(records)
+    good = (F.col("verdict") == "OK") & (F.col("record.offset") == F.col("offset"))
+    return read.groupBy(*LOG, "batch_id").agg(F.min("offset").alias("base"), F.max("offset").alias("last"), F.count("*").alias("n"), F.every(F.coalesce(good, F.lit(False))).alias("crc_ok"))
+
+
 def accept_batches(batches: DataFrame, ends: DataFrame, epoch: int) -> DataFrame:
     """A follower's verdict on each pushed batch: NOT_LEADER, PROBE, OUT_OF_RANGE, CORRUPT or APPENDED."""
     out = batches.join(ends.select(*LOG, "log_end"), list(LOG))
@@ -172,23 +214,25 @@ def fold_sorted(df: DataFrame, keys: list[str], order: list[str], step: Callable
 SEGMENTED = "topic string, partition int, batch_id long, base long, last long, n long, bytes long, max_ts long, segment_base long, start long, indexed boolean"
 
 
-def roll_and_index(batches: DataFrame, segment_bytes: int, index_bytes: int) -> DataFrame:
+def roll_and_index(batches: DataFrame, segment_bytes: int, index_bytes: int, segment_ms: int = 0) -> DataFrame:
     """Each batch's segment, its byte position there, and whether the sparse index gets an entry.
 
-    A segment that holds data is closed before a batch that would overfill it; a
-    batch is never split. An entry is added for a segment's first batch, then
+    A segment that holds data is closed before a batch that would overfill it, or
+    that comes ``segment_ms`` (if any) or more after the segment's first; a
+    batch is never split. Times are the batches' ``append_ms``, if they have it. An entry is added for a segment's first batch, then
     whenever ``index_bytes`` have passed since the last entry.
     """
 
     def step(state, row):
-        base, used, last = state or (row.base, 0, None)
-        if used > 0 and used + row.bytes > segment_bytes or used + row.bytes > MAX_SEGMENT:
-            base, used, last = row.base, 0, None
+        base, used, last, since = state or (row.base, 0, None, row.append_ms)
+        if used > 0 and (used + row.bytes > segment_bytes or segment_ms > 0 and row.append_ms - since >= segment_ms) or used + row.bytes > MAX_SEGMENT:
+            base, used, last, since = row.base, 0, None, row.append_ms
         indexed = last is None or used - last >= index_bytes
         made = (row.topic, row.partition, row.batch_id, row.base, row.last, row.n, row.bytes, row.max_ts, base, used, indexed)
-        return (base, used + row.bytes, used if indexed else last), made
+        return (base, used + row.bytes, used if indexed else last, since), made
 
-    return fold_sorted(batches.select(*LOG, "batch_id", "base", "last", "n", "bytes", "max_ts"), list(LOG), ["base"], step, SEGMENTED)
+    at = F.col("append_ms") if "append_ms" in batches.columns else F.lit(0)
+    return fold_sorted(batches.select(*LOG, "batch_id", "base", "last", "n", "bytes", "max_ts", at.cast("long").alias("append_ms")), list(LOG), ["base"], step, SEGMENTED)
 
 
 def segments_of(segmented: DataFrame) -> DataFrame:
@@ -234,6 +278,37 @@ def retention(segments: DataFrame, now_ms: int, max_age_ms: int = 0, max_bytes:
     return segments.withColumn("_one", one).withColumn("dropped", F.min("_one").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_one")
 
 
+def truncate_segments(segments: DataFrame, ends: DataFrame) -> DataFrame:
+    """Segments with ``fate`` under each partition's new end: dropped if they begin at or beyond it (not the first one), cut if they hold it, else kept."""
+    first = segments.groupBy(*LOG).agg(F.min("segment_base").alias("_first"))
+    out = segments.join(first, list(LOG)).join(ends, list(LOG))
+    fate = F.when((F.col("segment_base") >= F.col("new_end")) & (F.col("segment_base") != F.col("_first")), "DROPPED").when(F.col("last") >= F.col("new_end"), "CUT").otherwise("KEPT")
+    return out.withColumn("fate", fate).drop("_first", "new_end")
+
+
+def needs_flush(state: DataFrame, max_records: int = 0, max_bytes: int = 0, max_ms: int = 0) -> DataFrame:
+    """Partitions with ``due``: unflushed records, bytes or time (unflushed_*, where the state has them) reach a threshold; 0 is none."""
+    limits = {"unflushed_records": max_records, "unflushed_bytes": max_bytes, "unflushed_ms": max_ms}
+    reached = [(F.col("unflushed_records") > 0) & (F.col(c) >= n) for c, n in limits.items() if n > 0 and c in state.columns]
+    due = F.lit(False)
+    for r in reached:
+        due = due | r
+    return state.withColumn("due", due)
+
+
+def within_segment(entries: DataFrame, requests: DataFrame) -> DataFrame:
+    """Records of a read inside one segment: whole records of no more than ``max_bytes`` in all, one at least.
+
+    ``entries``: topic, partition, segment_base, offset, position, size; requests:
+    req_id, topic, partition, segment_base, start, max_bytes.
+    """
+    r = requests.withColumn("upto", F.floor(F.col("max_bytes") / 27) + F.col("start"))
+    rows = entries.join(r, [*LOG, "segment_base"]).filter(F.col("offset").between(F.col("start"), F.col("upto")))
+    first = F.first("position").over(Window.partitionBy("req_id").orderBy("offset"))
+    rows = rows.withColumn("_end", F.col("position") + F.col("size") - first)
+    return rows.filter((F.col("_end") <= F.col("max_bytes")) | (F.col("offset") == F.col("start"))).drop("_end", "upto")
+
+
 def truncate(records: DataFrame, ends: DataFrame) -> DataFrame:
     """Records below each partition's new end (topic, partition, new_end)."""
     return records.join(ends, list(LOG)).filter(F.col("offset") < F.col("new_end")).drop("new_end")
@@ -245,10 +320,40 @@ def valid_prefix(df: DataFrame, keys: list[str], order: str, bad: Column) -> Dat
     return df.join(first, keys, "left").filter(F.col("_bad").isNull() | (F.col(order) < F.col("_bad"))).drop("_bad")
 
 
-def recovery_report(damaged: DataFrame) -> DataFrame:
-    """Per partition: records on disk, records kept, the next offset, bytes cut."""
-    kept = valid_prefix(damaged, list(LOG), "offset", F.col("damaged")).groupBy(*LOG).agg(F.count("*").alias("kept"), (F.max("offset") + 1).alias("next_offset"), F.sum("size").alias("kept_bytes"))
-    return damaged.groupBy(*LOG).agg(F.count("*").alias("records"), F.sum("size").alias("bytes")).join(kept, list(LOG), "left").select(*LOG, "records", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("next_offset", F.lit(0)).alias("next_offset"), (F.col("bytes") - F.coalesce("kept_bytes", F.lit(0))).alias("cut_bytes"))
+def inspect(stored: DataFrame) -> DataFrame:
+    """Stored records (topic, partition, slot, data) with ``reason``: null, or why the log ends before this one.
+
+    SHORT, EMPTY (space that was reserved, not written), BAD_LENGTH, CORRUPT, or
+    GAP where the offset in the bytes does not follow the one before it.
+    """
+    read = wire.parsed(stored).withColumn("stored_offset", F.col("record.offset"))
+    chunk = F.floor(F.col("slot") / STRETCH)
+    inner = Window.partitionBy(*LOG, chunk).orderBy("slot")
+    tops = read.groupBy(*LOG, chunk.alias("_chunk")).agg(F.max_by("stored_offset", "slot").alias("_end"))
+    tops = tops.withColumn("_before", F.lag("_end").over(Window.partitionBy(*LOG).orderBy("_chunk")))
+    out = read.withColumn("_lag", F.lag("stored_offset").over(inner)).withColumn("_first", F.row_number().over(inner) == 1).withColumn("_chunk", chunk)
+    out = out.join(tops.select(*LOG, "_chunk", "_before"), [*LOG, "_chunk"])
+    follows = F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_lag")) + 1
+    gap = F.coalesce(F.col("stored_offset") != follows, F.lit(False))
+    return out.withColumn("reason", F.when(F.col("verdict") != "OK", F.col("verdict")).when(gap, "GAP")).drop("_lag", "_first", "_chunk", "_before")
+
+
+def recover(stored: DataFrame) -> DataFrame:
+    """The records that a log keeps after a crash: those before the first with a reason to end it."""
+    read = inspect(stored)
+    return valid_prefix(read, list(LOG), "slot", F.col("reason").isNotNull())
+
+
+def recovery_report(stored: DataFrame) -> DataFrame:
+    """Per partition: records found, records kept, the next offset, why it ends there, bytes cut as damage, and bytes that were only reserved."""
+    read = inspect(stored)
+    first = read.filter("reason IS NOT NULL").groupBy(*LOG).agg(F.min_by("reason", "slot").alias("reason"), F.min("slot").alias("cut"))
+    sums = read.drop("reason").join(first, list(LOG), "left").groupBy(*LOG).agg(
+        F.count("*").alias("records"), F.max("reason").alias("reason"), F.count_if(F.col("cut").isNull() | (F.col("slot") < F.col("cut"))).alias("kept"),
+        F.max(F.when(F.col("cut").isNull() | (F.col("slot") < F.col("cut")), F.col("stored_offset"))).alias("last"), F.sum(F.when(F.col("slot") >= F.col("cut"), F.octet_length("data")).otherwise(0)).alias("rest"),
+    )
+    empty = F.coalesce(F.col("reason") == "EMPTY", F.lit(False))
+    return sums.select(*LOG, "records", "kept", (F.coalesce("last", F.lit(-1)) + 1).alias("next_offset"), "reason", F.when(empty, 0).otherwise(F.col("rest")).alias("cut_bytes"), F.when(empty, F.col("rest")).otherwise(0).alias("reserved_bytes"))
 
 
 def batch_by_bytes(df: DataFrame, limit: int, count: int) -> DataFrame:

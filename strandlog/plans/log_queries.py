@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlog.functions import scalars as S
+from strandlog.functions import wire
 from strandlog.operators import log
-from strandlog.plans.sql import RECORDS, SEGMENTS, STATE, crc, with_
+from strandlog.plans.sql import RECORDS, SEGMENTS, STATE, with_
 from strandlog.sources import fixtures as X
 
 QUERIES: dict = {}
@@ -193,36 +194,44 @@ def truncate_to(spark, d):
     return log.truncate(r, X.log_state(r).select(*LOG, F.col("flushed").alias("new_end"))).groupBy(F.col("partition").cast("long").alias("partition")).agg(F.count("*").alias("n"), F.max("offset").alias("last_offset"))
 
 
-def damaged(spark: SparkSession, d: str) -> DataFrame:
-    """The log with a bad checksum in each partition at 7/8 of it, and a gap at 9/10."""
-    r = X.records(spark, d)
-    rows = r.join(X.log_state(r), LOG).filter(F.col("offset") != F.floor(F.col("log_end") * 9 / 10))
-    return rows.withColumn("damaged", (F.col("offset") == F.floor(F.col("log_end") * 7 / 8)) | (F.col("offset") > F.floor(F.col("log_end") * 9 / 10)))
-
+#: Where each partition's bytes end, and why (see ``fixtures.damaged``).
+DAMAGED = f"""{STATE}, ct AS (SELECT partition, log_end, CASE partition WHEN 0 THEN log_end * 7 // 8 WHEN 1 THEN log_end * 9 // 10 WHEN 2 THEN log_end - 1 ELSE log_end END AS cut,
+  CASE partition WHEN 0 THEN 'CORRUPT' WHEN 1 THEN 'GAP' WHEN 2 THEN 'SHORT' ELSE 'EMPTY' END AS reason FROM st),
+dm AS (SELECT r.*, cut, reason, log_end FROM r JOIN ct USING (partition) WHERE r.partition <> 1 OR pos <> cut)"""
 
-DAMAGED = f"{STATE}, dm AS (SELECT r.*, log_end, pos = log_end * 7 // 8 OR pos > log_end * 9 // 10 AS damaged FROM r JOIN st USING (partition) WHERE pos <> log_end * 9 // 10)"
-PREFIX = ", v AS (SELECT *, max(damaged::INT) OVER (PARTITION BY partition ORDER BY pos) = 0 AS ok FROM dm)"
 
-
-@query(with_(DAMAGED + PREFIX, "SELECT seq FROM v WHERE ok"))
+@query(with_(DAMAGED, "SELECT seq FROM dm WHERE pos < cut"))
 def recover_valid_prefix(spark, d):
-    return log.valid_prefix(damaged(spark, d), LOG, "offset", F.col("damaged")).select("seq")
+    """What a log keeps after a crash, found from its bytes."""
+    return log.recover(X.damaged(spark, d)).select("seq")
 
 
-@query(with_(DAMAGED + PREFIX, "SELECT partition::BIGINT AS partition, count(*) AS records, count(*) FILTER (ok) AS kept, coalesce(max(pos) FILTER (ok) + 1, 0) AS next_offset, (sum(size) - coalesce(sum(size) FILTER (ok), 0))::BIGINT AS cut_bytes FROM v GROUP BY partition"))
+@query(with_(DAMAGED, """SELECT partition::BIGINT AS partition, count(*) + max((partition = 3)::INT) AS records, count(*) FILTER (pos < cut) AS kept, max(cut) AS next_offset, any_value(reason) AS reason,
+(CASE WHEN partition = 3 THEN 0 ELSE sum(CASE WHEN pos >= cut THEN size - CASE WHEN partition = 2 THEN 3 ELSE 0 END ELSE 0 END) END)::BIGINT AS cut_bytes, CASE WHEN partition = 3 THEN 64 ELSE 0 END::BIGINT AS reserved_bytes FROM dm GROUP BY partition"""))
 def recovery_report(spark, d):
-    return log.recovery_report(damaged(spark, d)).select(F.col("partition").cast("long").alias("partition"), "records", "kept", "next_offset", "cut_bytes")
+    return log.recovery_report(X.damaged(spark, d)).select(F.col("partition").cast("long").alias("partition"), "records", "kept", "next_offset", "reason", F.col("cut_bytes").cast("long").alias("cut_bytes"), F.col("reserved_bytes").cast("long").alias("reserved_bytes"))
 
 
-@query(with_(DAMAGED, 'SELECT partition::BIGINT AS partition, pos AS "offset", pos - prev - 1 AS missing FROM (SELECT partition, pos, lag(pos) OVER (PARTITION BY partition ORDER BY pos) AS prev FROM dm) WHERE pos <> prev + 1'))
+def gapped(spark: SparkSession, d: str) -> DataFrame:
+    """The log without one record in each partition, at 9/10."""
+    r = X.records(spark, d)
+    return r.join(X.log_state(r), LOG).filter(F.col("offset") != F.floor(F.col("log_end") * 9 / 10))
+
+
+@query(with_(STATE, 'SELECT partition::BIGINT AS partition, pos AS "offset", pos - prev - 1 AS missing FROM (SELECT r.partition, pos, lag(pos) OVER (PARTITION BY r.partition ORDER BY pos) AS prev FROM r JOIN st USING (partition) WHERE pos <> log_end * 9 // 10) WHERE pos <> prev + 1'))
 def offset_gaps(spark, d):
-    return log.gaps(damaged(spark, d)).select(F.col("partition").cast("long").alias("partition"), "offset", "missing")
+    return log.gaps(gapped(spark, d)).select(F.col("partition").cast("long").alias("partition"), "offset", "missing")
 
 
-@query(with_(STATE, "SELECT partition::BIGINT AS partition, log_end - flushed AS unflushed, log_end - flushed >= 500 AS due FROM st"))
+@query(with_(STATE, """, u AS (SELECT r.partition, count(*) FILTER (pos >= flushed) AS unflushed_records, coalesce(sum(size) FILTER (pos >= flushed), 0)::BIGINT AS unflushed_bytes, coalesce(max(timestamp_ms) FILTER (pos >= flushed) - min(timestamp_ms) FILTER (pos >= flushed), 0) AS unflushed_ms FROM r JOIN st USING (partition) GROUP BY r.partition)
+SELECT partition::BIGINT AS partition, unflushed_records, unflushed_bytes, unflushed_ms, unflushed_records > 0 AND (unflushed_records >= 500 OR unflushed_bytes >= 20000 OR unflushed_ms >= 3600000) AS due FROM u"""))
 def needs_flush(spark, d):
-    behind = F.col("log_end") - F.col("flushed")
-    return X.log_state(X.records(spark, d)).select(F.col("partition").cast("long").alias("partition"), behind.alias("unflushed"), (behind >= 500).alias("due"))
+    """Records, bytes and time that are not flushed, each against its threshold."""
+    r = X.records(spark, d)
+    rest = r.join(X.small(X.log_state(r)), LOG).withColumn("rest", F.col("offset") >= F.col("flushed"))
+    of = lambda c: F.when(F.col("rest"), F.col(c))
+    u = rest.groupBy(*LOG).agg(F.count_if("rest").alias("unflushed_records"), F.coalesce(F.sum(of("size")), F.lit(0)).alias("unflushed_bytes"), F.coalesce(F.max(of("timestamp_ms")) - F.min(of("timestamp_ms")), F.lit(0)).alias("unflushed_ms"))
+    return log.needs_flush(u, 500, 20_000, 3_600_000).select(F.col("partition").cast("long").alias("partition"), "unflushed_records", "unflushed_bytes", "unflushed_ms", "due")
 
 
 @query(with_(RECORDS, "SELECT seq, size FROM r"))
@@ -235,11 +244,80 @@ def tombstones(spark, d):
     return X.records(spark, d).filter(F.col("attributes").bitwiseAND(F.lit(4)) != 0).select("seq", "key", F.col("attributes").bitwiseAND(F.lit(3)).alias("codec"))
 
 
-@query("WITH " + f"e AS (SELECT event_id AS seq, props, {crc('props')} AS sum_now FROM events) SELECT seq, sum_now AS stored, TRUE AS ok FROM e WHERE seq % 30 <> 0 UNION ALL SELECT seq, sum_now + 1, FALSE FROM e WHERE seq % 30 = 0")
+@query(with_(RECORDS, 'SELECT seq, size, pos AS "offset", timestamp_ms, seq % 30 <> 0 AS ok FROM r'))
 def verify_checksums(spark, d):
-    e = X.table(spark, d, "events").withColumn("now", S.crc32c(F.col("props")))
-    e = e.withColumn("stored", F.col("now") + (F.col("event_id") % 30 == 0).cast("int"))
-    return e.select(F.col("event_id").alias("seq"), "stored", (F.col("stored") == F.col("now")).alias("ok"))
+    """Every stored record's bytes against its checksum; in every thirtieth a bit is turned. Offset and time are read from the bytes without it."""
+    rows = X.stored(spark, d).withColumn("data", F.when(F.col("seq") % 30 == 0, wire.turned(F.col("data"))).otherwise(F.col("data")))
+    read = wire.parsed(rows.select("seq", "data"))
+    return read.select("seq", F.octet_length("data").cast("long").alias("size"), wire.little(F.col("data"), 9, 8).alias("offset"), wire.peek_timestamp(F.col("data")).alias("timestamp_ms"), (F.col("verdict") == "OK").alias("ok"))
+
+
+@query(with_(RECORDS, 'SELECT seq, pos AS "offset", timestamp_ms, attributes::BIGINT AS attributes, key, value FROM r'))
+def decode_records(spark, d):
+    """Every record from its bytes."""
+    read = wire.parsed(X.stored(spark, d).select("seq", "data")).select("seq", "record.*").drop("verdict")
+    return read.withColumns({"attributes": F.col("attributes").cast("long"), "key": F.col("key").cast("string"), "value": F.col("value").cast("string")})
+
+
+@query(with_(RECORDS, 'SELECT seq, pos + 1000 AS "offset", timestamp_ms + 5 AS timestamp_ms, size - 4 AS length, TRUE AS ok FROM r'))
+def rewrite_headers(spark, d):
+    """Every record's bytes under another offset and time, whole again."""
+    rows = X.stored(spark, d).select("seq", wire.rewrite_header(F.col("data"), F.col("offset") + 1000, F.col("timestamp_ms") + 5).alias("data"))
+    return wire.parsed(rows).select("seq", "record.offset", "record.timestamp_ms", wire.peek_length(F.col("data")).alias("length"), (F.col("verdict") == "OK").alias("ok"))
+
+
+@query(with_(RECORDS, """, b AS (SELECT partition, batch_id, count(*) AS n FROM r GROUP BY partition, batch_id)
+SELECT partition::BIGINT AS partition, batch_id, n, CASE WHEN batch_id % 13 = 0 THEN 'INVALID_ARGUMENT' WHEN batch_id % 7 = 0 THEN 'CORRUPTION' ELSE 'OK' END AS status FROM b"""))
+def produce_status(spark, d):
+    """Produced batches, some with a wrong count or a cut record; turned bits do not matter here, as checksums are made anew."""
+    rows = X.stored(spark, d)
+    first = F.min("offset").over(Window.partitionBy(*LOG, "batch_id"))
+    rows = rows.withColumn("first", F.col("offset") == first)
+    cut = F.when(F.col("first") & (F.col("batch_id") % 7 == 0) & (F.col("batch_id") % 13 != 0), F.substring(F.col("data"), F.lit(1), F.octet_length("data") - 1)).when(F.col("batch_id") % 5 == 0, wire.turned(F.col("data"))).otherwise(F.col("data"))
+    counts = rows.groupBy(*LOG, "batch_id").agg(F.count("*").alias("n"))
+    declared = counts.select(*LOG, "batch_id", F.when(F.col("batch_id") % 13 == 0, F.col("n") + 99).otherwise(F.col("n")).alias("declared"))
+    return log.produce_status(rows.withColumn("data", cut), declared).select(F.col("partition").cast("long").alias("partition"), "batch_id", "n", "status")
+
+
+@query(with_(STATE, """SELECT partition::BIGINT AS partition, CASE WHEN partition = 3 THEN 'OUT_OF_RANGE' ELSE 'OK' END AS status, CASE WHEN partition = 3 THEN 0 ELSE log_end - flushed END AS appended FROM st"""))
+def append_vectored(spark, d):
+    """What lies beyond the flushed end as one append of three parts; partition 3 lacks a record between two of them."""
+    r = X.records(spark, d)
+    rows = r.join(X.small(X.log_state(r)), LOG).filter("offset >= flushed").withColumn("part_no", F.floor((F.col("offset") - F.col("flushed")) * 3 / (F.col("log_end") - F.col("flushed"))))
+    rows = rows.filter("partition <> 3 OR offset <> flushed + (log_end - flushed) div 2")
+    high = X.log_state(r).select(*LOG, F.col("flushed").alias("log_end"))
+    kept, verdict = log.append_vectored([rows.filter(F.col("part_no") == k).select(*LOG, "offset") for k in range(3)], high)
+    counts = kept.groupBy(*LOG).agg(F.count("*").alias("appended"))
+    return verdict.join(counts, LOG, "left").select(F.col("partition").cast("long").alias("partition"), "status", F.coalesce("appended", F.lit(0)).alias("appended"))
+
+
+@query(with_(STATE, """, m AS (SELECT partition, batch_id, min(pos) AS base, max(append_time_ms) AS append_ms, sum(size)::BIGINT AS bytes, row_number() OVER (PARTITION BY partition ORDER BY min(pos)) AS k FROM r GROUP BY partition, batch_id),
+s AS (SELECT partition, base, k, base AS seg, bytes AS used, append_ms AS since FROM m WHERE k = 1
+ UNION ALL SELECT partition, base, k, CASE WHEN roll THEN base ELSE seg END, CASE WHEN roll THEN bytes ELSE used + bytes END, CASE WHEN roll THEN append_ms ELSE since END
+ FROM (SELECT m.*, s.seg, s.used, s.since, s.used + m.bytes > 65536 OR m.append_ms - s.since >= 14400000 AS roll FROM s JOIN m ON m.partition = s.partition AND m.k = s.k + 1))
+SELECT partition::BIGINT AS partition, seg AS segment_base, count(*) AS batches FROM s GROUP BY partition, seg""").replace("WITH ", "WITH RECURSIVE ", 1))
+def segment_roll_by_age(spark, d):
+    """Segments that close after four hours, or before 64 KiB are exceeded."""
+    r = X.records(spark, d)
+    times = r.groupBy(*LOG, "batch_id").agg(F.max("append_time_ms").alias("append_ms"))
+    out = log.roll_and_index(log.batches_of(r).join(times, [*LOG, "batch_id"]), 65536, X.INDEX_BYTES, 14_400_000)
+    return out.groupBy(F.col("partition").cast("long").alias("partition"), "segment_base").agg(F.count("*").alias("batches"))
+
+
+@query(with_(SEGMENT_TIMES, "SELECT sg.partition::BIGINT AS partition, seg AS segment_base, CASE WHEN seg >= flushed AND seg <> min(seg) OVER (PARTITION BY sg.partition) THEN 'DROPPED' WHEN last >= flushed THEN 'CUT' ELSE 'KEPT' END AS fate FROM sg JOIN st USING (partition)"))
+def truncate_segments(spark, d):
+    ends = X.log_state(X.records(spark, d)).select(*LOG, F.col("flushed").alias("new_end"))
+    return log.truncate_segments(log.segments_of(segmented(spark, d)), ends).select(F.col("partition").cast("long").alias("partition"), "segment_base", "fate")
+
+
+@query(with_(SEGMENT_TIMES, """, x AS (SELECT r.partition, r.pos, r.size, sg.seg, sum(r.size) OVER (PARTITION BY r.partition, sg.seg ORDER BY r.pos) AS upto FROM r ASOF JOIN sg ON r.partition = sg.partition AND r.pos >= sg.seg)
+SELECT partition::BIGINT AS partition, seg AS segment_base, count(*) AS n, sum(size)::BIGINT AS bytes FROM x WHERE upto <= 700 OR pos = seg GROUP BY partition, seg"""))
+def fetch_within_segment(spark, d):
+    """The first records of every segment, of no more than 700 bytes in all, one at least."""
+    r = log.running(X.records(spark, d), F.col("size"), "position").select(*LOG, "seq", "offset", "position", "size")
+    entries = log.as_of(r, log.segments_of(segmented(spark, d)), LOG, "offset", "segment_base", "segment_base")
+    asked = log.segments_of(segmented(spark, d)).select(F.concat_ws(":", F.col("partition").cast("string"), F.col("segment_base").cast("string")).alias("req_id"), *LOG, "segment_base", F.col("segment_base").alias("start"), F.lit(700).alias("max_bytes"))
+    return log.within_segment(entries, asked).groupBy(F.col("partition").cast("long").alias("partition"), "segment_base").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
 @query(with_(RECORDS, "SELECT partition::BIGINT AS partition, batch_no, count(*) AS n FROM (SELECT partition, (row_number() OVER (PARTITION BY partition ORDER BY seq) - 1) // 64 AS batch_no FROM r) GROUP BY partition, batch_no"))
@@ -274,5 +352,8 @@ def replicate_accept(spark, d):
     b = log.batches_of(r)
     half = X.log_state(r).select(*LOG, F.floor(F.col("log_end") / 2).alias("half"))
     ends = b.join(half, LOG).filter("base <= half").groupBy(*LOG).agg(F.max("base").alias("log_end"))
-    pushed = b.withColumn("epoch", F.when(F.col("batch_id") % 9 == 0, 0).otherwise(1)).withColumn("crc_ok", F.col("batch_id") % 2 != 0)
+    # In every other batch a bit of the first record is turned; the follower finds it.
+    first = F.col("offset") == F.min("offset").over(Window.partitionBy(*LOG, "batch_id"))
+    sent = X.stored(spark, d).withColumn("data", F.when(first & (F.col("batch_id") % 2 == 0), wire.turned(F.col("data"))).otherwise(F.col("data")))
+    pushed = log.checked_batches(sent).withColumn("epoch", F.when(F.col("batch_id") % 9 == 0, 0).otherwise(1))
     return log.accept_batches(pushed, ends, 1).select(F.col("partition").cast("long").alias("partition"), "batch_id", "verdict")

@@ -9,6 +9,7 @@ from strandlog.functions import scalars as S
 from strandlog.operators import metrics
 from strandlog.plans.sql import STATE, with_
 from strandlog.sources import fixtures as X
+from strandlog.sources import frames
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -183,10 +184,11 @@ def segment_names(spark, d):
     return names.select("name", S.parse_segment_name(F.col("name")).alias("base"))
 
 
-@query("SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'leader' WHEN 2 THEN 'quorum' WHEN 3 THEN 'quorum' END AS mode FROM orders")
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'leader' WHEN 2 THEN 'quorum' WHEN 3 THEN 'quorum' END AS mode, CASE o_orderkey % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'lz4like' WHEN 2 THEN 'lz4like' END AS codec, CASE o_orderkey % 5 WHEN 1 THEN 'range' WHEN 2 THEN 'roundrobin' WHEN 3 THEN 'roundrobin' END AS strategy FROM orders")
 def parse_ack_mode(spark, d):
-    text = F.element_at(F.array(*map(F.lit, ("0", " LEADER ", "all", "-1", "some"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    return X.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), S.parse_ack_mode(text).alias("mode"))
+    """Names of ack modes, codecs and strategies; a name in other letters is none."""
+    text = lambda *names: F.element_at(F.array(*map(F.lit, names)), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return X.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), S.parse_ack_mode(text("0", "leader", "all", "-1", "LEADER")).alias("mode"), S.parse_compression(text("none", "lz4", "1", "zip", " none")).alias("codec"), S.parse_strategy(text("", "range", "roundrobin", "round-robin", "sticky")).alias("strategy"))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 < 5 THEN o_orderkey * [1, 1024, 1024, 1048576, 1073741824][o_orderkey % 6 + 1] END AS bytes FROM orders")
@@ -228,9 +230,8 @@ def backoff_schedule(spark, d):
     return spark.range(1).select(F.posexplode(S.backoff(10, 1000, 12)).alias("k", "wait_ms")).select(F.col("k").cast("long").alias("try"), "wait_ms")
 
 
-@query("SELECT CASE event_id % 10 WHEN 1 THEN 'SHORT_HEADER' WHEN 2 THEN 'BAD_MAGIC' WHEN 3 THEN 'BAD_VERSION' WHEN 4 THEN 'SHORT_PAYLOAD' WHEN 5 THEN 'TRAILING_BYTES' WHEN 6 THEN 'BAD_CHECKSUM' ELSE 'OK' END AS verdict, count(*) AS n FROM events GROUP BY ALL")
+@query("""SELECT CASE event_id % 16 WHEN 1 THEN 'SHORT_HEADER' WHEN 2 THEN 'BAD_MAGIC' WHEN 3 THEN 'BAD_HEADER' WHEN 4 THEN 'SHORT_PAYLOAD' WHEN 5 THEN 'TRAILING_BYTES' WHEN 6 THEN 'BAD_RESERVED' WHEN 7 THEN 'UNSUPPORTED_VERSION' WHEN 8 THEN 'UNKNOWN_OPCODE'
+WHEN 9 THEN 'TOO_LARGE' WHEN 10 THEN 'BAD_PAYLOAD' ELSE 'OK' END AS verdict, count(*) AS n FROM events GROUP BY ALL""")
 def frame_classify(spark, d):
     """Captured frames, good and damaged, by why a decoder refuses them."""
-    from strandlog.sources import frames
-
     return frames.classify(frames.sample(X.table(spark, d, "events"))).groupBy("verdict").agg(F.count("*").alias("n"))

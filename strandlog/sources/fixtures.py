@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlog.functions import scalars as S
+from strandlog.functions import wire
 from strandlog.operators import log
 
 PARTITIONS, BATCH = 4, 100
@@ -49,6 +50,24 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as it lies on disk: every record with its bytes, by slot (the place in its partition)."""
+    r = records(spark, sf_dir)
+    return r.withColumn("data", wire.encode(F.col("offset"), F.col("timestamp_ms"), F.col("attributes"), F.col("key"), F.col("value"))).withColumn("slot", F.col("offset"))
+
+
+def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored log after a crash: in partition 0 a bit is turned at 7/8, in 1 a record is missing at 9/10, in 2 the last one is cut short, in 3 only reserved space follows."""
+    end = log_state(records(spark, sf_dir)).select("topic", "partition", "log_end")
+    rows = stored(spark, sf_dir).select("topic", "partition", "seq", "slot", "data").join(small(end), ["topic", "partition"])
+    rows = rows.filter((F.col("partition") != 1) | (F.col("slot") != F.floor(F.col("log_end") * 9 / 10)))
+    bad = F.when((F.col("partition") == 0) & (F.col("slot") == F.floor(F.col("log_end") * 7 / 8)), wire.turned(F.col("data")))
+    short = F.when((F.col("partition") == 2) & (F.col("slot") == F.col("log_end") - 1), F.substring(F.col("data"), F.lit(1), F.octet_length("data") - 3))
+    rows = rows.withColumn("data", F.coalesce(bad, short, F.col("data")))
+    space = end.filter("partition = 3").select("topic", "partition", F.lit(None).cast("long").alias("seq"), F.col("log_end").alias("slot"), F.lit(bytes(64)).alias("data"), "log_end")
+    return rows.select("topic", "partition", "seq", "slot", "data", "log_end").unionByName(space).drop("log_end")
+
+
 def log_state(records: DataFrame) -> DataFrame:
     """One row per partition: log_start, log_end, flushed and high-water mark."""
     end = records.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("log_end"))

@@ -1,49 +1,89 @@
 """Captured protocol frames: a 32-byte header, then the payload.
 
-Header, little-endian: magic u32, version u8, flags u8, opcode u16, correlation
-u64, payload length u32, payload CRC-32C u32, reserved u64.
+Header, little-endian: magic u32, version u16, opcode u16, request id u64, payload
+length u32, flags u16, reserved u16, payload CRC-32C u32 (0 of an empty payload),
+CRC-32C u32 of the header before it.
 """
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.functions import scalars as S
-
-MAGIC, VERSION, HEADER, MAX_PAYLOAD = 0x4E525453, 1, 32, 64 << 20
+from strandlog.functions.crc import crc32c_array
+from strandlog.functions.wire import _column
+from strandlog.model import OPCODES
 
+#: Fixed values of the format.
+MAGIC, VERSION, MAX_PAYLOAD = 0x47534C50, 1, 64 << 20
+FIELDS = struct.Struct("<IHHQIHHI")
+HEADER = FIELDS.size + 4
 
-def little(data: Column, at: int, size: int) -> Column:
-    """An unsigned little-endian number of a binary column."""
-    return F.conv(F.concat(*(F.hex(F.substring(data, at + k, 1)) for k in reversed(range(size)))), 16, 10).cast("decimal(20,0)").cast("long")
 
+def checksums(data: list[bytes]) -> list[int]:
+    """CRC-32C of each, 0 of empty ones."""
+    import pyarrow as pa
 
-def put(x: Column, size: int) -> Column:
-    """A number as little-endian bytes."""
-    hexed = F.lpad(F.hex(x), 2 * size, "0")
-    return F.unhex(F.concat(*(F.substring(hexed, 2 * k + 1, 2) for k in reversed(range(size)))))
+    return [c if d else 0 for c, d in zip(crc32c_array(pa.array(data, pa.large_binary())).to_pylist(), data)]
 
 
-def encode(opcode: Column, correlation: Column, payload: Column) -> Column:
-    raw = payload.cast("binary")
-    return F.concat(put(F.lit(MAGIC), 4), put(F.lit(VERSION), 1), put(F.lit(0), 1), put(opcode, 2), put(correlation, 8), put(F.octet_length(raw), 4), put(S.crc32c(raw), 4), put(F.lit(0), 8), raw)
+def frames(fields: list[tuple], payloads: list[bytes]) -> list[bytes]:
+    """Frames of (version, opcode, request_id, payload length or None for the true one, reserved) and payloads."""
+    heads = [FIELDS.pack(MAGIC, version, opcode, request, len(p) if length is None else length, 0, reserved, c) for (version, opcode, request, length, reserved), p, c in zip(fields, payloads, checksums(payloads))]
+    return [h + struct.pack("<I", c) + p for h, c, p in zip(heads, checksums(heads), payloads)]
 
 
-def classify(frames: DataFrame, column: str = "frame") -> DataFrame:
-    """OK or the first reason to refuse a frame."""
-    f = F.col(column)
-    n, length = F.octet_length(f), little(f, 17, 4)
-    verdict = (
-        F.when(n < HEADER, "SHORT_HEADER").when(little(f, 1, 4) != MAGIC, "BAD_MAGIC").when(little(f, 5, 1) != VERSION, "BAD_VERSION").when(little(f, 6, 1) != 0, "BAD_FLAGS")
-        .when(length > MAX_PAYLOAD, "TOO_LARGE").when(n < HEADER + length, "SHORT_PAYLOAD").when(n > HEADER + length, "TRAILING_BYTES").when(little(f, 21, 4) != S.crc32c(F.substring(f, HEADER + 1, 1 << 30)), "BAD_CHECKSUM").otherwise("OK")
+def verdict(frame: bytes, head_sum: int, payload_sum: int) -> str:
+    """OK, SHORT_HEADER or SHORT_PAYLOAD (more is needed), TRAILING_BYTES, or why a decoder refuses a frame; the header's checksum comes before its fields."""
+    if len(frame) < HEADER:
+        return "SHORT_HEADER"
+    magic, version, opcode, _, length, _, reserved, stored = FIELDS.unpack_from(frame)
+    checks = (
+        (magic != MAGIC, "BAD_MAGIC"), (int.from_bytes(frame[28:32], "little") != head_sum, "BAD_HEADER"), (reserved != 0, "BAD_RESERVED"), (version != VERSION, "UNSUPPORTED_VERSION"), (opcode not in OPCODES, "UNKNOWN_OPCODE"),
+        (length > MAX_PAYLOAD, "TOO_LARGE"), (len(frame) < HEADER + length, "SHORT_PAYLOAD"), (len(frame) > HEADER + length, "TRAILING_BYTES"), (stored != payload_sum, "BAD_PAYLOAD"),
     )
-    return frames.withColumn("verdict", verdict)
+    return next((name for bad, name in checks if bad), "OK")
+
+
+def encode(opcode: Column, request_id: Column, payload: Column) -> Column:
+    """A frame around a payload."""
+
+    def run(opcode, request_id, payload):
+        import pyarrow as pa
+
+        return pa.array(frames([(VERSION, o, r, None, 0) for o, r in zip(opcode.to_pylist(), request_id.to_pylist())], payload.to_pylist()), pa.binary())
+
+    return _column(run, "binary", opcode.cast("int"), request_id.cast("long"), payload.cast("binary"))
+
+
+def classify(captured: DataFrame, column: str = "frame") -> DataFrame:
+    """The rows with the ``verdict`` on their frame."""
+
+    def run(frame):
+        import pyarrow as pa
+
+        raw = [f or b"" for f in frame.to_pylist()]
+        return pa.array([verdict(f, h, p) for f, h, p in zip(raw, checksums([f[:28] for f in raw]), checksums([f[HEADER:] for f in raw]))], pa.string())
+
+    return captured.withColumn("verdict", _column(run, "string", F.col(column).cast("binary")))
+
+
+def damage(kind: int, request: int, payload: bytes) -> bytes:
+    """A frame with damage or a bad field, one kind for each number from 1 to 10; other numbers are good frames."""
+    fields = {6: (VERSION, 1, request, None, 1), 7: (2, 1, request, None, 0), 8: (VERSION, 19, request, None, 0), 9: (VERSION, 1, request, MAX_PAYLOAD + 1, 0), 11: (VERSION, 40, request, None, 0)}
+    (frame,) = frames([fields.get(kind, (VERSION, 1, request, None, 0))], [b"" if kind == 12 else payload])
+    flip = lambda at: frame[:at] + bytes([frame[at] ^ 1]) + frame[at + 1 :]
+    return {1: frame[:20], 2: flip(0), 3: flip(8), 4: frame[: HEADER + 4], 5: frame + b" ", 10: flip(len(frame) - 1)}.get(kind, frame)
 
 
 def sample(events: DataFrame) -> DataFrame:
-    """Frames of the events' properties; some are damaged in each way."""
-    f = encode(F.lit(2), F.col("event_id"), F.col("props"))
-    n = F.col("event_id") % 10
-    damaged = F.when(n == 1, F.substring(f, 1, 20)).when(n == 2, F.concat(F.unhex(F.lit("00")), F.substring(f, 2, 1 << 30))).when(n == 3, F.concat(F.substring(f, 1, 4), F.unhex(F.lit("09")), F.substring(f, 6, 1 << 30))).when(n == 4, F.substring(f, 1, 36)).when(n == 5, F.concat(f, F.unhex(F.lit("20")))).when(n == 6, F.concat(F.substring(f, 1, HEADER), F.unhex(F.lit("41")), F.substring(f, HEADER + 2, 1 << 30))).otherwise(f)
-    return events.select("event_id", damaged.alias("frame"))
+    """Frames of the events' properties; of every sixteen ten are bad, each in its own way."""
+
+    def run(event_id, props):
+        import pyarrow as pa
+
+        return pa.array([damage(e % 16, e, p.encode()) for e, p in zip(event_id.to_pylist(), props.to_pylist())], pa.binary())
+
+    return events.select("event_id", _column(run, "binary", F.col("event_id"), F.col("props")).alias("frame"))

@@ -1,94 +1,121 @@
 """Binary log segments as a Spark data source: ``format("strand_segments")``.
 
-A segment file is a run of records. Record, little-endian: length u32 (of what
-follows it), CRC-32C u32 (of what follows it), offset i64, timestamp i64,
-attributes u8, key length as a base-128 number (0: null, else length + 1), key,
-value length as a base-128 number, value. Reading a file stops at its first
-short, damaged or discontinuous record. ``write_segment`` makes such files.
+A segment file is a run of records (see ``functions.wire``), which may be followed
+by zeros: space that was reserved, not written. Files are read in parts of
+``PART_BYTES``, from the place that ``start`` asks for where a sparse index file
+(``.index``: offset, position pairs of u64) lies beside the segment. Reading
+stops at the first short, damaged or discontinuous record. ``write_segment``
+makes such files, ``walk`` tells where one ends and why.
 """
 
 from __future__ import annotations
 
+import bisect
 import struct
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from strandlog.functions.scalars import CRC_TABLE
+from strandlog.functions import wire
+from strandlog.functions.crc import crc32c_array
+from strandlog.model import MAX_RECORD, RECORD_PREFIX
 
 SCHEMA = "segment_base long, offset long, timestamp_ms long, attributes int, key binary, value binary, size long"
-
-
-def crc32c(data: bytes) -> int:
-    c = 0xFFFFFFFF
-    for b in data:
-        c = c >> 8 ^ CRC_TABLE[(c ^ b) & 255]
-    return c ^ 0xFFFFFFFF
-
-
-def varuint(x: int) -> bytes:
-    out = bytearray()
-    while x >= 128:
-        out.append(x & 127 | 128)
-        x >>= 7
-    return bytes([*out, x])
-
-
-def read_varuint(data: bytes, at: int) -> tuple[int, int]:
-    x = shift = 0
-    while True:
-        b = data[at]
-        at += 1
-        x |= (b & 127) << shift
-        if b < 128:
-            return x, at
-        shift += 7
-
-
-def encode(offset: int, timestamp_ms: int, attributes: int, key: bytes | None, value: bytes) -> bytes:
-    body = struct.pack("<qqB", offset, timestamp_ms, attributes) + varuint(0 if key is None else len(key) + 1) + (key or b"") + varuint(len(value)) + value
-    return struct.pack("<II", len(body) + 4, crc32c(body)) + body
-
-
-def decode(data: bytes) -> Iterator[tuple]:
-    """Valid records from the start, until the first that is short, damaged or out of sequence."""
-    at, expected = 0, None
-    while at + 8 <= len(data):
-        length, crc = struct.unpack_from("<II", data, at)
-        body = data[at + 8 : at + 4 + length]
-        if length < 23 or len(body) != length - 4 or crc32c(body) != crc:
+PART_BYTES, INDEX_EVERY = 8 << 20, 4096
+
+
+def records(file, size: int, position: int, expected: int | None, part_bytes: int = PART_BYTES) -> Iterator[tuple]:
+    """(position, offset, timestamp, attributes, key, value, size) of valid records, then (position, why it ends): END, EMPTY, SHORT, BAD_LENGTH, CORRUPT or GAP."""
+    import pyarrow as pa
+
+    while position < size:
+        file.seek(position)
+        part = file.read(min(part_bytes, size - position))
+        cuts, at = [], 0
+        while at + 4 <= len(part):
+            length = int.from_bytes(part[at : at + 4], "little")
+            if not RECORD_PREFIX - 4 <= length <= MAX_RECORD or at + 4 + length > len(part):
+                break
+            cuts.append((at, at + 4 + length))
+            at += 4 + length
+        sums = crc32c_array(pa.array([part[a + 8 : b] for a, b in cuts], pa.large_binary())).to_pylist()
+        for (a, b), c in zip(cuts, sums):
+            data = part[a:b]
+            verdict, offset, *fields = wire.structure(data)
+            if int.from_bytes(data[4:8], "little") != c:
+                verdict = "CORRUPT"
+            elif verdict == "OK" and expected is not None and offset != expected:
+                verdict = "GAP"
+            if verdict != "OK":
+                yield position + a, verdict
+                return
+            yield position + a, offset, *fields, b - a
+            expected = offset + 1
+        position += at
+        rest = part[at : at + 4]
+        length = int.from_bytes(rest, "little")
+        if len(rest) == 4 and not RECORD_PREFIX - 4 <= length <= MAX_RECORD:
+            yield position, "EMPTY" if length == 0 else "BAD_LENGTH"
             return
-        offset, timestamp, attributes = struct.unpack_from("<qqB", body)
-        if expected is not None and offset != expected:
+        if position + len(part) - at >= size and position < size:
+            yield position, "SHORT"
             return
-        n, p = read_varuint(body, 17)
-        key, p = (None, p) if n == 0 else (body[p : p + n - 1], p + n - 1)
-        n, p = read_varuint(body, p)
-        yield offset, timestamp, attributes, key, body[p : p + n], 4 + length
-        at, expected = at + 4 + length, offset + 1
+        if not at:
+            part_bytes = MAX_RECORD + 4
+    yield position, "END"
+
+
+def walk(file, size: int, base: int) -> dict:
+    """records, next_offset, valid_bytes, reserved_bytes, cut_bytes and reason of a segment."""
+    n = 0
+    for r in records(file, size, 0, base):
+        if len(r) == 2:
+            rest = size - r[0]
+            return {"records": n, "next_offset": base + n, "valid_bytes": r[0], "reserved_bytes": rest if r[1] == "EMPTY" else 0, "cut_bytes": 0 if r[1] == "EMPTY" else rest, "reason": r[1]}
+        n += 1
+    raise AssertionError("a walk always ends")
 
 
-def write_segment(folder: str, base: int, records: list[tuple]) -> str:
-    """A segment of (timestamp_ms, attributes, key, value) records from offset ``base``."""
+def write_segment(folder: str, base: int, rows: list[tuple], reserve: int = 0) -> str:
+    """A segment of (timestamp_ms, attributes, key, value) records from offset ``base``, its sparse index, and reserved space after it."""
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    path = f"{root}/{base:020d}.log"
+    path, index, at, last = f"{root}/{base:020d}.log", [], 0, None
     with store.open_output_stream(path) as out:
-        for k, r in enumerate(records):
-            out.write(encode(base + k, *r))
+        for k, data in enumerate(wire.sealed([wire.body(base + k, *r) for k, r in enumerate(rows)])):
+            if last is None or at - last >= INDEX_EVERY:
+                index.append(struct.pack("<QQ", base + k, at))
+                last = at
+            out.write(data)
+            at += len(data)
+        out.write(bytes(reserve))
+    with store.open_output_stream(f"{root}/{base:020d}.index") as out:
+        out.write(b"".join(index))
     return path
 
 
+def floor_position(store, path: str, start: int, base: int) -> tuple[int, int]:
+    """(position, offset) of the last index entry at or before ``start``; the segment's begin without an index."""
+    name = path.removesuffix(".log") + ".index"
+    if store.get_file_info(name).size is None:
+        return 0, base
+    with store.open_input_file(name) as f:
+        data = f.read()
+    entries = [e for e in struct.iter_unpack("<QQ", data[: len(data) // 16 * 16])]
+    k = bisect.bisect_right([e[0] for e in entries], start) - 1
+    return (entries[k][1], entries[k][0]) if k >= 0 else (0, base)
+
+
 class SegmentFile(InputPartition):
     def __init__(self, folder: str, path: str):
         self.folder, self.path = folder, path
 
 
 class SegmentReader(DataSourceReader):
-    def __init__(self, folder: str, start: int):
-        self.folder, self.start = folder, start
+    def __init__(self, folder: str, start: int, max_bytes: int):
+        self.folder, self.start, self.max_bytes = folder, start, max_bytes
 
     def partitions(self) -> list[SegmentFile]:
         """One task per segment; segments wholly below the start offset are skipped by the next one's base."""
@@ -103,16 +130,20 @@ class SegmentReader(DataSourceReader):
         from pyarrow import fs
 
         store, _ = fs.FileSystem.from_uri(partition.folder)
-        with store.open_input_file(partition.path) as f:
-            data = f.read()
         base = int(partition.path.rpartition("/")[2][:20])
-        for offset, timestamp, attributes, key, value, size in decode(data):
-            if offset >= self.start:
-                yield base, offset, timestamp, attributes, key, value, size
+        position, offset = floor_position(store, partition.path, self.start, base)
+        with store.open_input_file(partition.path) as f:
+            taken = 0
+            for r in records(f, f.size(), position, offset):
+                if len(r) == 2 or self.max_bytes and taken and taken + r[6] > self.max_bytes:
+                    return
+                if r[1] >= self.start:
+                    taken += r[6]
+                    yield base, *r[1:]
 
 
 class SegmentSource(DataSource):
-    """Options: ``path`` (a folder's URI) and ``start`` (the first offset wanted)."""
+    """Options: ``path`` (a folder's URI), ``start`` (the first offset wanted), ``maxBytes`` (of each segment; whole records, one at least)."""
 
     @classmethod
     def name(cls) -> str:
@@ -122,4 +153,4 @@ class SegmentSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> SegmentReader:
-        return SegmentReader(self.options["path"], int(self.options.get("start", 0)))
+        return SegmentReader(self.options["path"], int(self.options.get("start", 0)), int(self.options.get("maxBytes", 0)))

@@ -58,10 +58,59 @@ def test_roll_and_retention(spark):
     assert not log.retention(one, 0, max_bytes=1).first()["dropped"]
 
 
-def test_recovery_stops_at_damage(spark):
-    d = records(spark, 20).withColumn("damaged", F.col("offset").isin(7, 12))
-    r = log.recovery_report(d).first()
-    assert (r["kept"], r["next_offset"], r["cut_bytes"]) == (7, 7, 1300)
+def progress(spark, rows):
+    """(seq, broker, log_end, connected) reports to a leader whose end is 100."""
+    return spark.createDataFrame([("t", 0, s, b, e, c, 100) for s, b, e, c in rows], "topic string, partition int, seq long, broker int, log_end long, connected boolean, leader_end long").withColumn("flushed", F.col("log_end"))
+
+
+def test_high_water_mark_waits_for_every_follower(spark, monkeypatch):
+    """Followers start in sync at 0; the mark never falls; without followers in sync the leader's end is the mark."""
+    monkeypatch.setattr(cluster, "STRETCH", 2)  # several stretches
+    p = progress(spark, [(0, 1, 50, True), (1, 1, 60, True), (2, 2, 40, True), (3, 2, 70, True), (4, 1, 60, False), (5, 2, 70, False), (6, 1, 61, True)])
+    got = [(r.hwm, r.isr) for r in cluster.high_water_timeline(p, [1, 2]).orderBy("seq").collect()]
+    assert got == [(0, 3), (0, 3), (40, 3), (60, 3), (70, 2), (100, 1), (100, 2)]
+    s = state(spark, 100)
+    r = cluster.high_water_mark(s, p.filter("seq < 1"), [1, 2]).first()
+    assert (r.high_water, r.isr) == (0, 3)
+    r = cluster.high_water_mark(s, p.limit(0), []).first()
+    assert (r.high_water, r.isr) == (100, 1)
+
+
+def test_stale_epochs_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "STRETCH", 3)
+    e = [0, 0, 2, 0, 0, 1, 0, 2, 3, 2]
+    p = spark.createDataFrame([("t", 0, k, x) for k, x in enumerate(e)], "topic string, partition int, seq long, epoch long")
+    assert [r.stale for r in cluster.fence_epochs(p).orderBy("seq").collect()] == [x < max(e[: k + 1]) for k, x in enumerate(e)]
+
+
+def test_time_lookup_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(log, "TIME_STRETCH", 7)
+    times = [5, 3, 9, 9, 30, 12, 29, 40]
+    r = spark.createDataFrame([("t", 0, k, x) for k, x in enumerate(times)], "topic string, partition int, offset long, timestamp_ms long")
+    asked = spark.createDataFrame([("t", 0, t) for t in range(45)], "topic string, partition int, t long")
+    got = {x.t: x.found for x in log.offsets_for_times(r, state(spark, 8), asked).collect()}
+    assert got == {t: min((k for k, x in enumerate(times) if x >= t), default=8) for t in range(45)}
+
+
+def test_as_of_and_gaps_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(log, "STRETCH", 4)
+    left = spark.createDataFrame([("t", 0, k, k) for k in range(20)], "topic string, partition int, seq long, offset long")
+    right = spark.createDataFrame([("t", 0, b) for b in (2, 3, 11)], "topic string, partition int, base long")
+    got = {r.offset: r.base for r in log.as_of(left, right, LOG, "offset", "base", "base").collect()}
+    assert got == {k: max((b for b in (2, 3, 11) if b <= k), default=None) for k in range(20)}
+    gaps = log.gaps(left.filter("offset NOT IN (4, 9, 10, 19)")).orderBy("offset").collect()
+    assert [(r.offset, r.missing) for r in gaps] == [(5, 1), (11, 2)]
+
+
+def test_roll_by_age(spark):
+    b = log.batches_of(records(spark, 100)).withColumn("append_ms", F.col("base"))
+    assert log.segments_of(log.roll_and_index(b, 1 << 20, 1 << 20, segment_ms=25)).count() == 4
+
+
+def test_topology_sums_log_ends(spark):
+    led = spark.createDataFrame([("a", 0, 10, [0, 1]), ("a", 1, 5, [1, 0]), ("b", 0, 7, [0, 1])], "topic string, partition int, log_end long, replicas array<int>")
+    got = {r.topic: (r.partitions, r.log_end) for r in cluster.topic_log_ends(cluster.topology_documents(led), "doc").collect()}
+    assert got == {"a": (2, 15), "b": (1, 7)}
 
 
 def test_members_sort_by_text_and_union_topics(spark):
@@ -88,15 +137,25 @@ def test_spread_of_one_trial(spark):
 
 
 def events(spark):
-    rows = [(0, "g", "m1", "join", "a"), (1, "g", "m2", "join", "a"), (2, "g", "m1", "join", "a"), (3, "g", "m1", "join", "a,b"), (4, "g", "m2", "leave", ""), (5, "g", "m3", "join", "a")]
-    data = [(s, g, m, k, t, "range", 1000, s * 10 if s < 5 else 9000) for s, g, m, k, t in rows]
-    return data, "seq long, group_id string, member_id string, kind string, topics string, strategy string, timeout_ms long, event_ms long"
+    rows = [
+        (0, "", "join", "a", 0), (1, "chosen", "join", "a", 10), (2, "g-1", "join", "a", 20), (3, "g-1", "join", "a,b", 30), (4, "g-2", "leave", "", 40), (5, "g-2", "heartbeat", "", 50),
+        (6, "", "join", "", 60), (7, "", "join", "a", 9000), (8, "g-3", "leave", "", 9001), (9, "", "join", "b", 9002),
+    ]
+    strategy = lambda s: "range" if s < 9 else "roundrobin"
+    return [(s, "g", m, k, t, strategy(s), 1000, ms) for s, m, k, t, ms in rows], "seq long, group_id string, member_id string, kind string, topics string, strategy string, timeout_ms long, event_ms long"
 
 
 def test_group_machine(spark):
-    got = groups.replay(spark.createDataFrame(*events(spark))).orderBy("seq").collect()
-    assert [r.generation for r in got] == [1, 2, 2, 3, 4, 5]
-    assert got[-1].members == 1  # m1's session has expired
+    """Ids are given, an expiry and a join are a generation each, a group keeps its strategy when it empties."""
+    got = groups.replay(spark.createDataFrame(*events(spark)), {"a": 3, "b": 1}).orderBy("seq").collect()
+    assert [r.generation for r in got] == [1, 2, 2, 3, 4, 4, 4, 6, 7, 8]
+    assert [r.member_id for r in got] == ["g-1", "g-2", "g-1", "g-1", "g-2", "g-2", None, "g-3", "g-3", "g-4"]
+    assert [r.error for r in got] == [None] * 5 + ["UNKNOWN_MEMBER", "INVALID_ARGUMENT"] + [None] * 3
+    assert [r.members for r in got] == [1, 2, 2, 2, 1, 1, 1, 1, 0, 1]
+    assert {r.strategy for r in got} == {"range"}
+    assert got[3].assignment == '{"g-1": ["a-0", "a-1", "b-0"], "g-2": ["a-2"]}'
+    assert got[9].assignment == '{"g-4": ["b-0"]}'
+    assert groups.assign("roundrobin", ["x", "y"], {"a": 3, "b": 2}) == {"x": ["a-0", "a-2", "b-1"], "y": ["a-1", "b-0"]}
 
 
 def test_every_query_has_sql():

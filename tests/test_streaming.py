@@ -44,4 +44,14 @@ def test_segment_source_stops_at_damage(spark, tmp_path):
     assert got.filter("offset = 4").first().key is None
     assert bytes(got.filter("offset = 5").first().key) == b""
     assert spark.read.format("strand_segments").option("path", folder).option("start", 12).load().count() == 7
-    assert segments.crc32c(b"123456789") == 0xE3069283
+    assert spark.read.format("strand_segments").option("path", folder).option("maxBytes", 300).load().filter("segment_base = 0").count() == 2
+    with open(path, "rb") as f:
+        got = segments.walk(f, len(data), 10)
+    assert (got["records"], got["next_offset"], got["reason"]) == (9, 19, "CORRUPT")
+    assert got["valid_bytes"] + got["cut_bytes"] == len(data)
+    space = segments.write_segment(f"file://{tmp_path}/space", 0, rows, reserve=500)
+    with open(space, "rb") as f:
+        got = segments.walk(f, f.seek(0, 2), 0)
+    assert (got["records"], got["reserved_bytes"], got["cut_bytes"], got["reason"]) == (10, 500, 0, "EMPTY")
+    with open(space, "rb") as f:
+        assert [r[1] for r in segments.records(f, f.seek(0, 2), 0, 0, part_bytes=64) if len(r) > 2] == list(range(10))
