@@ -3,8 +3,8 @@
 Counts of a text's character classes and of its language's common words are
 compared, by Jensen-Shannon distance (base 2), with those of the language's
 reference: the totals of all its documents that pass the base rules. A
-language's common words are learned: the ``COMMON`` words of letters that most
-of its documents hold. Limits are learned too: multiples of the median distance
+language's common words are learned: the ``COMMON`` short words, in lower case,
+that most of its documents hold. Limits are learned too: multiples of the median distance
 of the language's documents. A text is rejected if a base rule fails, if a
 distance is far above its median, or if both are well above; each comparison
 needs a minimum number of words.
@@ -33,8 +33,8 @@ WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Words below which a distance is not judged, and words a reference needs.
 MIN_CLASS_WORDS, MIN_COMMON_WORDS, MIN_REFERENCE_WORDS = 60, 100, 2000
-#: Common words of a language, and what may be one.
-COMMON, COMMON_PATTERN = 32, r"\p{L}{1,12}"
+#: Common words of a language, bytes of one at most, and common words of all languages that a plan may hold as a set.
+COMMON, COMMON_BYTES, SET_WORDS = 32, 16, 2000
 #: Limits as multiples of the language's median distance: of each distance alone, and of both together.
 #: Chosen on labelled documents of even doc_id, checked on odd ones.
 CLASS_LIMIT, WORD_LIMIT = 2.4, 2.2
@@ -81,8 +81,8 @@ def by_language(rows: DataFrame, refs: DataFrame, lang: str) -> DataFrame:
 
 def common_words(docs: DataFrame) -> DataFrame:
     """top_lang, top (array): the words that most documents of a language hold, ties in order of the word."""
-    held = F.array_distinct(F.transform(F.filter(words_of(F.col("text")), lambda w: w.rlike(f"^{COMMON_PATTERN}$")), lambda w: F.lower(w)))
-    per = docs.filter(F.col("lang").isNotNull()).select("lang", F.explode(held).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    held = F.array_distinct(words_of(F.lower(F.col("text"))))
+    per = docs.filter(F.col("lang").isNotNull()).select("lang", F.explode(held).alias("word")).filter(F.octet_length("word") <= COMMON_BYTES).groupBy("lang", "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     return per.withColumn("rank", rank).filter(F.col("rank") <= COMMON).groupBy(F.col("lang").alias("top_lang")).agg(F.sort_array(F.collect_list("word")).alias("top"))
 
@@ -94,14 +94,18 @@ def features(docs: DataFrame, top: DataFrame, keep: tuple[str, ...] = ()) -> Dat
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     listed = F.coalesce("top", F.array().cast("array<string>"))
-    common = lambda w: F.filter(F.transform(w, lambda x: F.lower(x)), lambda x: F.array_contains(listed, x))
-    histogram = lambda w: let(common(w), lambda c: F.transform(F.array_distinct(c), lambda w: F.struct(w.alias("word"), (F.size(c) - F.size(F.array_remove(c, w))).alias("n"))))
+    # Of few languages a set of all their words sorts most others out at once.
+    some = top.select(F.explode("top").alias("word")).distinct().limit(SET_WORDS + 1).collect()
+    known = (lambda x: x.isin([r.word for r in some])) if some and len(some) <= SET_WORDS else (lambda x: F.array_contains(listed, x))
+    common = F.filter(words_of(F.lower(text)), known)
+    histogram = let(common, lambda c: F.transform(F.array_intersect(c, listed), lambda w: F.struct(w.alias("word"), (F.size(c) - F.size(F.array_remove(c, w))).alias("n"))))
     rest = F.regexp_replace(text, r"\p{L}+", "")
     out = docs.select(
         "doc_id",
         "lang",
         *own,
-        let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"), histogram(w).alias("_common"))).alias("_w"),
+        let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias("_w"),
+        histogram.alias("_common"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _count(text, r"\p{Lu}").cast("long").alias("_upper"),
         F.length(text).cast("long").alias("_chars"),
@@ -109,7 +113,7 @@ def features(docs: DataFrame, top: DataFrame, keep: tuple[str, ...] = ()) -> Dat
         let(rest, lambda r: F.struct(F.length(r).alias("all"), F.length(F.regexp_replace(r, r"[\x20\x09-\x0D]+", "")).alias("words"), _count(r, "#*$%&|<>").alias("symbols"), _count(r, r"\p{N}").alias("digits"))).alias("_r"),
     )
     letters, other = F.col("_chars") - F.col("_r.all"), F.col("_r.words").cast("long")
-    out = out.select("doc_id", "lang", *own, "_w.*", "n_dup_lines", F.col("_r.symbols").cast("long").alias("n_symbols"), (letters + other).alias("word_chars"), F.array(letters - F.col("_upper"), "_upper", F.col("_r.digits").cast("long"), F.col("_r.symbols").cast("long"), other - F.col("_r.digits") - F.col("_r.symbols")).alias("_classes"))
+    out = out.select("doc_id", "lang", *own, "_w.*", "_common", "n_dup_lines", F.col("_r.symbols").cast("long").alias("n_symbols"), (letters + other).alias("word_chars"), F.array(letters - F.col("_upper"), "_upper", F.col("_r.digits").cast("long"), F.col("_r.symbols").cast("long"), other - F.col("_r.digits") - F.col("_r.symbols")).alias("_classes"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
@@ -215,7 +219,7 @@ c AS (SELECT n.*, letters - upper_case AS lower_case, word_chars - letters - dig
         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, {_FAILED} AS base_failed
       FROM n LEFT JOIN dl USING (row_id) LEFT JOIN rw USING (row_id)),
 lw AS (SELECT row_id, lang, lower(word) AS word, count(*) AS n FROM (SELECT row_id, lang, unnest(w) AS word FROM b WHERE lang IS NOT NULL)
-       WHERE regexp_full_match(word, '{COMMON_PATTERN}') GROUP BY row_id, lang, lower(word)),
+       WHERE strlen(lower(word)) <= {COMMON_BYTES} GROUP BY row_id, lang, lower(word)),
 tp AS (SELECT lang, word FROM (SELECT lang, word, count(*) AS n FROM lw GROUP BY lang, word)
        QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {COMMON}),
 cw AS (SELECT row_id, lang, word, count(*) AS n FROM (SELECT row_id, lang, lower(unnest(w)) AS word FROM b) JOIN tp USING (lang, word) GROUP BY row_id, lang, word),
