@@ -155,3 +155,23 @@ def topic_log_ends(docs: DataFrame, column: str) -> DataFrame:
     """topic, partitions, log_end: read from topology documents, of each partition as its leader tells it."""
     t = docs.select(F.explode(F.from_json(column, TOPOLOGY)["topics"]).alias("t")).select("t.name", F.explode("t.partitions").alias("p"))
     return t.groupBy(F.col("name").alias("topic")).agg(F.count("*").alias("partitions"), F.sum("p.log_end_offset").alias("log_end"))
+
+
+def metadata_topics(topics: DataFrame, asked: DataFrame) -> DataFrame:
+    """The topics that a metadata request names (topic); none named is all, unknown ones are passed by."""
+    return topics.join(asked, "topic", "left_semi") if asked.limit(1).count() else topics
+
+
+def describe_brokers(brokers: DataFrame, placed: DataFrame) -> DataFrame:
+    """Brokers with the number of partitions that they lead and hold."""
+    led = placed.groupBy(F.col("leader").alias("broker")).agg(F.count("*").alias("led"))
+    held = placed.select(F.explode("replicas").alias("broker")).groupBy("broker").agg(F.count("*").alias("hosted"))
+    return brokers.join(led, "broker", "left").join(held, "broker", "left").fillna(0, ["led", "hosted"])
+
+
+def delete_topics(asked: DataFrame, topics: DataFrame) -> DataFrame:
+    """Deletes (topic, seq) with their number for the topic, k, and ``status``: OK once for a topic that is there, else NOT_FOUND."""
+    k = F.row_number().over(Window.partitionBy("topic").orderBy("seq"))
+    there = topics.select("topic").distinct().withColumn("_there", F.lit(True))
+    out = asked.withColumn("k", k).join(there, "topic", "left")
+    return out.withColumn("status", F.when(F.col("_there") & (F.col("k") == 1), "OK").otherwise("NOT_FOUND")).drop("_there")

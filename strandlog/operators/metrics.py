@@ -61,3 +61,49 @@ def parse_prometheus(lines: DataFrame, column: str = "line") -> DataFrame:
     part = lambda k: F.regexp_extract(column, pattern, k)
     label = lambda n: F.regexp_extract(part(2), f'{n}="([^"]*)"', 1)
     return lines.filter(F.col(column).rlike(pattern)).select(part(1).alias("name"), label("broker").alias("broker"), F.nullif(label("quantile"), F.lit("")).alias("quantile"), part(3).cast("double").alias("value"))
+
+
+QUANTILES = {"p50": 50.0, "p90": 90.0, "p95": 95.0, "p99": 99.0, "p999": 99.9}
+
+
+def hdr_snapshot(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """count, min, max, sum, mean and quantiles of each key; values below 0 count as 0."""
+    p = hdr_percentiles(hdr_buckets(values, keys, value), keys, list(QUANTILES.values()))
+    named = p.groupBy(*keys).agg(*(F.max(F.when(F.col("p") == x, F.col("value"))).alias(n) for n, x in QUANTILES.items()))
+    v = F.greatest(F.lit(0), F.col(value))
+    total = values.groupBy(*keys).agg(F.count("*").alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v).alias("sum"))
+    return named.join(total, keys).withColumn("mean", F.col("sum") / F.col("count"))
+
+
+def histogram_json(name: Column, labels: Column) -> Column:
+    """The JSON document of a histogram's snapshot; labels is a struct."""
+    return F.to_json(F.struct(name.alias("name"), labels.alias("labels"), F.lit("histogram").alias("type"), "count", "min", *QUANTILES, "max", F.floor("mean").cast("long").alias("mean")))
+
+
+def prometheus_summary(snapshot: DataFrame, name: str, help_text: str, labels: Column) -> DataFrame:
+    """line: quantiles, sum and count of snapshots in the text format, and the family's HELP and TYPE once."""
+    with_label = lambda q: F.concat(labels, F.lit(f',quantile="{q}"'))
+    quantiles = {"0.5": "p50", "0.9": "p90", "0.95": "p95", "0.99": "p99", "0.999": "p999", "1.0": "max"}
+    lines = [prometheus_line(F.lit(name), with_label(q), F.col(c)) for q, c in quantiles.items()]
+    lines += [prometheus_line(F.lit(f"{name}_{c}"), labels, F.col(c)) for c in ("sum", "count")]
+    head = snapshot.sparkSession.createDataFrame([(f"# HELP {name} {help_text}",), (f"# TYPE {name} summary",)], "line string")
+    return snapshot.select(F.explode(F.array(*lines)).alias("line")).union(head)
+
+
+def resource_peaks(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """cpu_peak, cpu_mean, rss_peak, written, samples of each key's samples (cpu_percent, rss_bytes, written)."""
+    return samples.groupBy(*keys).agg(F.round(F.max("cpu_percent"), 1).alias("cpu_peak"), F.round(F.avg("cpu_percent"), 1).alias("cpu_mean"), F.max("rss_bytes").alias("rss_peak"), F.sum("written").alias("written"), F.count("*").alias("samples"))
+
+
+RESULT = "struct<scenario: bigint, trials: array<struct<trial: bigint, records_per_second: bigint>>>"
+
+
+def load_results(docs: DataFrame, column: str = "doc", schema: str = RESULT) -> DataFrame:
+    """scenario and the fields of every trial, from result documents (JSON); unreadable ones are passed by."""
+    read = docs.select(F.from_json(column, schema, {"mode": "PERMISSIVE"}).alias("r")).filter("r.scenario IS NOT NULL")
+    return read.select("r.scenario", F.explode("r.trials").alias("t")).select("scenario", "t.*")
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """One CSV file with a header: trials as they are, or a row per scenario as ``spread`` and ``median_trial`` give it."""
+    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -23,7 +23,7 @@ def test_append_stream_gives_dense_offsets(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = append.append_stream(stream, str(tmp_path / "log"), 4, str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    out = spark.read.parquet(str(tmp_path / "log"))
+    out = spark.read.parquet(str(tmp_path / "log" / "data"))
     assert out.count() == 100
     per = out.groupBy("partition").agg(F.count("*").alias("n"), F.max("offset").alias("top"), F.countDistinct("offset").alias("d")).collect()
     assert all(r.n == r.d == r.top + 1 for r in per)
