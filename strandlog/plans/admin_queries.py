@@ -74,7 +74,7 @@ pf AS (SELECT *, min(attempt) FILTER (kind = 'READ') OVER (PARTITION BY group_id
 @query(with_(POLL, "SELECT group_id AS owner, partition::BIGINT AS partition, CASE WHEN attempt > hit THEN 'WAIT' ELSE kind END AS outcome, CASE WHEN kind = 'RESET' AND NOT coalesce(attempt > hit, FALSE) THEN log_start ELSE position END::BIGINT AS position, CASE WHEN hit IS NULL THEN nxt ELSE (nxt + hit + 1) % n END::BIGINT AS next_place FROM pf"))
 def poll(spark, d):
     """One poll of every group, round robin over its partitions."""
-    journal, state = X.commits(spark, d), X.log_state(X.records(spark, d))
+    journal, state = X.commits(spark, d), X.state(spark, d)
     groups = journal.select("group_id").distinct()
     a = groups.withColumn("topic", F.lit("events")).join(state.select("topic", "partition", "log_end"), "topic").join(cluster.committed(journal), ["group_id", "topic", "partition"], "left")
     number = F.substring("group_id", 7, 10).cast("int")
@@ -102,7 +102,7 @@ hit AS (SELECT req_id, min(greatest(at_ms, sent_ms)) AS done FROM rq JOIN ev USI
 @query(with_(WAITERS, "SELECT req_id, CASE WHEN mode = 'none' OR done IS NOT NULL THEN 'OK' ELSE 'TIMEOUT' END AS status, CASE WHEN mode = 'none' THEN sent_ms ELSE coalesce(done, deadline_ms) END AS done_ms FROM rq LEFT JOIN hit USING (req_id)"))
 def waiter_completion(spark, d):
     """When each produce request is answered under its ack mode."""
-    state = X.log_state(X.records(spark, d))
+    state = X.state(spark, d)
     step = F.floor(F.col("log_end") * F.col("k") / 64)
     part = lambda a, b: F.floor(step * a / b).cast("long")
     ev = state.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(64)))).select("topic", "partition", (F.col("k") * 100_000).cast("long").alias("at_ms"), step.cast("long").alias("end_now"), F.array(part(9, 10), part(8, 10), part(1, 2)).alias("flushed")).withColumnRenamed("end_now", "log_end")
@@ -205,7 +205,7 @@ def parse_endpoint(spark, d):
 def describe_cluster(spark, d):
     """Every broker: endpoint, whether it answers, partitions led and hosted, records not yet flushed (health)."""
     brokers = spark.createDataFrame([(b, f"broker-{b}:9092", True) for b in range(3)], "broker int, endpoint string, live boolean")
-    state = X.log_state(X.records(spark, d)).groupBy().agg(F.sum(F.col("log_end") - F.col("flushed")).alias("rest")).select(F.lit(0).alias("broker"), "rest")
+    state = X.state(spark, d).groupBy().agg(F.sum(F.col("log_end") - F.col("flushed")).alias("rest")).select(F.lit(0).alias("broker"), "rest")
     out = cluster.describe_brokers(brokers, placed(spark, d)).join(state, "broker", "left")
     return out.select(F.col("broker").cast("long").alias("broker"), "endpoint", "live", "led", "hosted", F.coalesce("rest", F.lit(0)).cast("long").alias("unflushed"))
 

@@ -154,7 +154,7 @@ ISR = "3 - (SELECT count(*) FROM fo WHERE fo.partition = st.partition AND NOT in
 
 @query(with_(HWM, f"SELECT partition::BIGINT AS partition, coalesce((SELECT max(candidate) FROM hw WHERE hw.partition = st.partition), 0) AS high_water, {ISR} AS isr FROM st"))
 def high_water_mark(spark, d):
-    state, progress = X.log_state(X.records(spark, d)), X.progress(spark, d)
+    state, progress = X.state(spark, d), X.progress(spark, d)
     return cluster.high_water_mark(state, progress, FOLLOWERS).select(part(), "high_water", F.col("isr").cast("long").alias("isr"))
 
 
@@ -170,7 +170,7 @@ def isr_timeline(spark, d):
 
 @query(with_(PROGRESS, f"SELECT partition::BIGINT AS partition, ({ISR})::BIGINT AS isr, {ISR} >= 2 AS admissible FROM st"))
 def quorum_admissible(spark, d):
-    h = cluster.in_sync_replicas(X.log_state(X.records(spark, d)), cluster.latest_followers(X.progress(spark, d)), FOLLOWERS)
+    h = cluster.in_sync_replicas(X.state(spark, d), cluster.latest_followers(X.progress(spark, d)), FOLLOWERS)
     return h.select(part(), F.col("isr").cast("long").alias("isr"), (F.col("isr") >= 2).alias("admissible"))
 
 
@@ -181,7 +181,7 @@ def epoch_fence(spark, d):
 
 @query(with_(PROGRESS, "SELECT fo.partition::BIGINT AS partition, broker::BIGINT AS broker, greatest(0, st.log_end - leo) AS lag FROM fo JOIN st USING (partition)"))
 def follower_lag(spark, d):
-    f = cluster.latest_followers(X.progress(spark, d)).join(X.log_state(X.records(spark, d)), LOG)
+    f = cluster.latest_followers(X.progress(spark, d)).join(X.state(spark, d), LOG)
     return f.select(part(), F.col("broker").cast("long").alias("broker"), F.greatest(F.lit(0), F.col("log_end") - F.col("leo")).alias("lag"))
 
 
@@ -195,9 +195,9 @@ ACK = ", ak AS (SELECT rq.*, (flushed > last_offset)::BIGINT + (SELECT count(*)
 
 
 def produce_requests(spark, d):
-    state = X.log_state(X.records(spark, d)).select(*LOG, F.col("log_end").alias("end"))
+    state = X.state(spark, d).select(*LOG, F.col("log_end").alias("end"))
     e = X.table(spark, d, "events").select(F.col("event_id").alias("req_id"), (F.col("event_id") % 4).cast("int").alias("partition"), (F.col("event_id") * 1000).alias("deadline_ms"))
-    return e.join(X.small(state), "partition").withColumn("last_offset", F.floor(F.col("end") * (F.floor(F.col("req_id") / 25) % 20) / 20)).drop("end")
+    return e.join(state, "partition").withColumn("last_offset", F.floor(F.col("end") * (F.floor(F.col("req_id") / 25) % 20) / 20)).drop("end")
 
 
 @query(with_(REQ + ACK, "SELECT req_id, persisted, persisted >= 2 AS acked FROM ak"))
@@ -207,7 +207,7 @@ def quorum_ack(spark, d):
 
 def acks(spark, d, asked: DataFrame) -> DataFrame:
     f = cluster.latest_followers(X.progress(spark, d))
-    return cluster.quorum_acks(asked, X.log_state(X.records(spark, d)), f, 3)
+    return cluster.quorum_acks(asked, X.state(spark, d), f, 3)
 
 
 @query(with_(REQ + ACK, "SELECT req_id FROM ak WHERE persisted < 2 AND deadline_ms <= 5000000"))
@@ -289,7 +289,7 @@ def heartbeat_status(spark, d):
 @query(with_(f"{COMMITS}, {STATE}", "SELECT g.group_id, st.partition::BIGINT AS partition, log_end - coalesce(position, log_start) AS lag FROM (SELECT DISTINCT group_id FROM cm) g CROSS JOIN st LEFT JOIN co ON co.group_id = g.group_id AND co.partition = st.partition"))
 def consumer_lag(spark, d):
     j = X.commits(spark, d)
-    state = X.log_state(X.records(spark, d))
+    state = X.state(spark, d)
     asked = j.select("group_id").distinct().withColumn("topic", F.lit("events")).join(state, "topic")
     out = asked.join(cluster.committed(j), ["group_id", *LOG], "left")
     return out.select("group_id", part(), (F.col("log_end") - F.coalesce("position", "log_start")).alias("lag"))
@@ -299,7 +299,7 @@ def consumer_lag(spark, d):
 def start_positions(spark, d):
     """Where members begin: the committed position, the log's end without one, its start if out of range."""
     j = X.commits(spark, d)
-    state = X.log_state(X.records(spark, d))
+    state = X.state(spark, d)
     out = j.select("group_id").distinct().withColumn("topic", F.lit("events")).join(state, "topic").join(cluster.committed(j), ["group_id", *LOG], "left")
     at = F.when(F.col("position").isNull(), F.col("log_end")).when(~F.col("position").between(F.col("log_start"), F.col("log_end")), F.col("log_start")).otherwise(F.col("position"))
     return out.select("group_id", part(), at.alias("position"))
@@ -321,7 +321,7 @@ def replica_set_diff(spark, d):
 @query(with_(STATE, ", b AS (SELECT unnest(range(3)) AS broker), x AS (SELECT broker, partition, row_number() OVER (PARTITION BY partition ORDER BY broker) AS k, log_end - broker AS leo FROM b CROSS JOIN st WHERE (partition + broker) % 3 <> 0) SELECT partition::BIGINT AS partition, broker::BIGINT AS broker, leo FROM x WHERE k = 1"))
 def partition_view(spark, d):
     """Each partition as the first broker that hosts it reports it."""
-    s = X.log_state(X.records(spark, d)).select(*LOG, "log_end", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("broker")).filter("(partition + broker) % 3 <> 0")
+    s = X.state(spark, d).select(*LOG, "log_end", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("broker")).filter("(partition + broker) % 3 <> 0")
     return s.groupBy(*LOG).agg(F.min("broker").alias("b"), F.min_by(F.col("log_end") - F.col("broker"), "broker").alias("leo")).select(part(), F.col("b").cast("long").alias("broker"), "leo")
 
 
@@ -329,7 +329,7 @@ def partition_view(spark, d):
 def list_topics(spark, d):
     r = X.records(spark, d)
     size = r.groupBy(*LOG).agg(F.sum("size").alias("bytes"))
-    return X.log_state(r).join(size, LOG).groupBy("topic").agg(F.count("*").alias("partitions"), F.sum(F.col("log_end") - F.col("log_start")).alias("records"), F.sum("bytes").alias("bytes"))
+    return X.state(spark, d).join(size, LOG).groupBy("topic").agg(F.count("*").alias("partitions"), F.sum(F.col("log_end") - F.col("log_start")).alias("records"), F.sum("bytes").alias("bytes"))
 
 
 #: Every partition's log end on its leader: of topic events that of the log, of others a number of their own.
@@ -340,7 +340,7 @@ TOPOLOGY = f"{PLACED}, tl AS (SELECT leader AS broker, topic, partition, partiti
 '{"name":"' || topic || '","partitions":[' || string_agg('{"partition":' || partition || ',"leader":' || broker || ',"replicas":[' || replicas || '],"log_end_offset":' || log_end || '}', ',' ORDER BY partition) || ']}' AS doc FROM tl GROUP BY broker, topic) GROUP BY broker"""))
 def topology(spark, d):
     """Each broker's document: the partitions that it leads, by topic, with replicas and log ends."""
-    events = X.log_state(X.records(spark, d)).select("topic", "partition", "log_end", F.array(*((F.col("partition") + k) % 3 for k in range(3))).alias("replicas"))
+    events = X.state(spark, d).select("topic", "partition", "log_end", F.array(*((F.col("partition") + k) % 3 for k in range(3))).alias("replicas"))
     others = placed(spark, d).select("topic", "partition", (F.col("partition") * 100 + F.octet_length("topic")).cast("long").alias("log_end"), "replicas")
     return cluster.topology_documents(others.unionByName(events)).select(F.col("broker").cast("long").alias("broker"), "doc")
 

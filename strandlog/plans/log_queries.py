@@ -32,7 +32,7 @@ def segmented(spark: SparkSession, d: str) -> DataFrame:
 
 def requests(spark: SparkSession, d: str, isolation: int) -> DataFrame:
     """Reads of every partition: from the start, the end, the middle, just past, and far past the end."""
-    state = X.log_state(X.records(spark, d))
+    state = X.state(spark, d)
     places = F.explode(F.array(F.lit(-2).cast("long"), F.lit(-1).cast("long"), F.floor(F.col("log_end") / 2), F.col("log_end"), F.col("log_end") + 1, F.lit(0).cast("long")))
     r = state.select("topic", "partition", places.alias("start"))
     return r.select(F.concat_ws(":", F.col("partition").cast("string"), F.col("start").cast("string")).alias("req_id"), *LOG, "start", F.lit(1000).alias("max_bytes"), F.lit(isolation).alias("isolation")).distinct()
@@ -69,13 +69,13 @@ def byte_positions(spark, d):
 @query(fetch_sql("log_end"))
 def fetch_read_uncommitted(spark, d):
     r = X.records(spark, d)
-    return log.fetch(r, X.log_state(r), requests(spark, d, 0)).select("req_id", "offset", "bytes_before", "size")
+    return log.fetch(r, X.state(spark, d), requests(spark, d, 0)).select("req_id", "offset", "bytes_before", "size")
 
 
 @query(fetch_sql("hwm"))
 def fetch_read_committed(spark, d):
     r = X.records(spark, d)
-    return log.fetch(r, X.log_state(r), requests(spark, d, 1)).select("req_id", "offset", "bytes_before", "size")
+    return log.fetch(r, X.state(spark, d), requests(spark, d, 1)).select("req_id", "offset", "bytes_before", "size")
 
 
 @query(with_(RECORDS, 'SELECT partition::BIGINT AS partition, pos AS "offset", key, value FROM r WHERE pos BETWEEN 100 AND 199'))
@@ -87,15 +87,15 @@ def fetch_range(spark, d):
 SELECT partition::BIGINT AS partition, count(*) AS n, max(pos) AS last_offset FROM c WHERE b < 1000 GROUP BY partition"""))
 def fetch_byte_budget(spark, d):
     r = X.records(spark, d)
-    asked = X.log_state(r).select(F.col("partition").cast("string").alias("req_id"), *LOG, F.lit(60).cast("long").alias("start"), F.lit(1000).alias("max_bytes"), F.lit(0).alias("isolation"))
-    state = X.log_state(r).withColumn("log_start", F.lit(0).cast("long"))
+    asked = X.state(spark, d).select(F.col("partition").cast("string").alias("req_id"), *LOG, F.lit(60).cast("long").alias("start"), F.lit(1000).alias("max_bytes"), F.lit(0).alias("isolation"))
+    state = X.state(spark, d).withColumn("log_start", F.lit(0).cast("long"))
     return log.fetch(r, state, asked).groupBy(F.col("partition").cast("long").alias("partition")).agg(F.count("*").alias("n"), F.max("offset").alias("last_offset"))
 
 
 @query(with_(REQUESTS, """, f AS (SELECT q.*, log_start, log_end, CASE WHEN start = -2 THEN log_start WHEN start = -1 THEN log_end ELSE start END AS from_pos FROM q LEFT JOIN st USING (partition))
 SELECT req_id, from_pos AS from_offset, CASE WHEN from_pos < log_start OR from_pos > log_end THEN 'OUT_OF_RANGE' ELSE 'OK' END AS error FROM f"""))
 def fetch_bounds_check(spark, d):
-    return log.bounds_error(requests(spark, d, 0), X.log_state(X.records(spark, d))).select("req_id", "from_offset", "error")
+    return log.bounds_error(requests(spark, d, 0), X.state(spark, d)).select("req_id", "from_offset", "error")
 
 
 @query(with_(RECORDS, 'SELECT partition::BIGINT AS partition, pos AS "offset", value FROM r QUALIFY row_number() OVER (PARTITION BY partition ORDER BY pos) <= 25'))
@@ -116,7 +116,7 @@ TIMES = f"{STATE}, tq AS (SELECT DISTINCT partition, (lo + ((hi - lo) * (k - 1)
 @query(with_(TIMES.replace("(hi - lo) * (k - 1) // 8", "floor((hi - lo) * (k - 1) / 8)::BIGINT"), 'SELECT tq.partition::BIGINT AS partition, t, coalesce(min(r.pos) FILTER (r.timestamp_ms >= t), any_value(log_end)) AS found FROM tq JOIN st USING (partition) JOIN r USING (partition) GROUP BY tq.partition, t'))
 def list_offsets_exact(spark, d):
     r = X.records(spark, d)
-    return log.offsets_for_times(r, X.log_state(r), times(spark, d)).select(F.col("partition").cast("long").alias("partition"), "t", "found")
+    return log.offsets_for_times(r, X.state(spark, d), times(spark, d)).select(F.col("partition").cast("long").alias("partition"), "t", "found")
 
 
 SEGMENT_TIMES = f"""{SEGMENTS}, tq AS (SELECT DISTINCT partition, (lo + floor((hi - lo) * (k - 1) / 8)::BIGINT)::BIGINT AS t FROM (SELECT partition, min(timestamp_ms) AS lo, max(timestamp_ms) AS hi FROM r GROUP BY partition), range(10) AS x(k)),
@@ -128,12 +128,12 @@ tx AS (SELECT * FROM ix WHERE top IS NULL OR max_ts >= top)"""
 @query(with_(SEGMENT_TIMES, """SELECT tq.partition::BIGINT AS partition, t, coalesce((SELECT min(tx.base) FROM tx JOIN sg ON sg.partition = tx.partition AND sg.seg = tx.seg WHERE tx.partition = tq.partition AND seg_ts >= t AND tx.max_ts >= t), log_end) AS found FROM tq JOIN st USING (partition)"""))
 def list_offsets_sparse(spark, d):
     r = X.records(spark, d)
-    return log.offsets_for_times_sparse(segmented(spark, d), X.log_state(r), times(spark, d)).select(F.col("partition").cast("long").alias("partition"), "t", "found")
+    return log.offsets_for_times_sparse(segmented(spark, d), X.state(spark, d), times(spark, d)).select(F.col("partition").cast("long").alias("partition"), "t", "found")
 
 
 @query(with_(STATE, "SELECT partition::BIGINT AS partition, log_start AS earliest, log_end AS latest FROM st"))
 def list_offsets_bounds(spark, d):
-    return X.log_state(X.records(spark, d)).select(F.col("partition").cast("long").alias("partition"), F.col("log_start").alias("earliest"), F.col("log_end").alias("latest"))
+    return X.state(spark, d).select(F.col("partition").cast("long").alias("partition"), F.col("log_start").alias("earliest"), F.col("log_end").alias("latest"))
 
 
 @query(with_(SEGMENT_TIMES, "SELECT partition::BIGINT AS partition, seg AS segment_base, bytes, records, last FROM sg"))
@@ -191,7 +191,7 @@ def retention_age(spark, d):
 @query(with_(STATE, "SELECT r.partition::BIGINT AS partition, count(*) AS n, max(pos) AS last_offset FROM r JOIN st USING (partition) WHERE pos < flushed GROUP BY r.partition"))
 def truncate_to(spark, d):
     r = X.records(spark, d)
-    return log.truncate(r, X.log_state(r).select(*LOG, F.col("flushed").alias("new_end"))).groupBy(F.col("partition").cast("long").alias("partition")).agg(F.count("*").alias("n"), F.max("offset").alias("last_offset"))
+    return log.truncate(r, X.state(spark, d).select(*LOG, F.col("flushed").alias("new_end"))).groupBy(F.col("partition").cast("long").alias("partition")).agg(F.count("*").alias("n"), F.max("offset").alias("last_offset"))
 
 
 #: Where each partition's bytes end, and why (see ``fixtures.damaged``).
@@ -215,7 +215,7 @@ def recovery_report(spark, d):
 def gapped(spark: SparkSession, d: str) -> DataFrame:
     """The log without one record in each partition, at 9/10."""
     r = X.records(spark, d)
-    return r.join(X.log_state(r), LOG).filter(F.col("offset") != F.floor(F.col("log_end") * 9 / 10))
+    return r.join(X.state(spark, d), LOG).filter(F.col("offset") != F.floor(F.col("log_end") * 9 / 10))
 
 
 @query(with_(STATE, 'SELECT partition::BIGINT AS partition, pos AS "offset", pos - prev - 1 AS missing FROM (SELECT r.partition, pos, lag(pos) OVER (PARTITION BY r.partition ORDER BY pos) AS prev FROM r JOIN st USING (partition) WHERE pos <> log_end * 9 // 10) WHERE pos <> prev + 1'))
@@ -228,7 +228,7 @@ SELECT partition::BIGINT AS partition, unflushed_records, unflushed_bytes, unflu
 def needs_flush(spark, d):
     """Records, bytes and time that are not flushed, each against its threshold."""
     r = X.records(spark, d)
-    rest = r.join(X.small(X.log_state(r)), LOG).withColumn("rest", F.col("offset") >= F.col("flushed"))
+    rest = r.join(X.state(spark, d), LOG).withColumn("rest", F.col("offset") >= F.col("flushed"))
     of = lambda c: F.when(F.col("rest"), F.col(c))
     u = rest.groupBy(*LOG).agg(F.count_if("rest").alias("unflushed_records"), F.coalesce(F.sum(of("size")), F.lit(0)).alias("unflushed_bytes"), F.coalesce(F.max(of("timestamp_ms")) - F.min(of("timestamp_ms")), F.lit(0)).alias("unflushed_ms"))
     return log.needs_flush(u, 500, 20_000, 3_600_000).select(F.col("partition").cast("long").alias("partition"), "unflushed_records", "unflushed_bytes", "unflushed_ms", "due")
@@ -283,9 +283,9 @@ def produce_status(spark, d):
 def append_vectored(spark, d):
     """What lies beyond the flushed end as one append of three parts; partition 3 lacks a record between two of them."""
     r = X.records(spark, d)
-    rows = r.join(X.small(X.log_state(r)), LOG).filter("offset >= flushed").withColumn("part_no", F.floor((F.col("offset") - F.col("flushed")) * 3 / (F.col("log_end") - F.col("flushed"))))
+    rows = r.join(X.state(spark, d), LOG).filter("offset >= flushed").withColumn("part_no", F.floor((F.col("offset") - F.col("flushed")) * 3 / (F.col("log_end") - F.col("flushed"))))
     rows = rows.filter("partition <> 3 OR offset <> flushed + (log_end - flushed) div 2")
-    high = X.log_state(r).select(*LOG, F.col("flushed").alias("log_end"))
+    high = X.state(spark, d).select(*LOG, F.col("flushed").alias("log_end"))
     kept, verdict = log.append_vectored([rows.filter(F.col("part_no") == k).select(*LOG, "offset") for k in range(3)], high)
     counts = kept.groupBy(*LOG).agg(F.count("*").alias("appended"))
     return verdict.join(counts, LOG, "left").select(F.col("partition").cast("long").alias("partition"), "status", F.coalesce("appended", F.lit(0)).alias("appended"))
@@ -306,7 +306,7 @@ def segment_roll_by_age(spark, d):
 
 @query(with_(SEGMENT_TIMES, "SELECT sg.partition::BIGINT AS partition, seg AS segment_base, CASE WHEN seg >= flushed AND seg <> min(seg) OVER (PARTITION BY sg.partition) THEN 'DROPPED' WHEN last >= flushed THEN 'CUT' ELSE 'KEPT' END AS fate FROM sg JOIN st USING (partition)"))
 def truncate_segments(spark, d):
-    ends = X.log_state(X.records(spark, d)).select(*LOG, F.col("flushed").alias("new_end"))
+    ends = X.state(spark, d).select(*LOG, F.col("flushed").alias("new_end"))
     return log.truncate_segments(log.segments_of(segmented(spark, d)), ends).select(F.col("partition").cast("long").alias("partition"), "segment_base", "fate")
 
 
@@ -350,7 +350,7 @@ SELECT partition::BIGINT AS partition, batch_id, CASE WHEN batch_id % 9 = 0 THEN
 def replicate_accept(spark, d):
     r = X.records(spark, d)
     b = log.batches_of(r)
-    half = X.log_state(r).select(*LOG, F.floor(F.col("log_end") / 2).alias("half"))
+    half = X.state(spark, d).select(*LOG, F.floor(F.col("log_end") / 2).alias("half"))
     ends = b.join(half, LOG).filter("base <= half").groupBy(*LOG).agg(F.max("base").alias("log_end"))
     # In every other batch a bit of the first record is turned; the follower finds it.
     first = F.col("offset") == F.min("offset").over(Window.partitionBy(*LOG, "batch_id"))

@@ -112,7 +112,7 @@ def prometheus_parse(spark, d):
 
 @query(with_(STATE, "SELECT count(*) AS partitions, sum(log_end)::BIGINT AS records, max(log_end - hwm) AS max_lag, sum((log_end > flushed)::INT)::BIGINT AS waiting FROM st"))
 def broker_stats(spark, d):
-    return X.log_state(X.records(spark, d)).agg(F.count("*").alias("partitions"), F.sum("log_end").alias("records"), F.max(F.col("log_end") - F.col("hwm")).alias("max_lag"), F.count_if(F.col("log_end") > F.col("flushed")).alias("waiting"))
+    return X.state(spark, d).agg(F.count("*").alias("partitions"), F.sum("log_end").alias("records"), F.max(F.col("log_end") - F.col("hwm")).alias("max_lag"), F.count_if(F.col("log_end") > F.col("flushed")).alias("waiting"))
 
 
 def trials(spark: SparkSession, d: str) -> DataFrame:

@@ -41,13 +41,19 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.assign_offsets(rows).drop("raw_ms", "clock_ms")
 
 
-#: Rows of a table that may be broadcast.
+#: Rows of a table that may be held by the driver and broadcast.
 SMALL_ROWS = 100_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """The table, to be broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+    """The table, computed once and broadcast if it has few rows (of which there is one per partition or replica)."""
+    rows = df.limit(SMALL_ROWS + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= SMALL_ROWS else df
+
+
+def state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log's state, a row per partition."""
+    return small(log_state(records(spark, sf_dir)))
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +64,8 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored log after a crash: in partition 0 a bit is turned at 7/8, in 1 a record is missing at 9/10, in 2 the last one is cut short, in 3 only reserved space follows."""
-    end = log_state(records(spark, sf_dir)).select("topic", "partition", "log_end")
-    rows = stored(spark, sf_dir).select("topic", "partition", "seq", "slot", "data").join(small(end), ["topic", "partition"])
+    end = state(spark, sf_dir).select("topic", "partition", "log_end")
+    rows = stored(spark, sf_dir).select("topic", "partition", "seq", "slot", "data").join(end, ["topic", "partition"])
     rows = rows.filter((F.col("partition") != 1) | (F.col("slot") != F.floor(F.col("log_end") * 9 / 10)))
     bad = F.when((F.col("partition") == 0) & (F.col("slot") == F.floor(F.col("log_end") * 7 / 8)), wire.turned(F.col("data")))
     short = F.when((F.col("partition") == 2) & (F.col("slot") == F.col("log_end") - 1), F.substring(F.col("data"), F.lit(1), F.octet_length("data") - 3))
@@ -77,10 +83,10 @@ def log_state(records: DataFrame) -> DataFrame:
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Followers' reports in order: broker 1 or 2, an epoch, log end, flushed end, connected."""
-    end = log_state(records(spark, sf_dir)).select("topic", "partition", F.col("log_end").alias("leader_end"))
+    end = state(spark, sf_dir).select("topic", "partition", F.col("log_end").alias("leader_end"))
     n = F.col("event_id")
     e = table(spark, sf_dir, "events").select(n.alias("seq"), (n % 4).cast("int").alias("partition"), (1 + F.floor(n / 4) % 2).cast("int").alias("broker"), (n % 211 == 0).cast("long").alias("epoch"), (n % 13 != 0).alias("connected"))
-    e = e.join(small(end), "partition")  # a row per partition of one topic
+    e = e.join(end, "partition")
     e = e.withColumn("log_end", F.floor(F.col("leader_end") * (F.col("seq") % 10 + 1) / 10).cast("long"))
     return e.withColumn("flushed", F.col("log_end") - F.floor(F.col("log_end") / 20).cast("long"))
 

@@ -6,7 +6,7 @@ import pytest
 from strandlog.plans import registry
 
 
-@pytest.mark.parametrize("name", ["route_summary", "segment_for_offset", "hwm_timeline", "hdr_percentiles", "commit_fencing"])
+@pytest.mark.parametrize("name", ["route_summary", "segment_for_offset", "hwm_timeline", "hdr_percentiles", "commit_fencing", "list_offsets_exact", "isr_timeline", "replicate_accept", "poll", "metadata_file"])
 def test_query_matches_sql(spark, sf, name):
     con = duckdb.connect()
     for t in ("events", "nation", "orders", "part", "supplier"):

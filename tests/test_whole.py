@@ -62,5 +62,5 @@ def test_timeouts_of_all_requests(spark, sf):
 
 
 def test_every_topic(spark, sf):
-    assert sum(r.partitions for r in check(spark, sf, "topology_log_end")) == sum(3 + k % 6 for k in range(25))
+    assert sum(r.partitions for r in check(spark, sf, "topology_log_end")) == sum(3 + k % 6 for k in range(25)) + 4  # and those of the log itself
     assert any("nation_2" in r.doc for r in check(spark, sf, "topology"))
