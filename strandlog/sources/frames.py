@@ -70,10 +70,14 @@ def classify(captured: DataFrame, column: str = "frame") -> DataFrame:
     return captured.withColumn("verdict", _column(run, "string", F.col(column).cast("binary")))
 
 
-def damage(kind: int, request: int, payload: bytes) -> bytes:
-    """A frame with damage or a bad field, one kind for each number from 1 to 10; other numbers are good frames."""
-    fields = {6: (VERSION, 1, request, None, 1), 7: (2, 1, request, None, 0), 8: (VERSION, 19, request, None, 0), 9: (VERSION, 1, request, MAX_PAYLOAD + 1, 0), 11: (VERSION, 40, request, None, 0)}
-    (frame,) = frames([fields.get(kind, (VERSION, 1, request, None, 0))], [b"" if kind == 12 else payload])
+def fields_of(kind: int, request: int) -> tuple:
+    """The fields of a frame, bad ones for the numbers from 6 to 9."""
+    bad = {6: (VERSION, 1, request, None, 1), 7: (2, 1, request, None, 0), 8: (VERSION, 19, request, None, 0), 9: (VERSION, 1, request, MAX_PAYLOAD + 1, 0), 11: (VERSION, 40, request, None, 0)}
+    return bad.get(kind, (VERSION, 1, request, None, 0))
+
+
+def damage(kind: int, frame: bytes) -> bytes:
+    """A frame with damage of the kind that the numbers 1 to 5 and 10 stand for."""
     flip = lambda at: frame[:at] + bytes([frame[at] ^ 1]) + frame[at + 1 :]
     return {1: frame[:20], 2: flip(0), 3: flip(8), 4: frame[: HEADER + 4], 5: frame + b" ", 10: flip(len(frame) - 1)}.get(kind, frame)
 
@@ -84,6 +88,8 @@ def sample(events: DataFrame) -> DataFrame:
     def run(event_id, props):
         import pyarrow as pa
 
-        return pa.array([damage(e % 16, e, p.encode()) for e, p in zip(event_id.to_pylist(), props.to_pylist())], pa.binary())
+        ids = event_id.to_pylist()
+        made = frames([fields_of(e % 16, e) for e in ids], [b"" if e % 16 == 12 else p.encode() for e, p in zip(ids, props.to_pylist())])
+        return pa.array([damage(e % 16, f) for e, f in zip(ids, made)], pa.binary())
 
     return events.select("event_id", _column(run, "binary", F.col("event_id"), F.col("props")).alias("frame"))
