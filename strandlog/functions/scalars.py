@@ -183,11 +183,20 @@ def escape_json(text: Column) -> Column:
     return F.substring(quoted, F.lit(3), F.length(quoted) - 4)
 
 
+def tenths(x: Column) -> Column:
+    """A double rounded to one digit as C's ``%.1f`` does: its exact value decides, and halves go to the even digit."""
+    ten = x * 10
+    # What the product lost: eight and two times x are exact.
+    lost = x * 2 - (ten - x * 8)
+    half = F.abs(ten - F.rint(ten)) == 0.5
+    return F.rint(F.when(half, ten + F.signum(lost) * 0.5).otherwise(ten)) / 10
+
+
 def human_number(n: Column) -> Column:
     """A count with thousands, millions or billions as k, M, G."""
     out = F.format_string("%d", n.cast("long"))
     for k, unit in enumerate(("k", "M", "G"), 1):
-        out = F.when(n >= 1000**k, F.format_string(f"%.1f{unit}", n / float(1000**k))).otherwise(out)
+        out = F.when(n >= 1000**k, F.format_string(f"%.1f{unit}", tenths(n / float(1000**k)))).otherwise(out)
     return out
 
 
@@ -197,10 +206,11 @@ def series_key(name: Column, labels: Column) -> Column:
     return F.concat_ws("\u001f", F.concat(F.array(name), pairs))
 
 
-def human_bytes(n: Column) -> Column:
+def human_bytes(n: Column, units: tuple[str, ...] = ("KiB", "MiB", "GiB", "TiB")) -> Column:
+    """A size in the largest of the units that it reaches, or in bytes."""
     out = F.format_string("%d B", n.cast("long"))
-    for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(n >= 1024**k, F.format_string(f"%.1f {unit}", n / float(1024**k))).otherwise(out)
+    for k, unit in enumerate(units, 1):
+        out = F.when(n >= 1024**k, F.format_string(f"%.1f {unit}", tenths(n / float(1024**k)))).otherwise(out)
     return out
 
 
